@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import components, conversations, neighbours
+from sparkloom.llm import components, conversations, neighbours, topics
 from sparkloom.runtime import table
 
 
@@ -12,6 +12,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "usage_rows")).select("session_id", "agent_id", "turn_no", "uuid")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return topics.topics(table(spark, d, "search_docs")).select("node_id", "topic_key")
+
+
+def p3_topics(spark: SparkSession, d: str) -> DataFrame:
+    return topics.topic_report(table(spark, d, "search_docs"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.match_groups(table(spark, d, "link_candidates"), table(spark, d, "similarity_reports"))
 
@@ -20,5 +28,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "code_vectors"), dim=64, k=5, floor=0.8)
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_topics": p3_topics, "p4_found": p4_found, "p5_found": p5_found}
 ORACLE_SQL: dict[str, str] = {}
