@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import components, conversations, neighbours, topics
+from sparkloom.llm import components, conversations, leakage, neighbours, topics
 from sparkloom.runtime import table
 
 
@@ -28,5 +28,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "code_vectors"), dim=64, k=5, floor=0.8)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_topics": p3_topics, "p4_found": p4_found, "p5_found": p5_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_topics": p3_topics, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
 ORACLE_SQL: dict[str, str] = {}
