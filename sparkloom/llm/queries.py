@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import components, conversations, leakage, neighbours, topics
+from sparkloom.llm import components, conversations, leakage, neighbours, sentences, sourcefiles, topics
 from sparkloom.runtime import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return sourcefiles.file_kinds(table(spark, d, "nodes"), table(spark, d, "discovery_runs")).select("node_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "usage_rows")).select("session_id", "agent_id", "turn_no", "uuid")
 
@@ -32,5 +36,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_topics": p3_topics, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_topics": p3_topics, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
 ORACLE_SQL: dict[str, str] = {}
