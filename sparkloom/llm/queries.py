@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import components, conversations, leakage, neighbours, sentences, sourcefiles, topics
+from sparkloom.llm import components, conversations, leakage, neighbours, packing, sentences, sourcefiles, topics
 from sparkloom.runtime import table
 
 
@@ -32,6 +32,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "code_vectors"), dim=64, k=5, floor=0.8)
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    specs = table(spark, d, "pack_specs")
+    return packing.fill_report(packing.pack(table(spark, d, "documents"), specs), specs)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -40,5 +49,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_topics": p3_topics, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_topics": p3_topics, "p4_found": p4_found, "p5_found": p5_found, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}
 ORACLE_SQL: dict[str, str] = {}
