@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sparkloom.llm.blocks import latest, parts_for, sorted_groups
+from sparkloom.llm.blocks import bounded_sample, latest, parts_for, sorted_groups
 from sparkloom.runtime import materialize
 
 #: Rows the rotation is learned from: those of the smallest id hash, at most this many.
@@ -85,7 +85,7 @@ def nearest(units: DataFrame, *, dim: int, k: int, floor: float, ef_search: int
     n = units.count()
     bits = min(16, max(4, int(math.log2(max(2, n))) - 6))
     tables = max(4, round((bits + 8) * ef_search / 50))
-    sample = units.orderBy(F.xxhash64("nid"), "nid").limit(SAMPLE_ROWS).select("unit").toPandas()
+    sample = bounded_sample(units, ["nid"], SAMPLE_ROWS).select("unit").toPandas()
     if len(sample) < 2:
         return spark.createDataFrame([], "q long, r long, sim double")
     train = np.frombuffer(b"".join(sample["unit"]), dtype=np.float32).reshape(-1, dim).astype(np.float64)

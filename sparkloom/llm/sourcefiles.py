@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.blocks import bounded_sample
 from sparkloom.runtime import materialize
 
 #: Words of a shingle and the similarity from which a file is a copy of another.
@@ -210,7 +211,7 @@ def file_kinds(nodes: DataFrame, runs: DataFrame) -> DataFrame:
         "id", F.coalesce("file_path", F.lit("")).alias("path"), "source", F.coalesce("content", F.lit("")).alias("content"),
         F.coalesce("updated_at", F.lit(0)).alias("at"), (F.coalesce("tombstoned_at", F.lit(0)) == 0).alias("live"),
     )
-    sample = files.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_FILES).select(F.substring("content", 1, 20_000).alias("c")).toPandas()
+    sample = bounded_sample(files.select("id", "content"), ["id"], SAMPLE_FILES).select(F.substring("content", 1, 20_000).alias("c")).toPandas()
     seen = Counter(x for c in sample["c"] for x in shingles(body_words(c)).tolist())
     common = np.array(sorted(x for x, n in seen.items() if n >= COMMON_IN), dtype=np.int64)
 
