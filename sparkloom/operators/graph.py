@@ -309,7 +309,7 @@ def dockerfile_links(files: DataFrame) -> DataFrame:
     exact = want.join(files.select(F.col("id").alias("target_id"), F.col("file_path").alias("path")), "path").select("docker_id", "path", "target_id")
     rest = want.join(exact.select("docker_id", "path"), ["docker_id", "path"], "left_anti")
     dirs = files.select(F.col("id").alias("target_id"), F.col("file_path").alias("fp")).withColumn("cut", F.explode(F.sequence(F.lit(1), F.greatest(F.size(F.split("fp", "/")) - 1, F.lit(1)))))
-    dirs = dirs.select("target_id", F.substring_index("fp", "/", F.col("cut")).alias("path") if False else F.array_join(F.slice(F.split("fp", "/"), 1, F.col("cut")), "/").alias("path"))
+    dirs = dirs.select("target_id", F.array_join(F.slice(F.split("fp", "/"), 1, F.col("cut")), "/").alias("path"))
     return exact.unionByName(rest.join(dirs, "path").select("docker_id", "path", "target_id")).distinct()
 
 
@@ -500,7 +500,7 @@ def tumbling(d: DataFrame, us: str, seconds: int) -> DataFrame:
 def instant_of(field: str) -> Column:
     """created_at or updated_at in nanoseconds, or a metadata key as text, as a timestamp."""
     if field in ("created_at", "updated_at"):
-        return F.when(F.col(field) > 0, F.timestamp_micros((F.col(field) / 1000).cast("long")))
+        return F.when(F.col(field) > 0, F.timestamp_micros(F.expr(f"{field} div 1000")))
     return parse_instant(meta(field))
 
 
