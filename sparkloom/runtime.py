@@ -71,7 +71,13 @@ def _late_remove(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table of a data folder; files or folders ``<name>.parquet``."""
+    """Read one table of a data folder; files or folders ``<name>.parquet``.
+
+    Unions in a plan are kept from passing on their inputs' partitioning: with adaptive coalescing the two
+    sides of a later join could otherwise have different numbers of partitions and the join fail.
+    """
+    with contextlib.suppress(Exception):
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
