@@ -7,6 +7,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +71,23 @@ def _late_remove(spark: SparkSession, path: str) -> None:
         shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sparkloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="sparkloom-"), "sparkloom_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("sparkloom", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._sparkloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table of a data folder; files or folders ``<name>.parquet``.
 
@@ -78,6 +96,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     with contextlib.suppress(Exception):
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
