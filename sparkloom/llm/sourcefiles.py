@@ -189,7 +189,7 @@ def similar_texts(told: DataFrame, others: DataFrame, files: DataFrame) -> DataF
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             v = [_vector(body_words(c)) for c in x["content"]]
-            yield pd.DataFrame({"body": [h for h, _ in v], "s": [s.tolist() for _, s in v]})
+            yield pd.DataFrame({"body": [h for h, _ in v], "s": pd.Series([s.tolist() for _, s in v], dtype=object)})
 
     sets = ids.join(files.select("id", "content"), "id").select("content").mapInPandas(vectors, "body string, s array<long>").dropDuplicates(["body"])
     both = pairs.join(sets.select(F.col("body").alias("va"), F.col("s").alias("sa")), "va").join(sets.select(F.col("body").alias("vb"), F.col("s").alias("sb")), "vb")
@@ -225,7 +225,7 @@ def file_kinds(nodes: DataFrame, runs: DataFrame) -> DataFrame:
                 bodies.append(h)
                 sizes.append(len(s))
                 firsts.append(prefix(s, common))
-            yield pd.DataFrame({"id": b["id"], "path": b["path"], "source": b["source"], "at": b["at"], "live": b["live"], "kind": kinds, "body": bodies, "n": sizes, "first": firsts})
+            yield pd.DataFrame({"id": b["id"], "path": b["path"], "source": b["source"], "at": b["at"], "live": b["live"], "kind": kinds, "body": bodies, "n": sizes, "first": pd.Series(firsts, dtype=object)})
 
     f = materialize(files.mapInPandas(look, "id string, path string, source string, at long, live boolean, kind string, body string, n int, first array<long>"), "p1-files").df
     now = f.groupBy("id").agg(F.max(F.struct("at", "live", "kind", "body", "path", "source")).alias("x")).select("id", "x.*")

@@ -68,7 +68,7 @@ def neighbour_lists(points: DataFrame, radius: int, orders: int = ORDERS) -> Dat
             some = ok.any(1)
             yield pd.DataFrame({
                 "q": nid[some],
-                "near": [list((dist[i][ok[i]].astype(np.int64) << SHIFT | nid[near[i][ok[i]]]).tolist()) for i in some.nonzero()[0]],
+                "near": pd.Series([(dist[i][ok[i]].astype(np.int64) << SHIFT | nid[near[i][ok[i]]]).tolist() for i in some.nonzero()[0]], dtype=object),
             })
 
     found = rows.repartitionByRange(parts, "t", "key").sortWithinPartitions("t", "key", "nid").select("t", "nid", "vector").mapInPandas(compare, "q long, near array<long>")
