@@ -135,7 +135,7 @@ def page_tree(url: str, html: str) -> list[tuple]:
         def flush() -> None:
             s = " ".join("".join(loose).split())
             loose.clear()
-            if s and e.tag not in ("#", "html", "head", "title"):
+            if s and e.tag not in ("html", "head", "title"):
                 emit("paragraph", stack[-1][1], "", s)
 
         for k in e.kids:
