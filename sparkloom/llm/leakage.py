@@ -222,10 +222,12 @@ def _reach(a: list[str], b: list[str], most: int) -> list[tuple[int, int]]:
 def edited_passage(item: list[str], doc: list[str], i: int, j: int, p: int) -> tuple[int, int] | None:
     """Document words (start, end) of a passage around the agreeing words item[i:j] == doc[p:p+j-i] with at least
     LOOSE_WORDS words of the item and at most one edit in LOOSE_SHARE words, or None."""
-    most = len(item) // LOOSE_SHARE
-    span = len(item) + most
-    right = _reach(item[j:], doc[p + j - i : p + j - i + span], most)
-    left = _reach(item[:i][::-1], doc[max(0, p - span) : p][::-1], most)
+    # a passage of twice LOOSE_WORDS or more has a half that is one itself, so a shortest one is shorter and has few edits
+    longest = 2 * LOOSE_WORDS - 1
+    most = longest // LOOSE_SHARE
+    span = longest + most
+    right = _reach(item[j : j + longest], doc[p + j - i : p + j - i + span], most)
+    left = _reach(item[max(0, i - longest) : i][::-1], doc[max(0, p - span) : p][::-1], most)
     for el, (li, ld) in enumerate(left):
         for er, (ri, rd) in enumerate(right):
             n = li + (j - i) + ri
