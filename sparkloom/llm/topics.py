@@ -23,14 +23,34 @@ MIN_SIZE = 5
 SHIFT = 55
 
 
-def _signs(packed: list[bytes]) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, BITS // 8), axis=1)
-    return bits.astype(np.float32) * 2 - 1
+def _packed(vectors: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), dtype=np.uint8).reshape(-1, BITS // 8)
+
+
+def _signs(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of sign rows; exact, as the products are small integers."""
-    return (BITS - a @ b.T) / 2
+    """Hamming distances of packed rows; exact, as the products are small integers. The second side is unpacked in blocks."""
+    out, x = np.empty((len(a), len(b)), dtype=np.float32), _signs(a)
+    for s in range(0, len(b), 65_536):
+        out[:, s : s + 65_536] = (BITS - x @ _signs(b[s : s + 65_536]).T) / 2
+    return out
+
+
+def _blocks(n: int, width: int) -> list[slice]:
+    """Slices of n rows such that a block against ``width`` rows holds at most some 16 million distances."""
+    k = max(1, min(1024, (1 << 24) // max(1, width)))
+    return [slice(s, s + k) for s in range(0, n, k)]
+
+
+def _majority(x: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """The packed majority bits of some rows, as one row; a tie sets the bit."""
+    total = np.zeros(BITS, dtype=np.int64)
+    for s in range(0, len(members), 65_536):
+        total += np.unpackbits(x[members[s : s + 65_536]], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * total >= len(members))[None, :]
 
 
 def neighbour_lists(points: DataFrame, radius: int, orders: int = ORDERS) -> DataFrame:
@@ -59,7 +79,7 @@ def neighbour_lists(points: DataFrame, radius: int, orders: int = ORDERS) -> Dat
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in _windows(batches):
-            nid, x = run["nid"].to_numpy(), _signs(list(run["vector"]))
+            nid, x = run["nid"].to_numpy(), _packed(list(run["vector"]))
             d = _distance(x, x)
             np.fill_diagonal(d, BITS)
             near = np.argpartition(d, KEEP, axis=1)[:, :KEEP] if len(x) > KEEP + 1 else np.argsort(d, axis=1)
@@ -273,16 +293,14 @@ def _misses(x: np.ndarray, members: np.ndarray, radius: int) -> np.ndarray:
     whose distance to it plus the greatest one exceeds the radius are held against all.
     """
     m = x[members]
-    centre = np.where(m.sum(0) >= 0, 1.0, -1.0).astype(np.float32)[None, :]
-    r = _distance(m, centre)[:, 0]
+    r = _distance(_majority(x, members), m)[0]
     out = np.zeros(len(members), dtype=np.int64)
     unsure = (r + r.max() > radius).nonzero()[0]
-    for s in range(0, len(unsure), 1024):
-        rows = unsure[s : s + 1024]
-        far = _distance(m[rows], m) > radius
-        out[rows] = far.sum(1)
-        certain = np.ones(len(m), dtype=bool)
-        certain[unsure] = False
+    certain = np.ones(len(m), dtype=bool)
+    certain[unsure] = False
+    for b in _blocks(len(unsure), len(m)):
+        far = _distance(m[unsure[b]], m) > radius
+        out[unsure[b]] = far.sum(1)
         out[certain] += far[:, certain].sum(0)
     return out
 
@@ -310,10 +328,9 @@ def topics_of(x: np.ndarray, size: np.ndarray, clusters: list[np.ndarray], radiu
     for c in sorted((clique_of(x, m, radius) for m in clusters), key=lambda m: (-int(size[m].sum()), m.min() if len(m) else 0)):
         if not len(c):
             continue
-        centre = np.where(x[c].sum(0) >= 0, 1.0, -1.0).astype(np.float32)[None, :]
+        centre = _majority(x, c)
         for i, f in enumerate(found):
-            fc = np.where(x[f].sum(0) >= 0, 1.0, -1.0).astype(np.float32)[None, :]
-            if _distance(centre, fc)[0, 0] <= radius and all((_distance(x[c[s : s + 1024]], x[f]) <= radius).all() for s in range(0, len(c), 1024)):
+            if _distance(centre, _majority(x, f))[0, 0] <= radius and all((_distance(x[c[b]], x[f]) <= radius).all() for b in _blocks(len(c), len(f))):
                 found[i] = np.concatenate([f, c])
                 break
         else:
@@ -325,10 +342,9 @@ def topics_of(x: np.ndarray, size: np.ndarray, clusters: list[np.ndarray], radiu
     for f in sorted(found, key=lambda m: (-int(size[m].sum()), m.min())):
         free = (~used).nonzero()[0]
         if len(free):
-            centre = np.where(x[f].sum(0) >= 0, 1.0, -1.0).astype(np.float32)[None, :]
-            free = free[_distance(x[free], centre)[:, 0] <= radius]
-        for s in range(0, len(free), 256):
-            part = free[s : s + 256]
+            free = free[_distance(_majority(x, f), x[free])[0] <= radius]
+        for b in _blocks(len(free), len(f)):
+            part = free[b]
             whole = part[(_distance(x[part], x[f]) <= radius).all(1)]
             for p in whole:
                 if (_distance(x[p][None, :], x[f]) <= radius).all():
@@ -345,12 +361,13 @@ def topics_of(x: np.ndarray, size: np.ndarray, clusters: list[np.ndarray], radiu
         seeds = (~tried).nonzero()[0]
         if size[free].sum() < min_size or not len(seeds):
             return out
-        near = _distance(x[seeds[:1024]], x[free]) <= radius
+        seeds = seeds[_blocks(len(seeds), len(free))[0]]
+        near = _distance(x[seeds], x[free]) <= radius
         tot = near @ size[free]
-        tried[seeds[:1024][tot < min_size]] = True
+        tried[seeds[tot < min_size]] = True
         if tot.max() < min_size:
             continue
-        s = seeds[:1024][int(np.argmax(tot))]
+        s = seeds[int(np.argmax(tot))]
         tried[s] = True
         c = clique_of(x, free[near[int(np.argmax(tot))]], radius)
         if size[c].sum() >= min_size:
@@ -362,7 +379,8 @@ def topics_of(x: np.ndarray, size: np.ndarray, clusters: list[np.ndarray], radiu
 def cluster_topics(points: DataFrame, radius: int) -> DataFrame:
     """``(nid, topic, persistence)`` for rows ``(nid, vector, size)`` of distinct vectors; topic is the smallest nid of it.
 
-    One task holds one component of the reachability graph: about 100 bytes for each of its distinct vectors.
+    One task holds one component of the reachability graph: about 200 bytes for each of its distinct vectors, and
+    blocks of distances of a fixed size.
     """
     lists = materialize(neighbour_lists(points.select("nid", "vector"), radius), "p3-lists")
     edges = materialize(reachability(lists.df, points).where(F.col("w") <= radius), "p3-reach")
@@ -382,7 +400,7 @@ def cluster_topics(points: DataFrame, radius: int) -> DataFrame:
             nid, size = pts["nid"].to_numpy(), pts["size"].to_numpy()
             if size.sum() < MIN_SIZE:
                 continue
-            x = _signs(list(pts["vector"]))
+            x = _packed(list(pts["vector"]))
             cl = condensed_clusters(len(nid), size, np.searchsorted(nid, es["nid"].to_numpy()), np.searchsorted(nid, es["v"].to_numpy()), es["w"].to_numpy())
             lasts = np.zeros(len(nid))
             for m, lam in cl:
