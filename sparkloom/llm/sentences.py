@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -35,8 +36,8 @@ _FENCE = regex.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
 _BULLET = regex.compile(r"[ \t]*[*+\-•‣◦·▪][ \t]+(?=\S)")
 _NUMBER = regex.compile(r"[ \t]*(\d{1,4})[.)、）][ \t]+(?=\S)")
 _QUOTED = regex.compile(r"[ \t]*(?:>[ \t]*)+")
-_WORD = regex.compile(r"[\p{L}\p{M}]+$")
 _GLUED = regex.compile(r"\p{Lu}[\p{L}\p{M}\d_]*(?=[\s,.;:!?…'’\"”»]|$)|(?=[\p{Han}\p{Hiragana}\p{Katakana}])|\p{Arabic}{2}")
+_THAI = regex.compile("[\u0e00-\u0e7f]")
 _THAI_GAP = regex.compile(r"(?<=[^\s\r\n])[ \t ]+(?=[^\s\r\n])")
 
 
@@ -153,6 +154,13 @@ def outer_pairs(s: str) -> tuple[list[tuple[int, int]], dict[int, int]]:
     return outer, match
 
 
+def _word_start(s: str, i: int) -> int:
+    """Where the letters and marks that end before ``i`` begin."""
+    while i and (s[i - 1].isalpha() or (s[i - 1] > "\u02ff" and unicodedata.category(s[i - 1])[0] == "M")):
+        i -= 1
+    return i
+
+
 def _first_letter(s: str, i: int) -> str:
     """First letter or digit from ``i`` on, over opening marks, inverted marks and white space; else the character there."""
     j = i
@@ -182,10 +190,10 @@ def _is_end(s: str, i: int, j: int, k: int, opened: int | None, unit: int) -> bo
                 return False
         return True
     if "…" in run or (run.startswith("..") and len(run) > 1):
-        word = _WORD.search(s, 0, i) if i else None
+        word = s[_word_start(s, i) : i]
         if not gap and opened is None or small or "……" in run:
             return False
-        return not (word and word.group().lower() in HESITATION)
+        return word.lower() not in HESITATION
     if "!" in run or "?" in run:
         if opened is not None:
             return not small and (gap or first.isupper() or not first.isascii())
@@ -201,8 +209,8 @@ def _is_end(s: str, i: int, j: int, k: int, opened: int | None, unit: int) -> bo
     if not gap:
         t = max(s.rfind(" ", 0, i), s.rfind("\n", 0, i), -1) + 1
         token = s[t:i]
-        w = _WORD.search(s, t, i)
-        if "://" in token or "@" in token or prev.isspace() or (w and (len(w.group()) < 2 or ABBREVIATIONS.kind(s, i) == "on")):
+        n = i - max(t, _word_start(s, i))
+        if "://" in token or "@" in token or prev.isspace() or n == 1 or (n and ABBREVIATIONS.kind(s, i) == "on"):
             return False
         if s[nxt] in OPEN or s[nxt] == '"':
             return first.isupper()
@@ -218,11 +226,10 @@ def _is_end(s: str, i: int, j: int, k: int, opened: int | None, unit: int) -> bo
         if i - d <= 2 and (d == 0 or s[d - 1] not in ".,:_-" and not s[d - 1].isalpha()) and any(s.startswith(m, nxt) for m in MONTHS):
             return False
         return not small
-    w = _WORD.search(s, max(0, i - 40), i)
-    if not w:
+    b = _word_start(s, i)
+    if b == i:
         return not small or len(s[max(0, i - 3) : i].strip()) == 3
-    word = w.group()
-    b = w.start()
+    word = s[b:i]
     if len(word) == 1:
         if b and s[b - 1] == "." and s[b - 2 : b - 1].lower() in ("a", "p") and word.lower() == "m":
             return not small
@@ -268,7 +275,7 @@ def sentences_of(s: str) -> list[tuple[int, int]]:
         if _is_end(s, i, j, k, opened, unit):
             cuts.append(k)
             unit = _start(s, k)
-    if any("฀" <= c <= "๿" for c in s):
+    if _THAI.search(s):
         thai = lambda c: "฀" <= c <= "๿"
         for m in _THAI_GAP.finditer(s):
             a, b = s[m.start() - 1], s[m.end()]
