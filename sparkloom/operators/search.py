@@ -246,3 +246,40 @@ def merge_queries(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["overlay"]
+
+
+def densify(vectors: DataFrame, key: str, *, k: int = 3, floor: float = 0.7, budget: int = 10_000, block: int = 2048) -> DataFrame:
+    """``(key, a, b, score)``, a < b: the k nearest records of every record inside its group at a bit similarity of ``floor`` or more, at most ``budget`` links by score.
+
+    Groups are cut into blocks and compared block by block: no group is one task, and only the k best of a row leave it.
+    """
+    v = vectors.where(F.octet_length("vector") == 32).select(key, "id", "vector")
+    n = v.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cuts"))
+    d = v.join(n, key).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    d = d.select(key, F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "id", "vector")
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, x, b = pdf["id"].to_numpy(), _signs(list(pdf["vector"])), pdf["blk"].to_numpy()
+        s = 1 - (256 - x @ x.T) / 512
+        np.fill_diagonal(s, -1)
+        if pdf["p"].iloc[0] != pdf["q"].iloc[0]:
+            s[b[:, None] == b[None, :]] = -1
+        o = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        sc = np.take_along_axis(s, o, 1)
+        i, j = np.nonzero(sc >= floor)
+        return pd.DataFrame({"g": pdf[key].iloc[0], "qid": ids[i], "id": ids[o[i, j]], "score": sc[i, j]})
+
+    h = d.groupBy(key, "p", "q").applyInPandas(near, "g string, qid string, id string, score double")
+    best = top_per_query(h, k)
+    u = best.select(F.col("g").alias(key), F.least("qid", "id").alias("a"), F.greatest("qid", "id").alias("b"), "score").distinct()
+    return u.orderBy(F.desc("score"), "a", "b").limit(budget)
+
+
+def search_destinations(pools: dict[str, DataFrame], queries: DataFrame, k: int) -> DataFrame:
+    """Text hits of several stores or repositories, each with its own statistics, in one list by score; ``store`` names where a hit is from."""
+    out = None
+    for name, docs in sorted(pools.items()):
+        h = bm25(docs, queries).withColumn("store", F.lit(name))
+        out = h if out is None else out.unionByName(h)
+    return top_per_query(out, k)

@@ -485,3 +485,37 @@ def ast_replace(files: DataFrame, pattern: str, template: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "new_text", "edits", "ok"])
 
     return files.select("id", "content").mapInPandas(run, "id string, new_text string, edits int, ok boolean")
+
+
+def flow_reaches(source: str, start: str, end: str, most: int = 32) -> bool:
+    """Whether inside some one function a name's value may reach another: breadth-first over assignments, loops and calls' results, at most ``most`` steps."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return False
+    for fn in [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]:
+        flows: dict[str, set[str]] = {}
+        for n in ast.walk(fn):
+            if isinstance(n, ast.Assign | ast.AugAssign | ast.AnnAssign | ast.For | ast.NamedExpr):
+                value = n.iter if isinstance(n, ast.For) else n.value
+                targets = n.targets if isinstance(n, ast.Assign) else [n.target]
+                read = {x.id for x in ast.walk(value) if isinstance(x, ast.Name)} if value is not None else set()
+                for t in targets:
+                    for w in ast.walk(t):
+                        if isinstance(w, ast.Name):
+                            for r in read:
+                                flows.setdefault(r, set()).add(w.id)
+        names = {x.id for x in ast.walk(fn) if isinstance(x, ast.Name)} | {a.arg for a in fn.args.args}
+        if start not in names:
+            continue
+        seen, front = {start}, {start}
+        for _ in range(most):
+            if end in seen:
+                return True
+            front = {y for x in front for y in flows.get(x, ())} - seen
+            if not front:
+                break
+            seen |= front
+        if end in seen:
+            return True
+    return False

@@ -329,6 +329,33 @@ def test_layered_log(spark):
     assert [(x.r.bytes, x.r.images, x.r.spilled) for x in c] == [(6, 0, False), (2, 1, False), (1536, 0, True)]
 
 
+def test_pdf(spark):
+    import zlib
+
+    from sparkloom.sources.pdf import runs_of, text_runs
+
+    body = b"BT /F1 18 Tf 72 700 Td (Head\\(1\\)) Tj ET BT /F2 10 Tf 1 0 0 1 72 650 Tm [(Bo) -20 (dy) -300 (text)] TJ 0 -14 Td <6d6f7265> Tj ET"
+    packed = zlib.compress(body)
+    pdf = (b"%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R] /Count 1>> endobj\n3 0 obj <</Type /Page /MediaBox [0 0 612 792] /Contents 4 0 R /Resources <</Font <</F1 5 0 R /F2 6 0 R>>>>>> endobj\n"
+           b"4 0 obj <</Filter /FlateDecode>> stream\n" + packed + b"\nendstream endobj\n5 0 obj <</Type /Font /BaseFont /Helv-Bold>> endobj\n6 0 obj <</Type /Font /BaseFont /Courier>> endobj\n")
+    assert text_runs(pdf) == [(0, 72.0, 92.0, 18.0, "Helv-Bold", "Head(1)"), (0, 72.0, 142.0, 10.0, "Courier", "Body text"), (0, 72.0, 156.0, 10.0, "Courier", "more")]
+    assert text_runs(b"no pdf") == []
+    d = spark.createDataFrame([("a", bytearray(pdf)), ("b", None)], "path string, content binary")
+    kinds = [r.kind for r in D.layout_blocks(runs_of(d)).orderBy("page", "block").collect()]
+    assert kinds[0] == "heading" and "code" in kinds
+
+
+def test_flow():
+    src = "def f(a):\n    b = g(a)\n    for c in b:\n        d = c + 1\n    return d\ndef h(x):\n    y = 1\n"
+    assert D.flow_reaches(src, "a", "d") and not D.flow_reaches(src, "d", "a") and not D.flow_reaches(src, "x", "y") and not D.flow_reaches("def (", "a", "b")
+
+
+def test_densify(spark):
+    v = spark.createDataFrame([("g", "a", bytearray(32)), ("g", "b", bytearray(b"\x01" + bytes(31))), ("g", "c", bytearray(b"\xff" * 32)), ("h", "d", bytearray(32)), ("g", "e", None)], "cluster string, id string, vector binary")
+    for block in (2048, 1):
+        assert [(r.a, r.b, r.score) for r in X.densify(v, "cluster", block=block).collect()] == [("a", "b", 1 - 1 / 256)]
+
+
 # --- mutations and streams
 def test_mutations(spark):
     g = graph_of(spark, [node("a", metadata={"x": "1", "y": "2"}), node("b")], [("a", "b")])
