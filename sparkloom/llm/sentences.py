@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -126,27 +127,36 @@ def outer_pairs(s: str) -> tuple[list[tuple[int, int]], dict[int, int]]:
     """Outermost matched pairs in order, and every matched closing mark with its opening one; unmatched marks are no marks."""
     stack: list[tuple[str, int]] = []
     match: dict[int, int] = {}
+    held: Counter = Counter()  # closing marks that something on the stack waits for
+
+    def pop(k: int) -> None:
+        for c, _ in stack[k:]:
+            for x in OPEN.get(c, c):
+                held[x] -= 1
+        del stack[k:]
+
     for m in _MARK.finditer(s):
         i, c = m.start(), m.group()
+        k = None
+        if held[c] > 0:
+            k = next(x for x in range(len(stack) - 1, -1, -1) if c in OPEN.get(stack[x][0], stack[x][0]))
         if c == '"':
-            k = next((x for x in range(len(stack) - 1, -1, -1) if stack[x][0] == '"'), None)
             fresh = i + 1 < len(s) and not s[i + 1].isspace() and (i == 0 or s[i - 1].isspace())
-            if k is None or fresh:
-                if k is not None:
-                    del stack[k:]
-                stack.append(('"', i))
-            else:
+            if k is not None and not fresh:
                 match[i] = stack[k][1]
-                del stack[k:]
-            continue
-        if c in CLOSE:
-            k = next((x for x in range(len(stack) - 1, -1, -1) if c in OPEN.get(stack[x][0], "")), None)
             if k is not None:
-                match[i] = stack[k][1]
-                del stack[k:]
-                continue
-        if c in OPEN:
+                pop(k)
+            if k is None or fresh:
+                stack.append((c, i))
+                held[c] += 1
+            continue
+        if c in CLOSE and k is not None:
+            match[i] = stack[k][1]
+            pop(k)
+        elif c in OPEN:
             stack.append((c, i))
+            for x in OPEN[c]:
+                held[x] += 1
     outer: list[tuple[int, int]] = []
     for close, op in sorted(match.items(), key=lambda x: (x[1], -x[0])):
         if not outer or op > outer[-1][1]:
@@ -154,9 +164,16 @@ def outer_pairs(s: str) -> tuple[list[tuple[int, int]], dict[int, int]]:
     return outer, match
 
 
+def _token_start(s: str, i: int, most: int = 300) -> int:
+    """Where the characters without white space before ``i`` begin, looking back over at most ``most``."""
+    a = max(0, i - most)
+    return max(s.rfind(" ", a, i), s.rfind("\n", a, i), a - 1) + 1
+
+
 def _word_start(s: str, i: int) -> int:
     """Where the letters and marks that end before ``i`` begin."""
-    while i and (s[i - 1].isalpha() or (s[i - 1] > "\u02ff" and unicodedata.category(s[i - 1])[0] == "M")):
+    least = max(0, i - 60)  # longer words are no abbreviations
+    while i > least and (s[i - 1].isalpha() or (s[i - 1] > "\u02ff" and unicodedata.category(s[i - 1])[0] == "M")):
         i -= 1
     return i
 
@@ -201,13 +218,13 @@ def _is_end(s: str, i: int, j: int, k: int, opened: int | None, unit: int) -> bo
             return True
         if s[nxt] in OPEN or s[nxt] in '"¿¡':
             return not small
-        return bool(_GLUED.match(s, nxt)) and "://" not in s[max(unit, s.rfind(" ", 0, i)) : i]
+        return bool(_GLUED.match(s, nxt)) and "://" not in s[max(unit, _token_start(s, i)) : i]
     # one dot
     if opened is not None:
         return not small and (gap or first.isupper())
     prev = s[i - 1] if i else " "
     if not gap:
-        t = max(s.rfind(" ", 0, i), s.rfind("\n", 0, i), -1) + 1
+        t = _token_start(s, i)
         token = s[t:i]
         n = i - max(t, _word_start(s, i))
         if "://" in token or "@" in token or prev.isspace() or n == 1 or (n and ABBREVIATIONS.kind(s, i) == "on"):

@@ -25,14 +25,14 @@ SAMPLE_FILES, COMMON_IN = 2000, 3
 TOOL_NOTES = (
     r"code generated\b.*\bdo not edit", r"@generated\b", r"<auto-?generated", r"\bauto-?\s?generated\b", r"\bautomatically (?:produced|generated|created|written)\b",
     r"\bmachine[- ](?:written|generated|made)\b", r"\bgenerated (?:by|from|with|using)\b", r"\bdo not (?:edit|modify)\b", r"\bnever edit\b", r"\bedits? (?:are|is|will be) overwritten\b",
-    r"\bchanges will be (?:lost|overwritten)\b", r"\bregenerate with\b", r"^\W*output of \S+?\.? ", r"^\W*source: \S+\.(?:proto|idl|thrift|avsc|fbs|yaml|yml|json)\b", r"\bmanual changes will be lost\b",
+    r"\bchanges will be (?:lost|overwritten)\b", r"\bregenerate with\b", r"^\W{0,40}output of \S+?\.? ", r"^\W{0,40}source: \S+\.(?:proto|idl|thrift|avsc|fbs|yaml|yml|json)\b", r"\bmanual changes will be lost\b",
 )
 # Denials of the same.
 DENIALS = (r"\b(?:not|never|isn't|is not|no longer|wasn't) (?:auto-?)?(?:machine-)?generated\b", r"\bhand-?written\b", r"\bwritten by hand\b", r"\bedit it freely\b")
 # What third-party files say of where they come from.
 ORIGIN_NOTES = (
     r"\bupstream:? https?://", r"\bthis file is part of \S+ \((?:release|version) ", r"\btaken (?:unmodified|verbatim|as is) from\b", r"\bspdx-filecopyrighttext: the \S+ contributors\b",
-    r"\bcopied (?:unmodified |verbatim )?from \S+[@ ]v?\d", r"\bvendored from\b", r"^\W*/?\*?!\s*\S+ v?\d+\.\d+\.\d+",
+    r"\bcopied (?:unmodified |verbatim )?from \S+[@ ]v?\d", r"\bvendored from\b", r"^\W{0,40}/?\*?!\s*\S+ v?\d+\.\d+\.\d+",
 )
 # Path segments under which third-party files are kept.
 VENDOR_SEGMENTS = "vendor _vendor vendored _vendored third_party third-party thirdparty 3rdparty node_modules bower_components jspm_packages deps extern external externals godeps site-packages".split()
