@@ -249,16 +249,29 @@ def candidate_groups(g: Graph) -> DataFrame:
     return d.select("from_id", F.when(F.col("single"), F.lit("")).otherwise(F.col("_k")).alias("evidence"), "members", "confidence", declared.alias("declared"), (F.col("method") == "ambiguous-name").alias("closed"), (F.col("members") == declared).alias("complete"))
 
 
-def shared_artifact_pairs(members: DataFrame, existing: DataFrame, per: str = "artifact") -> DataFrame:
+#: About how many members of an artifact are paired with as many others in one step.
+PAIR_BLOCK = 256
+
+
+def shared_artifact_pairs(members: DataFrame, existing: DataFrame, per: str = "artifact", block: int = PAIR_BLOCK) -> DataFrame:
     """Pairs a < b of thoughts that share an artifact, one row per artifact, without pairs already joined in either direction.
 
-    Input ``(artifact, thought)`` distinct pairs. The pairs of one artifact are the result asked for; artifacts
-    that a large part of all thoughts share should be dropped before, as their links say nothing.
+    Input ``(artifact, thought)`` pairs. Every artifact gives all pairs of its members, however many it has, as in
+    the reference, so the result grows with the square of its largest ones. Members are cut into blocks of about
+    ``block`` and every pair of blocks is a key of its own: no task holds a large artifact. Pairs already joined
+    travel with the members of a block, so the pairs themselves are never shuffled.
     """
-    m = members.select(per, "thought").distinct()
-    p = m.withColumnRenamed("thought", "a").join(m.withColumnRenamed("thought", "b"), per).where("a < b")
-    x = existing.select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).distinct()
-    return p.join(x, ["a", "b"], "left_anti")
+    m = members.select(per, "thought").where(F.col("thought").isNotNull()).distinct()
+    blocks = m.groupBy(per).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    m = m.join(blocks, per).withColumn("own", F.pmod(F.xxhash64("thought"), "blocks"))
+    x = existing.select(F.col("from_id").alias("thought"), F.col("to_id").alias("other"))
+    x = x.unionByName(x.select(F.col("other").alias("thought"), F.col("thought").alias("other"))).distinct()
+    other = m.select(per, F.col("thought").alias("other"), F.col("own").alias("hi"))
+    joined = x.join(m.select(per, "thought"), "thought").join(other, [per, "other"]).groupBy(per, "thought", "hi").agg(F.collect_set("other").alias("joined"))
+    left = m.select(per, "thought", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi")).join(joined, [per, "thought", "hi"], "left")
+    right = other.select(per, "other", "hi", F.explode(F.sequence(F.lit(0).cast("long"), "hi")).alias("lo"))
+    p = left.join(right, [per, "lo", "hi"]).where("(lo < hi or thought < other) and not coalesce(array_contains(joined, other), false)")
+    return p.select(F.least("thought", "other").alias("a"), F.greatest("thought", "other").alias("b"), per)
 
 
 def score_alerts(findings: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -201,6 +201,22 @@ def test_sequential_analyzers(spark):
         A.run("nope", n, n)
 
 
+def test_large_sessions_are_paired_whole(spark, tmp_path):
+    from sparkloom.plans import catalog
+
+    held = [("s", f"m{i:02d}") for i in range(50)] + [("t", f"m{i:02d}") for i in range(3)]
+    links = [("m01", "m00", "supports"), ("m02", "m49", "relates-to"), ("m03", "zz", "supports")]
+    edges = [(a, b, "contains", 1.0, 0.5, "human", "", 0) for a, b in held] + [(a, b, t, 1.0, 0.5, "human", "", 0) for a, b, t in links]
+    spark.createDataFrame([node("s")], NODES).write.parquet(f"{tmp_path}/nodes.parquet")
+    e = spark.createDataFrame(edges, EDGES)
+    e.write.parquet(f"{tmp_path}/edges.parquet")
+    done = {tuple(sorted(x[:2])) for x in links}
+    want = sorted((*p, s) for s in "st" for p in itertools.combinations(sorted(b for a, b in held if a == s), 2) if p not in done)
+    assert sorted((r.a, r.b, r.artifact) for r in catalog.QUERIES["shared_session_pairs"](spark, str(tmp_path)).collect()) == want
+    members = e.where("type = 'contains'").select(F.col("from_id").alias("artifact"), F.col("to_id").alias("thought"))
+    assert sorted((r.a, r.b, r.artifact) for r in G.shared_artifact_pairs(members, e.where("type <> 'contains'"), block=7).collect()) == want
+
+
 def test_dsm(spark):
     p = spark.createDataFrame([("app", "core", 3), ("core", "util", 2), ("util", "app", 1), ("x", "y", 1), ("y", "x", 1)], "src string, dst string, n long")
     r = {(x.from_pkg, x.to_pkg) for x in A.dsm(p.select(F.explode(F.array("src", "dst")).alias("id")), p).collect()}
