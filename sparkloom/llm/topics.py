@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sparkloom.llm.blocks import latest, parts_for, sorted_groups
+from sparkloom.llm.components import connected_groups
 from sparkloom.runtime import Materialized, materialize
 
 BITS = 256
@@ -19,6 +20,8 @@ ORDERS, WINDOW = 16, 1024
 #: Neighbours kept per record; density is taken at the (MIN_SIZE-1)-th.
 KEEP = 8
 MIN_SIZE = 5
+#: About how many topics and records of one block are held against those of another.
+ACROSS = 4096
 #: Bits of a record number where it shares a long with a distance.
 SHIFT = 55
 
@@ -328,9 +331,8 @@ def topics_of(x: np.ndarray, size: np.ndarray, clusters: list[np.ndarray], radiu
     for c in sorted((clique_of(x, m, radius) for m in clusters), key=lambda m: (-int(size[m].sum()), m.min() if len(m) else 0)):
         if not len(c):
             continue
-        centre = _majority(x, c)
         for i, f in enumerate(found):
-            if _distance(centre, _majority(x, f))[0, 0] <= radius and all((_distance(x[c[b]], x[f]) <= radius).all() for b in _blocks(len(c), len(f))):
+            if _distance(x[c[:1]], x[f[:1]])[0, 0] <= radius and all((_distance(x[c[b]], x[f]) <= radius).all() for b in _blocks(len(c), len(f))):
                 found[i] = np.concatenate([f, c])
                 break
         else:
@@ -342,7 +344,7 @@ def topics_of(x: np.ndarray, size: np.ndarray, clusters: list[np.ndarray], radiu
     for f in sorted(found, key=lambda m: (-int(size[m].sum()), m.min())):
         free = (~used).nonzero()[0]
         if len(free):
-            free = free[_distance(_majority(x, f), x[free])[0] <= radius]
+            free = free[_distance(x[f[:1]], x[free])[0] <= radius]
         for b in _blocks(len(free), len(f)):
             part = free[b]
             whole = part[(_distance(x[part], x[f]) <= radius).all(1)]
@@ -380,49 +382,120 @@ def cluster_topics(points: DataFrame, radius: int) -> DataFrame:
     """``(nid, topic, persistence)`` for rows ``(nid, vector, size)`` of distinct vectors; topic is the smallest nid of it.
 
     One task holds one component of the reachability graph: about 200 bytes for each of its distinct vectors, and
-    blocks of distances of a fixed size.
+    blocks of distances of a fixed size. Topics that reach over components are joined and completed afterwards.
     """
     lists = materialize(neighbour_lists(points.select("nid", "vector"), radius), "p3-lists")
     edges = materialize(reachability(lists.df, points).where(F.col("w") <= radius), "p3-reach")
     forest, label = minimum_spanning_forest(edges.df)
     # vectors of five copies that have no neighbour are topics of their own; they are no end of an edge
-    alone = points.where(F.col("size") >= MIN_SIZE).join(label.df.select("nid"), "nid", "left_anti").select("nid", F.col("nid").alias("topic"), F.lit(1.0).alias("persistence"))
+    alone = points.where(F.col("size") >= MIN_SIZE).join(label.df.select("nid"), "nid", "left_anti").select("nid", F.col("nid").alias("c"), F.col("nid").alias("topic"), F.lit(1.0).alias("persistence"))
     p = label.df.join(points, "nid").select("c", "nid", F.lit(-1).cast("long").alias("v"), F.lit(0).alias("w"), "vector", "size")
     e = forest.df.select("c", F.col("u").alias("nid"), "v", "w", F.lit(None).cast("binary").alias("vector"), F.lit(0).cast("long").alias("size"))
     rows = p.unionByName(e)
     parts = parts_for(points.sparkSession, 0, 1)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, int, np.ndarray]] = []
+        held: list[pd.DataFrame] = []
         for grp in sorted_groups(batches, "c"):
             is_p = grp["v"].to_numpy() < 0
             pts, es = grp[is_p].sort_values("nid"), grp[~is_p]
             nid, size = pts["nid"].to_numpy(), pts["size"].to_numpy()
-            if size.sum() < MIN_SIZE:
-                continue
-            x = _packed(list(pts["vector"]))
-            cl = condensed_clusters(len(nid), size, np.searchsorted(nid, es["nid"].to_numpy()), np.searchsorted(nid, es["v"].to_numpy()), es["w"].to_numpy())
+            cl, found, x = [], [], _packed(list(pts["vector"]))
+            if size.sum() >= MIN_SIZE:
+                cl = condensed_clusters(len(nid), size, np.searchsorted(nid, es["nid"].to_numpy()), np.searchsorted(nid, es["v"].to_numpy()), es["w"].to_numpy())
+                found = topics_of(x, size, [m for m, _ in cl], radius)
             lasts = np.zeros(len(nid))
             for m, lam in cl:
                 lasts[m] = lam
-            for t in topics_of(x, size, [m for m, _ in cl], radius):
-                held.append((nid[t], int(nid[t].min()), lasts[t]))
+            held.append(pd.DataFrame({"nid": nid, "c": int(grp["c"].iloc[0]), "topic": _numbers(nid, found), "persistence": lasts}))
             if len(held) > 500:
-                yield _flat(held)
+                yield pd.concat(held)
                 held = []
         if held:
-            yield _flat(held)
+            yield pd.concat(held)
+
+    solved = rows.repartition(parts, "c").sortWithinPartitions("c").mapInPandas(solve, "nid long, c long, topic long, persistence double")
+    solved = materialize(solved.unionByName(alone), "p3-solved").df
+    return across_components(points, lists.df, solved, radius)
+
+
+def _numbers(nid: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
+    """Of every record the smallest number in its topic, or -1."""
+    out = np.full(len(nid), -1, dtype=np.int64)
+    for t in found:
+        out[t] = nid[t].min()
+    return out
+
+
+def similar_items(items: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)``, a < b: all pairs of rows ``(item, c, vector)`` of different c within ``radius``; exact, by every pair of blocks of about ACROSS rows."""
+    n = items.count()
+    k = n // ACROSS + 1
+    own = items.withColumn("own", F.pmod(F.xxhash64("item"), F.lit(k)))
+    left = own.select("item", "c", "vector", F.lit(0).alias("side"), F.col("own").alias("lo"), F.explode(F.sequence("own", F.lit(k - 1).cast("long"))).alias("hi"))
+    right = own.select("item", "c", "vector", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("lo"), F.col("own").alias("hi"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for grp in sorted_groups(batches, ["lo", "hi"]):
+            p, q = grp[grp["side"] == 0], grp[grp["side"] == 1]
+            if p.empty or q.empty:
+                continue
+            x, y, pi, qi, pc, qc = _packed(list(p["vector"])), _packed(list(q["vector"])), p["item"].to_numpy(), q["item"].to_numpy(), p["c"].to_numpy(), q["c"].to_numpy()
+            same = grp["lo"].iloc[0] == grp["hi"].iloc[0]
+            for b in _blocks(len(x), len(y)):
+                i, j = ((_distance(x[b], y) <= radius) & (pc[b][:, None] != qc[None, :])).nonzero()
+                u, v = pi[b][i], qi[j]
+                keep = u < v if same else np.ones(len(u), dtype=bool)
+                yield pd.DataFrame({"a": np.minimum(u, v)[keep], "b": np.maximum(u, v)[keep]})
+
+    parts = parts_for(items.sparkSession, k * (k + 1) // 2, 4)
+    return left.unionByName(right).repartition(parts, "lo", "hi").sortWithinPartitions("lo", "hi").mapInPandas(compare, "a long, b long")
 
-    solved = rows.repartition(parts, "c").sortWithinPartitions("c").mapInPandas(solve, "nid long, topic long, persistence double")
-    return solved.unionByName(alone)
 
+def across_components(points: DataFrame, lists: DataFrame, solved: DataFrame, radius: int) -> DataFrame:
+    """``(nid, topic, persistence)``: the topics of all components, joined and completed over their borders.
 
-def _flat(held) -> pd.DataFrame:
-    return pd.DataFrame({
-        "nid": np.concatenate([h[0] for h in held]),
-        "topic": np.concatenate([np.full(len(h[0]), h[1]) for h in held]),
-        "persistence": np.concatenate([h[2] for h in held]),
-    })
+    A list of fewer than KEEP holds all records similar to its own, so two similar records in different components
+    both have full lists. Hence only topics whose members all have full lists, and records in no topic with a full
+    list, can belong together over a border. Of these all pairs are compared, first one member of each, then all;
+    what is linked by pairs that are similar throughout is solved again as one, with its topics as proposals.
+    """
+    full = lists.where(F.size("near") >= KEEP).select(F.col("q").alias("nid"))
+    p = points.join(full, "nid").join(solved, "nid", "left").select("nid", "vector", "size", F.coalesce("c", "nid").alias("c"), F.coalesce("topic", F.lit(-1)).alias("topic"), F.coalesce("persistence", F.lit(0.0)).alias("persistence"))
+    sizes = solved.where("topic >= 0").groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    whole = p.where("topic >= 0").groupBy("topic").agg(F.count(F.lit(1)).alias("k")).join(sizes, "topic").where("k = n").select("topic")
+    m = materialize(p.where("topic < 0").unionByName(p.join(whole, "topic", "left_semi")).withColumn("item", F.when(F.col("topic") < 0, F.col("nid")).otherwise(F.col("topic"))), "p3-border").df
+    result = solved.where("topic >= 0").select("nid", "topic", "persistence")
+    pairs = materialize(similar_items(m.where("nid = item").select("item", "c", "vector"), radius), "p3-pairs").df
+    if pairs.isEmpty():
+        return result
+    ends = pairs.join(m.select(F.col("item").alias("a"), "vector"), "a").select("a", "b", F.lit(0).alias("side"), "vector").unionByName(
+        pairs.join(m.select(F.col("item").alias("b"), "vector"), "b").select("a", "b", F.lit(1).alias("side"), "vector"))
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for grp in sorted_groups(batches, ["a", "b"]):
+            side = grp["side"].to_numpy()
+            x = _packed(list(grp["vector"]))
+            y, z = x[side == 0], x[side == 1]
+            if all((_distance(y[b], z) <= radius).all() for b in _blocks(len(y), len(z))):
+                yield grp[["a", "b"]].head(1)
+
+    links = materialize(ends.repartition("a", "b").sortWithinPartitions("a", "b").mapInPandas(alike, "a long, b long"), "p3-links").df
+    if links.isEmpty():
+        return result
+    again = m.join(connected_groups(links).select(F.col("node").alias("item"), "group_id"), "item").select("group_id", "nid", "vector", "size", "topic", "persistence")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for grp in sorted_groups(batches, "group_id"):
+            grp = grp.sort_values("nid", ignore_index=True)
+            nid, was = grp["nid"].to_numpy(), grp["topic"].to_numpy()
+            order = np.argsort(was, kind="stable")
+            proposed = [t for t in np.split(order, np.flatnonzero(np.diff(was[order])) + 1) if was[t[0]] >= 0]
+            found = topics_of(_packed(list(grp["vector"])), grp["size"].to_numpy(), proposed, radius)
+            yield pd.DataFrame({"nid": nid, "topic": _numbers(nid, found), "persistence": grp["persistence"]})
+
+    changed = materialize(again.repartition("group_id").sortWithinPartitions("group_id").mapInPandas(solve, "nid long, topic long, persistence double"), "p3-again").df
+    return result.join(changed.select("nid"), "nid", "left_anti").unionByName(changed.where("topic >= 0"))
 
 
 def topics(docs: DataFrame, *, similarity: float = 0.75) -> DataFrame:

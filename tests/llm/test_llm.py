@@ -136,6 +136,35 @@ def test_topics(spark):
     assert topics.topics(d.limit(0)).count() == 0
 
 
+def test_topics_reach_over_components(spark):
+    rng = np.random.default_rng(3)
+
+    def group(centre, n, at):
+        out = np.repeat(centre[None, :], n, axis=0)
+        for i in range(n):
+            out[i, at + 6 * i : at + 6 * i + 6] ^= 1
+        return out
+
+    rows, truth = [], {}
+    for k in range(3):  # two tight sub-groups of 12, at most 32 apart
+        a = rng.integers(0, 2, 256)
+        b = a.copy()
+        b[200:220] ^= 1
+        for j, v in enumerate([*group(a, 12, 0), *group(b, 12, 80)]):
+            rows.append((f"{k}-{j:02d}", bytearray(np.packbits(v).tobytes()), 1))
+            truth[f"{k}-{j:02d}"] = f"{k}-00"
+    # two tight groups of which only some are similar over the border stay two topics
+    a = rng.integers(0, 2, 256)
+    b = a.copy()
+    b[200:255] ^= 1
+    for k, g in (("x", group(a, 12, 0)), ("y", group(b, 12, 80))):
+        for j, v in enumerate(g):
+            rows.append((f"{k}-{j:02d}", bytearray(np.packbits(v).tobytes()), 1))
+            truth[f"{k}-{j:02d}"] = f"{k}-00"
+    d = spark.createDataFrame(rows, "id string, vector binary, updated_at long")
+    assert {r.node_id: r.topic_key for r in topics.topics(d).collect()} == truth
+
+
 def test_bridge_is_in_no_topic():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2, 256)
