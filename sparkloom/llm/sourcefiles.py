@@ -55,14 +55,36 @@ _WORD = re.compile(r"\w+")
 _HEAD = regex.compile(r"\A(?:\s*(?://[^\n]*|\#[^\n]*|/\*.*?\*/|<!--.*?-->|--[^\n]*))+", regex.S)
 _COMMENTS = re.compile(r"^[ \t]*(?://|/?\*|\#|<!--|--).*$", re.M)
 _RIGHTS = re.compile(r"^[ \t]*(?://|/?\*|\#|--)[^\n]*(?:copyright|licen[cs]e|redistribut|upstream|taken unmodified|this file is part of)[^\n]*\n", re.M | re.I)
-_TAIL = re.compile(r"(?:\n[ \t]*(?://|\#)[^\n]*)+\s*\Z")
+_OPENS = {"*/": ("/*", re.compile(r"^[ \t]*(?=/\*)", re.M)), "-->": ("<!--", re.compile(r"^[ \t]*(?=<!--)", re.M))}
 
 
 def notes(text: str) -> tuple[str, str]:
-    """Comments at the very start and at the very end of a file."""
+    """All comments before the first and after the last code of a file, however long they are."""
     h = _HEAD.match(text)
-    t = _TAIL.search(text, max(0, len(text) - 2000))
-    return (h.group() if h else "", t.group() if t else "")
+    return (h.group() if h else "", _tail(text))
+
+
+def _tail(text: str) -> str:
+    end = len(text)  # behind it are comments and blanks only
+    while end > 0:
+        start = text.rfind("\n", 0, end) + 1
+        line = text[start:end].strip()
+        if not line or line.startswith(("//", "#", "--")):
+            end = start - 1
+            continue
+        close = next((c for c in _OPENS if line.endswith(c)), "")
+        if not close:
+            break
+        mark, at_start = _OPENS[close]
+        rest = start + len(text[start:end].rstrip())
+        before = text.rfind(close, 0, rest - len(close))
+        before = before + len(close) if before >= 0 else 0
+        m = at_start.search(text, before, rest)
+        opened = m.end() if m else text.rfind(mark, before, rest)
+        if opened < 0:
+            break
+        end = opened
+    return text[max(end, 0) :]
 
 
 def layout(text: str, hashes: bool = False) -> dict:
@@ -109,7 +131,8 @@ def kind_of(path: str, text: str) -> str:
     if not text.strip():
         return ""
     head, tail = notes(text)
-    first = "\n".join(x for x in text.split("\n", 15)[:15] if _COMMENTS.match(x))
+    # the whole first comment, and comments on the first lines even if code stands before them
+    first = head + "\n" + "\n".join(x for x in text[len(head) :].split("\n", 15)[: max(0, 15 - head.count("\n"))] if _COMMENTS.match(x))
     if (_TOOL.search(first) or _TOOL.search(tail)) and not _DENY.search(first):
         return "generated"
     if _is_vendor_path(path) or any(_ORIGIN.search(x) for x in _COMMENTS.findall(text)):

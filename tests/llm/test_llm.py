@@ -27,6 +27,19 @@ def test_kinds_of_files():
     assert k("a/b.go", "") == k("a/b.go", "  \n") == k("", "x") == ""
 
 
+def test_notes_in_long_comments():
+    go = "package a\n\n// Walk visits every node of the tree once.\nfunc Walk(x int) int {\n\tif x > 3 {\n\t\treturn x\n\t}\n\treturn Walk(x + 1)\n}\n"
+    k, note = sourcefiles.kind_of, "Code generated by x. DO NOT EDIT."
+    lines = [f"Permission is granted to use item {i} of these terms." for i in range(60)]
+    long = "".join(f"// {x}\n" for x in lines)
+    assert k("a/b.go", long + go) == k("a/b.go", go + long) == ""
+    assert k("a/b.go", long + "\n// " + note + "\n" + go) == "generated"
+    assert k("a/b.go", "/*\n" + "\n".join(lines) + "\n" + note + "\n*/\n" + go) == k("a/b.go", "/*\n" + note + "\n*/\n" + go) == "generated"
+    assert k("a/b.go", go + "// " + note + "\n" + long) == k("a/b.go", go + "// " + note + "\n\n" + long) == "generated"
+    assert k("a/b.go", go + "/*\n" + note + "\n" + "\n".join(lines) + "\n*/\n") == "generated"
+    assert k("a/b.go", go + f'var s = "{note}"\n/* end */\n') == k("a/b.go", go + f'var g, s = "a/*", "{note}"\n/* end */\n') == ""
+
+
 def test_prefix_filter_is_exact():
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)]
