@@ -17,7 +17,7 @@ DAMPING, PR_TOL, PR_ITER = 0.85, 1e-6, 200
 HITS_TOL, HITS_ITER = 1e-8, 200
 TOP = 20
 MIN_COMMUNITY, GAMMA, LEIDEN_ITER = 5, 0.5, 100
-EXACT_BETWEENNESS, SAMPLES = 5000, 100
+EXACT_BETWEENNESS, SAMPLES, MAX_SAMPLES = 5000, 100, 200
 #: An adjacency of up to this many edges (16 bytes each) is sent to every task; beyond it betweenness is refused.
 MAX_ADJACENCY = 20_000_000
 #: Sequential analyzers take one connected component per task, of up to this many edges; beyond it they are refused.
@@ -280,9 +280,11 @@ def touched_communities(old: DataFrame, nodes: DataFrame, edges: DataFrame, chan
 
 
 @analyzer("betweenness")
-def betweenness(nodes: DataFrame, edges: DataFrame, *, samples: int = SAMPLES) -> DataFrame:
-    """``(id, score)``: unscaled directed shortest-path betweenness; exact below EXACT_BETWEENNESS nodes, else from sampled sources times n/k.
+def betweenness(nodes: DataFrame, edges: DataFrame, *, samples: int | None = None) -> DataFrame:
+    """``(id, score)``: unscaled directed shortest-path betweenness; exact below EXACT_BETWEENNESS nodes, else from k sampled sources times n/k.
 
+    The k sources are drawn from all n nodes, with or without an edge; k is n/50 between SAMPLES and MAX_SAMPLES
+    unless given. If no more than k nodes have an edge, all of these are sources and the scores are exact.
     Sources are the work list; the adjacency goes to every task behind a check of its size.
     """
     spark = nodes.sparkSession
@@ -291,11 +293,14 @@ def betweenness(nodes: DataFrame, edges: DataFrame, *, samples: int = SAMPLES) -
         raise ValueError(f"{m} edges; betweenness takes {MAX_ADJACENCY}")
     pdf = edges.select("src", "dst").distinct().toPandas()
     ids, adj = _adjacency(pdf, False) if len(pdf) else (np.array([], dtype=object), [])
-    n = nodes.count()
+    n = nodes.select("id").unionByName(edges.select(F.explode(F.array("src", "dst")).alias("id"))).distinct().count()
+    samples = samples or min(MAX_SAMPLES, max(SAMPLES, n // 50))
     sources = np.arange(len(ids))
     scale = 1.0
     if n >= EXACT_BETWEENNESS and len(ids) > samples:
-        sources = np.sort(np.random.default_rng(0).permutation(len(ids))[:samples])
+        # numbers from len(ids) on stand for nodes without an edge: they count as drawn and add nothing
+        drawn = np.sort(np.random.default_rng(0).permutation(n)[:samples])
+        sources = drawn[drawn < len(ids)]
         scale = n / samples
     b = spark.sparkContext.broadcast(adj)
 

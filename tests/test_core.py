@@ -217,6 +217,17 @@ def test_large_sessions_are_paired_whole(spark, tmp_path):
     assert sorted((r.a, r.b, r.artifact) for r in G.shared_artifact_pairs(members, e.where("type <> 'contains'"), block=7).collect()) == want
 
 
+def test_sampled_betweenness_counts_isolated_nodes(spark):
+    # a ring through 1000 of 6000 nodes: each source adds 0 to k-2 at the nodes on its way round, the same sum from every one
+    k, n = 1000, 6000
+    e = spark.createDataFrame([(f"{i:04d}", f"{(i + 1) % k:04d}", 1.0) for i in range(k)], "src string, dst string, weight double")
+    nodes = ids(spark, [f"{i:04d}" for i in range(n)])
+    each = (k - 1) * (k - 2) / 2
+    r = A.betweenness(nodes, e).agg(F.count("id").alias("n"), F.sum("score").alias("s")).first()
+    drawn = r.s / each / (n / 120)  # of 6000/50 sources drawn from all nodes, those on the ring
+    assert r.n == n and abs(drawn - round(drawn)) < 1e-6 and 5 <= round(drawn) <= 40
+
+
 def test_dsm(spark):
     p = spark.createDataFrame([("app", "core", 3), ("core", "util", 2), ("util", "app", 1), ("x", "y", 1), ("y", "x", 1)], "src string, dst string, n long")
     r = {(x.from_pkg, x.to_pkg) for x in A.dsm(p.select(F.explode(F.array("src", "dst")).alias("id")), p).collect()}
