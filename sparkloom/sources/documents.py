@@ -302,7 +302,7 @@ def chunk_source(path: str, language: str | None, text: str) -> list[tuple]:
     if not pat:
         return out
     lines = text.split("\n")
-    imports = sorted({m for ln in lines[:200] for m in re.findall(r"""^\s*(?:import|use|require|from)\b.*?["']?([\w./:@-]+)["']?\s*\)?;?\s*$""", ln)})
+    imports = sorted({m for ln in lines for m in re.findall(r"""^\s*(?:import|use|require|from)\b.*?["']?([\w./:@-]+)["']?\s*\)?;?\s*$""", ln)})
     for i, ln in enumerate(lines):
         m = re.match(pat, ln)
         if not m:

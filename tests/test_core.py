@@ -228,6 +228,12 @@ def test_sampled_betweenness_counts_isolated_nodes(spark):
     assert r.n == n and abs(drawn - round(drawn)) < 1e-6 and 5 <= round(drawn) <= 40
 
 
+def test_imports_below_line_200():
+    text = "use std::fmt;\n" + "// filler\n" * 300 + "mod tests {\n    use crate::late;\n    fn check() {\n        run();\n    }\n}\n"
+    c = D.chunk_source("a.rs", "rust", text)
+    assert c and all(any("late" in i for i in x[5]) and any("fmt" in i for i in x[5]) for x in c)
+
+
 def test_dsm(spark):
     p = spark.createDataFrame([("app", "core", 3), ("core", "util", 2), ("util", "app", 1), ("x", "y", 1), ("y", "x", 1)], "src string, dst string, n long")
     r = {(x.from_pkg, x.to_pkg) for x in A.dsm(p.select(F.explode(F.array("src", "dst")).alias("id")), p).collect()}
