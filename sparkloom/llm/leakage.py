@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import html
 import unicodedata
+import uuid
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +21,18 @@ from pyspark.sql import functions as F
 WORDS, LOOSE_WORDS, LOOSE_SHARE, CHARS = 13, 20, 10, 30
 #: A passage of LOOSE_WORDS with one edit in ten has this many untouched words in a row somewhere.
 SEED = 6
-#: Characters of item text one automaton is built from; more items take more automata, each a scan of its own.
-MAX_ITEM_CHARS = 16_000_000
+#: Characters of item text one automaton is built from, at about 240 bytes each in every Python worker; more items take more automata, each a scan of its own.
+MAX_ITEM_CHARS = 1_000_000
 
 # Elements that stand inside a word or between two of one sentence without parting them.
 INLINE = "a|abbr|b|bdi|cite|code|em|font|i|ins|kbd|mark|q|s|small|span|strong|sub|sup|tt|u|var|wbr"
-_MARKUP = regex.compile(rf"(?P<none></?(?:{INLINE})(?:\s[^<>]{{0,300}})?/?>|\]\([^()\s]{{1,300}}\))|(?P<gap><(?:/?[a-zA-Z][^<>]{{0,300}}|!--.{{0,300}}?--)>)|(?P<ent>&(?:\#\d{{1,6}}|\#[xX][0-9a-fA-F]{{1,5}}|[a-zA-Z]{{2,8}});)", regex.S)
+# a tag is a name and attributes, however long; no part of it is tried twice
+_ATTRIBUTES = r"""(?:\s++[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>]++))?+)*+\s*+"""
+_NONE = rf"(?P<none></?(?:{INLINE}){_ATTRIBUTES}/?>|\]\([^()\s]++\))"
+_GAP = rf"</?[a-zA-Z][\w:.-]*+{_ATTRIBUTES}/?>|<![a-zA-Z][^<>]*+>"
+_ENTITY = r"(?P<ent>&(?:\#\d++|\#[xX][0-9a-fA-F]++|[a-zA-Z][a-zA-Z0-9]*+);)"
+_MARKUP = regex.compile(rf"{_NONE}|(?P<gap>{_GAP})|{_ENTITY}")
+_MARKUP_COMMENTS = regex.compile(rf"{_NONE}|(?P<gap><!--.*?-->|{_GAP})|{_ENTITY}", regex.S)
 _HYPHEN = regex.compile(r"(?<=\p{L})[-\u2010]\r?\n[\s>#/*-]*(?=\p{L})")
 _GLUED = regex.compile(r"(?<=\p{L})[.!?,;:\u2013\u2014]+[\"\u201d\u00bb)]*(?=\p{L})")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -50,7 +59,8 @@ def strip_markup(text: str) -> tuple[str, list[tuple[int, int]]]:
     if "<" not in text and "&" not in text and "](" not in text:
         return text, [(0, 0)]
     out, steps, at, size = [], [(0, 0)], 0, 0
-    for m in _MARKUP.finditer(text):
+    last = text.rfind("-->") + 3 if "<!--" in text else 2  # a comment that opens behind the last close is none
+    for m in chain(_MARKUP_COMMENTS.finditer(text, 0, last) if last > 2 else (), _MARKUP.finditer(text, last if last > 2 else 0)):
         new = "" if m["none"] else " " if m["gap"] else html.unescape(m["ent"])
         if m["ent"] and new == m["ent"]:
             continue
@@ -84,11 +94,14 @@ def is_unspaced(text: str, lang: str | None) -> bool:
 class Matcher:
     """All items in one automaton; ``find`` scans a document once."""
 
-    def __init__(self, items: Iterable[tuple[int, str, str | None]]):
+    def __init__(self, items: Iterable[tuple]):
         import ahocorasick
 
         groups: dict[tuple[bool, str], list[int]] = defaultdict(list)
-        for item_id, text, lang in items:
+        self.answers: dict[str, set[int]] = defaultdict(set)
+        for item_id, text, lang, *answer in items:
+            if answer and answer[0] and (folded := fold(strip_markup(answer[0])[0])):
+                self.answers[folded].add(item_id)
             if text and text.strip():
                 plain = strip_markup(text)[0]
                 groups[is_unspaced(plain, lang), " ".join(words_of(plain))].append(item_id)
@@ -114,14 +127,14 @@ class Matcher:
                 for i in range(len(w) - SEED + 1):
                     uses["".join(w[i : i + SEED])].append((k, i, False))
         self.auto = ahocorasick.Automaton()
-        for p, u in uses.items():
-            self.auto.add_word(p, (len(p), u))
+        for p in uses.keys() | (self.answers.keys() if uses else set()):
+            self.auto.add_word(p, (len(p), uses.get(p, []), p if p in self.answers else None))
         if uses:
             self.auto.make_automaton()
         self.empty = not uses
 
-    def find(self, text: str) -> list[tuple[int, int, int]]:
-        """``(item, start, end)`` of the first passage of each item the text holds, as code points of the text."""
+    def find(self, text: str) -> list[tuple[int, int, int, bool]]:
+        """``(item, start, end, answered)`` of the first passage of each item the text holds, as code points of the text; answered: its answer stands there too, as whole words."""
         if self.empty or not text:
             return []
         plain, steps = strip_markup(text)
@@ -129,7 +142,10 @@ class Matcher:
         hits: dict[tuple[int, int], list[int]] = defaultdict(list)
         spans: dict[int, tuple[int, int]] = {}
         whole: list[tuple[int, int, int]] = []
-        for end, (size, uses) in self.auto.iter(stream):
+        told: dict[str, list[int]] = {}
+        for end, (size, uses, answer) in self.auto.iter(stream):
+            if answer is not None:
+                told.setdefault(answer, []).append(end + 1)
             for k, i, done in uses:
                 if not done:
                     hits[k, end + 1 - size - int(self.starts[k][i])].append(i)
@@ -186,9 +202,15 @@ class Matcher:
                 s = steps[max(0, bisect_left(keys, p + 1) - 1)]
                 return s[1] + p - s[0]
 
+            def apart(end: int, size: int) -> bool:
+                a, b = int(origin[end - size]), int(origin[end - 1])
+                return (_CJK.match(plain[a]) or a == 0 or not plain[a - 1].isalnum()) and (_CJK.match(plain[b]) or b + 1 == len(plain) or not plain[b + 1].isalnum())
+
+            mine = {item for k in spans for item in self.ids[k]}
+            answered = {i for t, ends in told.items() if (want := self.answers[t] & mine) and any(apart(e, len(t)) for e in ends) for i in want}
             for k, (a, b) in spans.items():
                 s, e = back(int(origin[a])), back(int(origin[b - 1])) + 1
-                out += [(item, s, e) for item in self.ids[k]]
+                out += [(item, s, e, item in answered) for item in self.ids[k]]
         return out
 
 
@@ -236,32 +258,47 @@ def edited_passage(item: list[str], doc: list[str], i: int, j: int, p: int) -> t
     return None
 
 
+_BUILT: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, rows: Broadcast) -> Matcher:
+    """The automaton of a list of items, built once in a Python worker; only the last one is kept."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Matcher(rows.value)
+    return _BUILT[key]
+
+
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, start_char, end_char)``: documents that hold a passage of an item, and where it first is.
+    """``(doc_id, item_id, start_char, end_char, answered)``: documents that hold a passage of an item, and where it first is.
 
     A passage is 13 words of the item in a row (all of a shorter item), at least 20 words with at most one in
     ten changed, dropped or added, or 30 characters in a row for Chinese and Japanese. Case, punctuation,
     spacing, line breaks, mark-up, invisible characters and Unicode forms do not count. Items of the same
-    text are found together. Null, empty and blank texts on either side hold nothing; empty tables give an
-    empty result; other columns are ignored. The corpus is scanned where it lies, without a shuffle; items
-    reach the executors as one list of at most MAX_ITEM_CHARS characters per scan.
+    text are found together. ``answered`` tells that the document holds the item's answer too; an answer alone
+    is no leak. Null, empty and blank texts on either side hold nothing; empty tables give an empty result;
+    other columns are ignored. The corpus is scanned where it lies, without a shuffle; items reach the
+    executors as one list of about MAX_ITEM_CHARS characters per scan.
     """
-    it = items.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("item_id", "text", "lang")
-    total = it.agg(F.sum(F.length("text"))).first()[0] or 0
+    it = items.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("item_id", "text", "lang", *(["answer"] if "answer" in items.columns else [F.lit(None).cast("string").alias("answer")]))
+    total = it.agg(F.sum(F.length("text") + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0
     scans = int(total // MAX_ITEM_CHARS) + 1
     out = None
     for k in range(scans):
         mine = it if scans == 1 else it.where(F.pmod(F.xxhash64("item_id"), F.lit(scans)) == k)
-        found = _scan(documents, [(r.item_id, r.text, r.lang) for r in mine.toLocalIterator()])
+        found = _scan(documents, [tuple(r) for r in mine.toLocalIterator()])
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _scan(documents: DataFrame, rows: list[tuple[int, str, str | None]]) -> DataFrame:
+def _scan(documents: DataFrame, rows: list[tuple]) -> DataFrame:
+    sent, key = documents.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Matcher(rows)
+        m = _matcher(key, sent)
         for b in batches:
             got = [(d, *hit) for d, t in zip(b["doc_id"], b["text"]) if t for hit in m.find(t)]
-            yield pd.DataFrame(got, columns=["doc_id", "item_id", "start_char", "end_char"])
+            yield pd.DataFrame(got, columns=["doc_id", "item_id", "start_char", "end_char", "answered"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id long, item_id long, start_char int, end_char int").distinct()
+    scanned = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id long, item_id long, start_char int, end_char int, answered boolean")
+    return scanned.distinct()

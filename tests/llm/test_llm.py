@@ -320,11 +320,24 @@ def test_leaks():
     zh = "请用说明为什么在高负载下分段与快照来得太晚假设保存了四个会话而快照来得太晚假设保存了六个节点"
     assert hit("前言，" + zh[5:20] + " ，" + zh[20:35] + "。") == {5} and hit(zh[5:34]) == set()
     t = "pre " + " ".join(words[3:16]) + " post"
-    (_, s, e), *_ = m.find(t)
+    (_, s, e, _), *_ = m.find(t)
     assert t[s:e] == " ".join(words[3:16]).rstrip(",.") or t[s:e].startswith(words[3])
     assert hit("") == set() and leakage.Matcher([]).find("x") == []
 
 
+def test_leaks_across_long_markup():
+    m = leakage.Matcher([(1, ITEM, "en", "outer reader"), (2, "one of two words only here", None, "Zed")])
+    words = ITEM.split()
+    for n in (10, 400, 5000):
+        long = "x" * n
+        for mark in (f'<span title="{long} > {long}">', f"<!-- {long}, a > b -->", f"<span class={long}>", f"<div\n  data-a='{long}'\n  hidden>", f"[see]({long}) "):
+            got = m.find("Intro. " + " ".join(words[3:9]) + " " + mark.replace("[see]", "") .replace("(", "](") + " ".join(words[9:16]) + " outro")
+            assert [g[0] for g in got] == [1], mark[:20]
+    assert m.find("a < b and " + " ".join(words[3:16]) + ", so c > d. Outer Reader.")[0][3]
+    assert not m.find(" ".join(words[8:24]) + " louter readers")[0][3]
+    assert m.find("<!-- " * 20000 + "<a " * 20000 + "](" * 20000 + "&" * 20000) == []
+
+
 def test_leaks_table(spark):
     docs = spark.createDataFrame([(1, ITEM, "q"), (2, None, "q"), (3, " ", "q"), (4, "nothing of it", "q"), (None, ITEM, "q")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(7, ITEM, None, "a"), (8, None, "en", "b"), (9, ITEM, "en", None)], "item_id long, text string, lang string, answer string")
