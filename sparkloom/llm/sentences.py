@@ -67,6 +67,8 @@ class Trie:
         return at.get("")
 
 
+#: Longer than every abbreviation and word of hesitation.
+LONG_WORD = 2 * max(map(len, GOES_ON + BEFORE_NUMBER + MAY_END + HESITATION))
 ABBREVIATIONS = Trie({"on": GOES_ON, "number": BEFORE_NUMBER, "may": MAY_END})
 
 
@@ -164,15 +166,25 @@ def outer_pairs(s: str) -> tuple[list[tuple[int, int]], dict[int, int]]:
     return outer, match
 
 
-def _token_start(s: str, i: int, most: int = 300) -> int:
-    """Where the characters without white space before ``i`` begin, looking back over at most ``most``."""
-    a = max(0, i - most)
-    return max(s.rfind(" ", a, i), s.rfind("\n", a, i), a - 1) + 1
+class _Token:
+    """The characters without white space before a place that only moves on: where they begin, and their last ``://`` and ``@``."""
+
+    __slots__ = ("s", "seen", "start", "scheme", "at")
+
+    def __init__(self, s: str):
+        self.s, self.seen, self.start, self.scheme, self.at = s, 0, 0, -1, -1
+
+    def to(self, i: int) -> None:
+        s, seen = self.s, self.seen
+        self.start = max(self.start, s.rfind(" ", seen, i) + 1, s.rfind("\n", seen, i) + 1)
+        self.scheme = max(self.scheme, s.rfind("://", max(0, seen - 2), i))
+        self.at = max(self.at, s.rfind("@", seen, i))
+        self.seen = i
 
 
 def _word_start(s: str, i: int) -> int:
-    """Where the letters and marks that end before ``i`` begin."""
-    least = max(0, i - 60)  # longer words are no abbreviations
+    """Where the letters and marks that end before ``i`` begin; of a word longer than LONG_WORD some place inside it, as no rule tells such words apart."""
+    least = max(0, i - LONG_WORD)
     while i > least and (s[i - 1].isalpha() or (s[i - 1] > "\u02ff" and unicodedata.category(s[i - 1])[0] == "M")):
         i -= 1
     return i
@@ -186,8 +198,8 @@ def _first_letter(s: str, i: int) -> str:
     return s[j] if j < len(s) else ""
 
 
-def _is_end(s: str, i: int, j: int, k: int, opened: int | None, unit: int) -> bool:
-    """Whether the mark s[i:j], with closing marks up to k, ends the unit that began at ``unit``; ``opened`` is where the last of these opened."""
+def _is_end(s: str, i: int, j: int, k: int, opened: int | None, unit: int, token: _Token) -> bool:
+    """Whether the mark s[i:j], with closing marks up to k, ends the unit that began at ``unit``; ``opened`` is where the last of these opened, ``token`` stands at i."""
     run = s[i:j]
     nxt = k
     while nxt < len(s) and s[nxt].isspace():
@@ -218,16 +230,14 @@ def _is_end(s: str, i: int, j: int, k: int, opened: int | None, unit: int) -> bo
             return True
         if s[nxt] in OPEN or s[nxt] in '"¿¡':
             return not small
-        return bool(_GLUED.match(s, nxt)) and "://" not in s[max(unit, _token_start(s, i)) : i]
+        return bool(_GLUED.match(s, nxt)) and token.scheme < max(unit, token.start)
     # one dot
     if opened is not None:
         return not small and (gap or first.isupper())
     prev = s[i - 1] if i else " "
     if not gap:
-        t = _token_start(s, i)
-        token = s[t:i]
-        n = i - max(t, _word_start(s, i))
-        if "://" in token or "@" in token or prev.isspace() or n == 1 or (n and ABBREVIATIONS.kind(s, i) == "on"):
+        n = i - max(token.start, _word_start(s, i))
+        if token.scheme >= token.start or token.at >= token.start or prev.isspace() or n == 1 or (n and ABBREVIATIONS.kind(s, i) == "on"):
             return False
         if s[nxt] in OPEN or s[nxt] == '"':
             return first.isupper()
@@ -273,7 +283,7 @@ def sentences_of(s: str) -> list[tuple[int, int]]:
         x = bisect_right(opens, p) - 1
         return outer[x] if x >= 0 and outer[x][0] < p <= outer[x][1] else None
 
-    unit = _start(s, 0)
+    unit, token = _start(s, 0), _Token(s)
     for m in _TERM.finditer(s):
         i, j = m.span()
         if cuts and i < cuts[-1]:
@@ -289,7 +299,8 @@ def sentences_of(s: str) -> list[tuple[int, int]]:
                 break
         if inside(k) if k < len(s) else None:
             continue
-        if _is_end(s, i, j, k, opened, unit):
+        token.to(i)
+        if _is_end(s, i, j, k, opened, unit, token):
             cuts.append(k)
             unit = _start(s, k)
     if _THAI.search(s):

@@ -369,6 +369,14 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences.units_of(text)] == want
 
 
+@pytest.mark.parametrize("n", [20, 320, 5000])
+def test_long_tokens(n):
+    long = "b" * n
+    for head in (f"a@{long}", f"https://{long}", f"See c@{long}.x"):
+        assert [head + ".Org today." for _ in "x"] == [(head + ".Org today. End.")[a:b] for a, b in sentences.units_of(head + ".Org today. End.")][:1]
+    assert len(sentences.units_of(f"One x@y {long}.Then it ends.")) == 2
+
+
 def test_units_cover_and_do_not_overlap(spark, data):
     d = spark.read.parquet(f"{data}/documents.parquet")
     texts = {r.doc_id: r.text for r in d.where("text is not null").select("doc_id", "text").collect()}
