@@ -111,12 +111,45 @@ def test_conversations(spark):
     assert conversations.conversations(d.limit(0)).count() == 0
 
 
-def test_pointer_jumping(spark):
+def test_rows_of_one_uuid_are_one_row(spark):
+    rows = [
+        _row("u1", "", "user", "2026-01-01T10:00:00Z"), _row("a1", "u1", "assistant", "2026-01-01T10:00:05Z"), _row("a1", "u1", "assistant", "2026-01-01T12:00:05Z"), _row("a1", "", "system", "2026-01-01T13:00:05Z"),
+        _row("", "u1", "system", ""), _row("", None, "user", "2026-01-01T09:00:00Z"), _row(None, "gone", "system", "", a="x"), _row("x1", "", "user", "2026-01-01T10:00:00Z", a="x"), _row("x2", "x1", "assistant", "2026-01-01T10:00:01Z", a="x"),
+    ]
+    got = [(r.agent_id, r.turn_no, r.uuid) for r in conversations.conversations(spark.createDataFrame(rows, LANE)).orderBy("turn_no").collect()]
+    assert got == [("", 1, "u1"), ("", 2, "a1")]
+
+
+def test_cycles_are_told(spark):
+    t = "2026-01-01T10:00:0{}Z".format
+    rows = [_row("u1", "a1", "user", t(0)), _row("a1", "u1", "assistant", t(1)), _row("u2", "", "user", t(2)), _row("x", "u2", "system", t(3)), _row("a2", "x", "assistant", t(4)), _row("a3", "x", "assistant", t(4))]
+    d = spark.createDataFrame(rows, LANE)
+    assert [(r.uuid, r.depth, r.state) for r in conversations.conversations(d).orderBy("turn_no").collect()] == [("u1", None, "cycle"), ("a1", None, "cycle"), ("u2", 0, "root"), ("a2", 2, "root"), ("a3", 2, "root")]
+    got = sorted((r.leaf, r.depth, r.uuid) for r in conversations.paths(d).collect())
+    assert got == [("a2", 0, "u2"), ("a2", 2, "a2"), ("a3", 0, "u2"), ("a3", 2, "a3")]
+    assert conversations.paths(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [100_000, 20])
+def test_pointer_jumping(spark, monkeypatch, size):
+    monkeypatch.setattr(conversations, "SLICE_ROWS", size)
     n = 300
-    rows = [("g", f"n{i:04d}", f"n{i - 1:04d}" if i else "") for i in range(n)] + [("g", "x", "y"), ("g", "y", "z"), ("g", "z", "x"), ("g", "o", "nowhere"), ("h", "p", "n0001")]
+    rows = [("g", f"n{i:04d}", f"n{i - 1:04d}" if i else "") for i in range(n)] + [("g", "x", "y"), ("g", "y", "z"), ("g", "z", "x"), ("g", "below", "x"), ("g", "a", "zz"), ("g", "zz", "a"), ("g", "o", "nowhere"), ("g", "q", "o"), ("h", "p", "n0001")]
     r = {(x.g, x.uuid): x for x in conversations.resolve_parents(spark.createDataFrame(rows, "g string, uuid string, parent string"), ["g"]).collect()}
+    assert len(r) == len(rows)
     assert all(r["g", f"n{i:04d}"].depth == i and r["g", f"n{i:04d}"].root == "n0000" for i in range(n))
-    assert {r["g", k].state for k in "xyz"} == {"cycle"} and r["g", "o"].state == "orphan" and r["h", "p"].state == "orphan"
+    assert {r["g", k].state for k in ("x", "y", "z", "below", "a", "zz")} == {"cycle"} and r["g", "o"].state == "orphan" and r["h", "p"].state == "orphan"
+    assert r["g", "q"].state == "orphan" and r["g", "q"].depth == 1 and r["g", "q"].root == "o"
+
+
+def test_long_lane_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(conversations, "SLICE_ROWS", 30)
+    rows = [_row(f"m{i:03d}", f"m{i - 1:03d}" if i else "", "assistant" if i % 2 else "user", "2026-01-01T10:00:00Z") for i in range(400)]
+    rng = random.Random(3)
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, LANE)
+    assert [(r.turn_no, r.uuid) for r in conversations.conversations(d).orderBy("turn_no").collect()] == [(i + 1, f"m{i:03d}") for i in range(400)]
+    assert conversations.paths(d).where("leaf = 'm399'").count() == 400
 
 
 # --- 3
