@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,16 @@ from sparkloom.llm.components import connected_groups
 from sparkloom.runtime import Materialized, materialize
 
 BITS = 256
-#: Orders in which records are laid side by side, and how many of one order are compared at once.
-ORDERS, WINDOW = 16, 1024
+#: Rows of one order that a record is compared with on either side at least, and the share of pairs at the very
+#: threshold that these comparisons are to meet; neighbours of neighbours give most of the rest.
+WINDOW, SHARE = 512, 0.7
+#: The same for one record of every topic, compared over the borders of components.
+ACROSS_WINDOW, ACROSS_SHARE = 4096, 0.99
 #: Neighbours kept per record; density is taken at the (MIN_SIZE-1)-th.
 KEEP = 8
 MIN_SIZE = 5
-#: About how many topics and records of one block are held against those of another.
-ACROSS = 4096
+#: Distinct vectors of one component that one task holds; a larger component is cut where its tree is weakest.
+COMPONENT_ROWS = 50_000
 #: Bits of a record number where it shares a long with a distance.
 SHIFT = 55
 
@@ -56,65 +60,153 @@ def _majority(x: np.ndarray, members: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total >= len(members))[None, :]
 
 
-def neighbour_lists(points: DataFrame, radius: int, orders: int = ORDERS) -> DataFrame:
-    """``(q, near array<struct<d,r>>)``: for rows ``(nid, vector)`` the KEEP nearest found within ``radius``.
+def orders_for(n: int, radius: int, window: int, share: float) -> int:
+    """Orders in which two of ``n`` records ``radius`` apart meet with a chance of ``share``.
 
-    Every record is laid into ``orders`` sorted orders, each by another random permutation of its bits, and
-    compared with the rows beside it: similar records share long prefixes in some order. A window has the
-    same size however many records share a prefix, so neither a hot prefix nor a huge topic makes a large
-    task. Distances are exact; what no order brings together is missed.
+    They stand within ``window`` rows of each other in one order at least if they agree in its first log2(n/window)
+    bits. The number grows with n to the power of -log2(1 - radius/BITS), 0.42 at a similarity of 0.75.
     """
-    spark = points.sparkSession
+    meet = (1 - radius / BITS) ** max(0.0, math.log2(max(n, 1) / window))
+    return 1 if meet >= 1 else max(8, math.ceil(math.log(1 - share) / math.log(1 - meet)))
+
+
+def _hits(dots: np.ndarray, least: float, keep: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the entries of at least ``least``; of every row the ``keep`` greatest, if told."""
+    ok = dots >= least
+    if keep is None:
+        return ok.nonzero()
+    count = ok.sum(1)
+    few = ((count > 0) & (count <= keep)).nonzero()[0]
+    many = (count > keep).nonzero()[0]
+    r, c = ok[few].nonzero()
+    r = few[r]
+    if len(many):
+        near = np.argpartition(-dots[many], keep - 1, axis=1)[:, :keep]
+        r, c = np.concatenate([r, np.repeat(many, keep)]), np.concatenate([c, near.ravel()])
+    return r, c
+
+
+def side_by_side(points: DataFrame, radius: int, *, window: int, share: float, keep: int | None) -> DataFrame:
+    """``(q, d, r)``: rows ``(nid, vector)`` within ``radius`` that stand side by side in some order, in both directions.
+
+    Every record is laid into several sorted orders, each by another random permutation of its bits, and compared
+    with at least ``window`` rows on either side: similar records share long prefixes in some order. The number of
+    orders grows with that of the records (:func:`orders_for`). A block has the same size however many records
+    share a prefix, so neither a hot prefix nor a huge topic makes a large task. Distances are exact. With a column
+    ``c`` only records of different c count; ``keep`` bounds the partners of a record in one block to the nearest.
+    """
+    spark, apart = points.sparkSession, "c" in points.columns
+    n = points.count()
+    orders = orders_for(n, radius, window, share)
     perms = np.stack([np.random.default_rng(100 + t).permutation(BITS)[:63] for t in range(orders)])
-    weight = 1 << np.arange(62, -1, -1, dtype=np.int64)
+    least = BITS - 2 * radius - 0.5
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if b.empty:
                 continue
-            bits = np.unpackbits(np.frombuffer(b"".join(b["vector"]), dtype=np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.int64)
-            k = np.stack([bits[:, p] @ weight for p in perms], axis=1)
-            yield pd.DataFrame({"nid": b["nid"], "vector": b["vector"], "k": list(k)})
+            bits = np.unpackbits(_packed(list(b["vector"])), axis=1)
+            k = np.empty((len(b), orders), dtype=np.int64)
+            for t, p in enumerate(perms):
+                k[:, t] = np.ascontiguousarray(np.packbits(np.pad(bits[:, p], ((0, 0), (1, 0))), axis=1)).view(">i8")[:, 0]
+            yield b.assign(k=list(k))
 
-    rows = points.mapInPandas(keys, "nid long, vector binary, k array<long>").select("nid", "vector", F.posexplode("k").alias("t", "key"))
-    n = points.count()
-    parts = parts_for(spark, n * orders, 100_000)
+    kind = "nid long, vector binary" + (", c long" if apart else "")
+    rows = points.mapInPandas(keys, kind + ", k array<long>").select(*[x.split()[0] for x in kind.split(", ")], F.posexplode("k").alias("t", "key"))
+    # rows of two tasks do not meet, so a task holds many blocks; a single order of at most one block is one task
+    parts = min(parts_for(spark, n * orders, 100_000), n * orders // (16 * window) + 1)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _windows(batches):
-            nid, x = run["nid"].to_numpy(), _packed(list(run["vector"]))
-            d = _distance(x, x)
-            np.fill_diagonal(d, BITS)
-            near = np.argpartition(d, KEEP, axis=1)[:, :KEEP] if len(x) > KEEP + 1 else np.argsort(d, axis=1)
-            dist = np.take_along_axis(d, near, 1)
-            ok = dist <= radius
-            some = ok.any(1)
-            yield pd.DataFrame({
-                "q": nid[some],
-                "near": pd.Series([(dist[i][ok[i]].astype(np.int64) << SHIFT | nid[near[i][ok[i]]]).tolist() for i in some.nonzero()[0]], dtype=object),
-            })
-
-    found = rows.repartitionByRange(parts, "t", "key").sortWithinPartitions("t", "key", "nid").select("t", "nid", "vector").mapInPandas(compare, "q long, near array<long>")
-    # a distance and a record are one long: distance in the bits from SHIFT on
-    return found.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, KEEP).alias("near"))
-
-
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Half-overlapping windows of WINDOW rows inside one order."""
-    held = None
+        last = None
+        q, d, r = [], [], []
+        for t, nid, c, packed in _cut(batches, window, apart):
+            x = _signs(packed)
+            pairs = [(x @ x.T, nid, c, nid, c)]
+            np.fill_diagonal(pairs[0][0], -BITS)
+            if last is not None and last[0] == t:
+                pairs.append((last[3] @ x.T, last[1], last[2], nid, c))
+            for k, (dots, na, ca, nb, cb) in enumerate(pairs):
+                if apart:
+                    dots[ca[:, None] == cb[None, :]] = -BITS
+                if dots.max() < least:
+                    continue
+                for m, nu, nv in ((dots, na, nb), (dots.T, nb, na))[: k + 1]:
+                    i, j = _hits(m, least, keep)
+                    q.append(nu[i])
+                    r.append(nv[j])
+                    d.append(((BITS - m[i, j]) / 2).astype(np.int32))
+            last = (t, nid, c, x)
+            if sum(map(len, q)) > 100_000:
+                yield pd.DataFrame({"q": np.concatenate(q), "d": np.concatenate(d), "r": np.concatenate(r)})
+                q, d, r = [], [], []
+        if q:
+            yield pd.DataFrame({"q": np.concatenate(q), "d": np.concatenate(d), "r": np.concatenate(r)})
+
+    return rows.repartitionByRange(parts, "t", "key").sortWithinPartitions("t", "key", "nid").drop("key").mapInPandas(compare, "q long, d int, r long")
+
+
+def _cut(batches: Iterator[pd.DataFrame], window: int, apart: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of at most ``window`` rows in a row inside one order: order, numbers, components, packed vectors."""
+    held: list[pd.DataFrame] = []
+
+    def block(d: pd.DataFrame):
+        nid = d["nid"].to_numpy()
+        return int(d["t"].iloc[0]), nid, d["c"].to_numpy() if apart else nid, _packed(list(d["vector"]))
+
     for b in batches:
         for _, part in b.groupby("t", sort=True):
-            if held is not None and held["t"].iloc[0] == part["t"].iloc[0]:
-                held = pd.concat([held, part], ignore_index=True)
-            else:
-                if held is not None and len(held) > 1:
-                    yield held
-                held = part.reset_index(drop=True)
-            while len(held) >= WINDOW * 3 // 2:
-                yield held.iloc[:WINDOW]
-                held = held.iloc[WINDOW // 2 :].reset_index(drop=True)
-    if held is not None and len(held) > 1:
-        yield held
+            if held and held[0]["t"].iloc[0] != part["t"].iloc[0]:
+                yield block(pd.concat(held))
+                held = []
+            while len(part):
+                room = window - sum(map(len, held))
+                held.append(part.iloc[:room])
+                part = part.iloc[room:]
+                if sum(map(len, held)) == window:
+                    yield block(pd.concat(held))
+                    held = []
+    if held:
+        yield block(pd.concat(held))
+
+
+def _lists(found: DataFrame) -> DataFrame:
+    """``(q, near array<long>)`` of rows ``(q, x)``: the KEEP least x, a distance in the bits from SHIFT on and a record below them."""
+    return found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set("x")), 1, KEEP).alias("near"))
+
+
+def neighbour_lists(points: DataFrame, radius: int) -> DataFrame:
+    """``(q, near array<long>)``: for rows ``(nid, vector)`` the KEEP nearest found within ``radius``, as distance << SHIFT | record.
+
+    Candidates stand side by side in sorted orders; then, round by round until none is new, records whose list is
+    not full are held against the neighbours of their neighbours. Distances are exact; a pair that neither step
+    brings together is missed.
+    """
+    packed = (F.shiftleft(F.col("d").cast("long"), SHIFT)).bitwiseOR(F.col("r")).alias("x")
+    lists = materialize(_lists(side_by_side(points, radius, window=WINDOW, share=SHARE, keep=KEEP).select("q", packed)), "p3-lists")
+    vectors = points.select("nid", "vector")
+    while True:
+        l = lists.df
+        number = lambda x: x.bitwiseAND(F.lit((1 << SHIFT) - 1))
+        own = l.where(F.size("near") < KEEP).select("q", F.transform("near", number).alias("known"))
+        step = own.select("q", "known", F.explode("known").alias("via"))
+        beyond = step.join(l.select(F.col("q").alias("via"), F.transform("near", number).alias("next")), "via").select("q", F.explode(F.array_except("next", F.array_append("known", F.col("q")))).alias("r")).distinct()
+        pairs = beyond.join(vectors.select(F.col("nid").alias("q"), F.col("vector").alias("vq")), "q").join(vectors.select(F.col("nid").alias("r"), F.col("vector").alias("vr")), "r")
+
+        def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    d = np.bitwise_count(_packed(list(b["vq"])) ^ _packed(list(b["vr"]))).sum(1, dtype=np.int32)
+                    yield b[["q", "r"]].assign(d=d)[d <= radius]
+
+        new = materialize(pairs.select("q", "r", "vq", "vr").mapInPandas(measure, "q long, r long, d int"), "p3-new")
+        if new.df.isEmpty():
+            new.drop()
+            return l
+        grown = new.df.select("q", packed).unionByName(new.df.select(F.col("r").alias("q"), F.shiftleft(F.col("d").cast("long"), SHIFT).bitwiseOR(F.col("q")).alias("x")))
+        nxt = materialize(_lists(l.select("q", F.explode("near").alias("x")).unionByName(grown)), "p3-lists")
+        lists.drop()
+        new.drop()
+        lists = nxt
 
 
 def reachability(lists: DataFrame, sizes: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
@@ -200,6 +292,31 @@ def minimum_spanning_forest(edges: DataFrame) -> tuple[Materialized, Materialize
     return forest, label
 
 
+def cut_large(forest: Materialized, label: Materialized) -> tuple[Materialized, Materialized]:
+    """Forest and components with a column ``cut``, in which no component has more than COMPONENT_ROWS records.
+
+    A larger one loses the heaviest edges of its tree, those of more than four fifths of its greatest weight, until
+    its parts are small enough: a part is a component of the graph at that smaller distance. ``cut`` marks the
+    records of such parts, which have similar ones beyond their borders.
+    """
+    label = Materialized(label.df.withColumn("cut", F.lit(False)), label.path)
+    while True:
+        large = materialize(label.df.groupBy("c").count().where(F.col("count") > COMPONENT_ROWS).select("c"), "p3-large")
+        if large.df.isEmpty():
+            large.drop()
+            return forest, label
+        most = forest.df.join(large.df, "c").groupBy("c").agg((F.max("w") * 4 / 5).alias("most"))
+        kept = materialize(forest.df.join(large.df, "c").join(most, "c").where("w <= most").select("u", "v", "w"), "p3-kept")
+        groups = connected_groups(kept.df, "u", "v").select(F.col("node").alias("nid"), F.col("group_id").alias("c"))
+        parts = label.df.join(large.df, "c").select("nid").join(groups, "nid", "left").select("nid", F.coalesce("c", "nid").alias("c"), F.lit(True).alias("cut"))
+        new_label = materialize(label.df.join(large.df, "c", "left_anti").select("nid", "c", "cut").unionByName(parts), "p3-label")
+        moved = kept.df.join(groups.select(F.col("nid").alias("u"), "c"), "u").select("c", "u", "v", "w")
+        new_forest = materialize(forest.df.join(large.df, "c", "left_anti").select("c", "u", "v", "w").unionByName(moved), "p3-forest")
+        for old in (forest, label, large, kept):
+            old.drop()
+        forest, label = new_forest, new_label
+
+
 def condensed_clusters(n: int, size: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, min_size: int = MIN_SIZE) -> list[tuple[np.ndarray, np.ndarray]]:
     """Stability-selected clusters of one spanning tree: ``(members, persistence)`` per cluster.
 
@@ -381,18 +498,19 @@ def topics_of(x: np.ndarray, size: np.ndarray, clusters: list[np.ndarray], radiu
 def cluster_topics(points: DataFrame, radius: int) -> DataFrame:
     """``(nid, topic, persistence)`` for rows ``(nid, vector, size)`` of distinct vectors; topic is the smallest nid of it.
 
-    One task holds one component of the reachability graph: about 200 bytes for each of its distinct vectors, and
-    blocks of distances of a fixed size. Topics that reach over components are joined and completed afterwards.
+    One task holds one component of the reachability graph, of at most COMPONENT_ROWS distinct vectors: about 200
+    bytes for each of them, and blocks of distances of a fixed size. Topics that reach over components, found or cut,
+    are joined and completed afterwards.
     """
-    lists = materialize(neighbour_lists(points.select("nid", "vector"), radius), "p3-lists")
-    edges = materialize(reachability(lists.df, points).where(F.col("w") <= radius), "p3-reach")
-    forest, label = minimum_spanning_forest(edges.df)
+    lists = neighbour_lists(points.select("nid", "vector"), radius)
+    edges = materialize(reachability(lists, points).where(F.col("w") <= radius), "p3-reach")
+    forest, label = cut_large(*minimum_spanning_forest(edges.df))
     # vectors of five copies that have no neighbour are topics of their own; they are no end of an edge
     alone = points.where(F.col("size") >= MIN_SIZE).join(label.df.select("nid"), "nid", "left_anti").select("nid", F.col("nid").alias("c"), F.col("nid").alias("topic"), F.lit(1.0).alias("persistence"))
     p = label.df.join(points, "nid").select("c", "nid", F.lit(-1).cast("long").alias("v"), F.lit(0).alias("w"), "vector", "size")
     e = forest.df.select("c", F.col("u").alias("nid"), "v", "w", F.lit(None).cast("binary").alias("vector"), F.lit(0).cast("long").alias("size"))
     rows = p.unionByName(e)
-    parts = parts_for(points.sparkSession, 0, 1)
+    parts = parts_for(points.sparkSession, rows.count(), COMPONENT_ROWS)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -416,7 +534,7 @@ def cluster_topics(points: DataFrame, radius: int) -> DataFrame:
 
     solved = rows.repartition(parts, "c").sortWithinPartitions("c").mapInPandas(solve, "nid long, c long, topic long, persistence double")
     solved = materialize(solved.unionByName(alone), "p3-solved").df
-    return across_components(points, lists.df, solved, radius)
+    return across_components(points, lists, label.df.where("cut").select("nid"), solved, radius)
 
 
 def _numbers(nid: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
@@ -427,46 +545,24 @@ def _numbers(nid: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similar_items(items: DataFrame, radius: int) -> DataFrame:
-    """``(a, b)``, a < b: all pairs of rows ``(item, c, vector)`` of different c within ``radius``; exact, by every pair of blocks of about ACROSS rows."""
-    n = items.count()
-    k = n // ACROSS + 1
-    own = items.withColumn("own", F.pmod(F.xxhash64("item"), F.lit(k)))
-    left = own.select("item", "c", "vector", F.lit(0).alias("side"), F.col("own").alias("lo"), F.explode(F.sequence("own", F.lit(k - 1).cast("long"))).alias("hi"))
-    right = own.select("item", "c", "vector", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("lo"), F.col("own").alias("hi"))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for grp in sorted_groups(batches, ["lo", "hi"]):
-            p, q = grp[grp["side"] == 0], grp[grp["side"] == 1]
-            if p.empty or q.empty:
-                continue
-            x, y, pi, qi, pc, qc = _packed(list(p["vector"])), _packed(list(q["vector"])), p["item"].to_numpy(), q["item"].to_numpy(), p["c"].to_numpy(), q["c"].to_numpy()
-            same = grp["lo"].iloc[0] == grp["hi"].iloc[0]
-            for b in _blocks(len(x), len(y)):
-                i, j = ((_distance(x[b], y) <= radius) & (pc[b][:, None] != qc[None, :])).nonzero()
-                u, v = pi[b][i], qi[j]
-                keep = u < v if same else np.ones(len(u), dtype=bool)
-                yield pd.DataFrame({"a": np.minimum(u, v)[keep], "b": np.maximum(u, v)[keep]})
-
-    parts = parts_for(items.sparkSession, k * (k + 1) // 2, 4)
-    return left.unionByName(right).repartition(parts, "lo", "hi").sortWithinPartitions("lo", "hi").mapInPandas(compare, "a long, b long")
-
-
-def across_components(points: DataFrame, lists: DataFrame, solved: DataFrame, radius: int) -> DataFrame:
+def across_components(points: DataFrame, lists: DataFrame, cut: DataFrame, solved: DataFrame, radius: int) -> DataFrame:
     """``(nid, topic, persistence)``: the topics of all components, joined and completed over their borders.
 
-    A list of fewer than KEEP holds all records similar to its own, so two similar records in different components
-    both have full lists. Hence only topics whose members all have full lists, and records in no topic with a full
-    list, can belong together over a border. Of these all pairs are compared, first one member of each, then all;
-    what is linked by pairs that are similar throughout is solved again as one, with its topics as proposals.
+    A list of fewer than KEEP holds all records found similar to its own, so two similar records in different
+    components both have full lists, or belong to a component that was ``cut``. Hence only topics whose members all
+    are such records, and such records in no topic, can belong together over a border. One record of each of these
+    is compared side by side with those of other components, and what meets is compared in full. Where all topics
+    and records linked in this way are similar throughout, they are one topic; else they are solved again as one
+    component, with their topics as proposals.
     """
-    full = lists.where(F.size("near") >= KEEP).select(F.col("q").alias("nid"))
+    full = lists.where(F.size("near") >= KEEP).select(F.col("q").alias("nid")).unionByName(cut).distinct()
     p = points.join(full, "nid").join(solved, "nid", "left").select("nid", "vector", "size", F.coalesce("c", "nid").alias("c"), F.coalesce("topic", F.lit(-1)).alias("topic"), F.coalesce("persistence", F.lit(0.0)).alias("persistence"))
     sizes = solved.where("topic >= 0").groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
     whole = p.where("topic >= 0").groupBy("topic").agg(F.count(F.lit(1)).alias("k")).join(sizes, "topic").where("k = n").select("topic")
     m = materialize(p.where("topic < 0").unionByName(p.join(whole, "topic", "left_semi")).withColumn("item", F.when(F.col("topic") < 0, F.col("nid")).otherwise(F.col("topic"))), "p3-border").df
     result = solved.where("topic >= 0").select("nid", "topic", "persistence")
-    pairs = materialize(similar_items(m.where("nid = item").select("item", "c", "vector"), radius), "p3-pairs").df
+    near = side_by_side(m.where("nid = item").select("nid", "vector", "c"), radius, window=ACROSS_WINDOW, share=ACROSS_SHARE, keep=None)
+    pairs = materialize(near.select(F.least("q", "r").alias("a"), F.greatest("q", "r").alias("b")).distinct(), "p3-pairs").df
     if pairs.isEmpty():
         return result
     ends = pairs.join(m.select(F.col("item").alias("a"), "vector"), "a").select("a", "b", F.lit(0).alias("side"), "vector").unionByName(
@@ -477,13 +573,24 @@ def across_components(points: DataFrame, lists: DataFrame, solved: DataFrame, ra
             side = grp["side"].to_numpy()
             x = _packed(list(grp["vector"]))
             y, z = x[side == 0], x[side == 1]
-            if all((_distance(y[b], z) <= radius).all() for b in _blocks(len(y), len(z))):
+            centre = _majority(x, np.arange(len(x)))
+            # what lies within a and b of one vector differs in at most a+b bits
+            if _distance(centre, y).max() + _distance(centre, z).max() <= radius or all((_distance(y[b], z) <= radius).all() for b in _blocks(len(y), len(z))):
                 yield grp[["a", "b"]].head(1)
 
     links = materialize(ends.repartition("a", "b").sortWithinPartitions("a", "b").mapInPandas(alike, "a long, b long"), "p3-links").df
     if links.isEmpty():
         return result
-    again = m.join(connected_groups(links).select(F.col("node").alias("item"), "group_id"), "item").select("group_id", "nid", "vector", "size", "topic", "persistence")
+    groups = materialize(connected_groups(links).select(F.col("node").alias("item"), "group_id"), "p3-groups").df
+    # a group in which every two items of different components are linked, and no two of one component stand, is one topic
+    of = groups.join(m.select("item", "c", "topic").distinct(), "item")
+    pairs_of = links.join(groups.withColumnRenamed("item", "a"), "a").groupBy("group_id").agg(F.count(F.lit(1)).alias("links"))
+    one = of.groupBy("group_id").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("c").alias("cs"), F.min(F.when(F.col("topic") >= 0, F.col("topic"))).alias("least"))
+    one = materialize(one.join(pairs_of, "group_id").where("links = k * (k - 1) / 2 and k = cs"), "p3-one").df
+    rows = m.join(groups, "item").select("group_id", "nid", "vector", "size", "topic", "persistence")
+    weights = rows.join(one.select("group_id"), "group_id").groupBy("group_id").agg(F.sum("size").alias("total"), F.min("nid").alias("first")).select("group_id", F.when(F.col("total") >= MIN_SIZE, F.col("first")).otherwise(-1).alias("new"))
+    joined = rows.join(weights, "group_id").select("nid", F.col("new").alias("topic"), "persistence")
+    again = rows.join(one.select("group_id"), "group_id", "left_anti")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for grp in sorted_groups(batches, "group_id"):
@@ -494,7 +601,8 @@ def across_components(points: DataFrame, lists: DataFrame, solved: DataFrame, ra
             found = topics_of(_packed(list(grp["vector"])), grp["size"].to_numpy(), proposed, radius)
             yield pd.DataFrame({"nid": nid, "topic": _numbers(nid, found), "persistence": grp["persistence"]})
 
-    changed = materialize(again.repartition("group_id").sortWithinPartitions("group_id").mapInPandas(solve, "nid long, topic long, persistence double"), "p3-again").df
+    solved_again = again.repartition("group_id").sortWithinPartitions("group_id").mapInPandas(solve, "nid long, topic long, persistence double")
+    changed = materialize(joined.unionByName(solved_again), "p3-again").df
     return result.join(changed.select("nid"), "nid", "left_anti").unionByName(changed.where("topic >= 0"))
 
 

@@ -211,6 +211,35 @@ def test_topics_reach_over_components(spark):
     assert {r.node_id: r.topic_key for r in topics.topics(d).collect()} == truth
 
 
+def test_loose_topics_among_many_records(spark, monkeypatch):
+    """Topics of five near the threshold: nearly all of their pairs are found although few meet in any one order."""
+    monkeypatch.setattr(topics, "WINDOW", 64)
+    rng = np.random.default_rng(5)
+    n, k = 20_000, 150
+    bits = rng.integers(0, 2, (n, 256), dtype=np.uint8)
+    for t in range(k):
+        bits[5 * t : 5 * t + 5] = bits[5 * t] ^ (rng.random((5, 256)) < 0.125)
+    packed = np.packbits(bits, axis=1)
+    d = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(packed)], "nid long, vector binary")
+    near = {r.q: {x & ((1 << topics.SHIFT) - 1) for x in r.near} for r in topics.neighbour_lists(d.repartition(4), 64).collect()}
+    pairs = [(a, b) for t in range(k) for a in range(5 * t, 5 * t + 5) for b in range(5 * t, a) if (bits[a] != bits[b]).sum() <= 64]
+    assert sum(b in near.get(a, ()) for a, b in pairs) >= 0.95 * len(pairs)
+    assert topics.orders_for(10**5, 64, 512, 0.7) <= 12 and topics.orders_for(10**6, 64, 512, 0.7) <= 30 and topics.orders_for(300, 64, 512, 0.7) == 1
+
+
+def test_large_components_are_cut_and_joined(spark, monkeypatch):
+    monkeypatch.setattr(topics, "COMPONENT_ROWS", 40)
+    rng = np.random.default_rng(6)
+    rows, truth = [], {}
+    for name, n in (("a", 150), ("b", 60), ("c", 12)):
+        centre = rng.integers(0, 2, 256, dtype=np.uint8)
+        for j in range(n):
+            rows.append((f"{name}-{j:03d}", bytearray(np.packbits(centre ^ (rng.random(256) < 0.06)).tobytes()), 1))
+            truth[rows[-1][0]] = f"{name}-000"
+    d = spark.createDataFrame(rows, "id string, vector binary, updated_at long")
+    assert {r.node_id: r.topic_key for r in topics.topics(d).collect()} == truth
+
+
 def test_bridge_is_in_no_topic():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2, 256)
