@@ -16,10 +16,16 @@ from sparkloom.runtime import materialize
 
 #: Rows the rotation is learned from: those of the smallest id hash, at most this many.
 SAMPLE_ROWS = 16_384
+#: Effort that searches all index tables; smaller ones of a record search as large a part of them.
+FULL_EFFORT = 64
+#: About how many rows a bucket of an index table holds; bits and tables grow with the rows.
+BUCKET_ROWS = 64
 #: Largest side of a block of vectors that one step compares; larger buckets are cut into pairs of blocks.
 BLOCK_ROWS = 4096
 #: Buckets that need cutting are broadcast up to this many rows (16 bytes each), joined by shuffle beyond.
 MAX_BROADCAST_ROWS = 20_000
+#: Bits of a substring's place in the number of its bucket; the table stands above them.
+TABLE_SHIFT = 40
 
 
 def learn_rotations(sample: np.ndarray, rounds: int, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +47,7 @@ def learn_rotations(sample: np.ndarray, rounds: int, steps: int = 30) -> tuple[n
 
 
 def unit_vectors(vectors: DataFrame, dim: int) -> DataFrame:
-    """``(id, unit)`` with unit-length float32 bytes of usable vectors: ``dim`` finite values, not all zero."""
+    """``(id, ef, unit)`` with unit-length float32 bytes of usable vectors: ``dim`` finite values, not all zero."""
 
     def to_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -54,9 +60,9 @@ def unit_vectors(vectors: DataFrame, dim: int) -> DataFrame:
                 if np.isfinite(s) and s > 0:
                     ok.append(i)
                     units.append((x / s).astype(np.float32).tobytes())
-            yield pd.DataFrame({"id": b["id"].iloc[ok].to_numpy(), "unit": pd.Series(units, dtype=object)})
+            yield b[["id", "ef"]].iloc[ok].assign(unit=units)
 
-    return vectors.mapInPandas(to_unit, "id string, unit binary")
+    return vectors.mapInPandas(to_unit, "id string, ef int, unit binary")
 
 
 def _top(sim: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -71,20 +77,21 @@ def _top(sim: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]
     return rows[keep], cols[keep]
 
 
-def nearest(units: DataFrame, *, dim: int, k: int, floor: float, ef_search: int = 50) -> DataFrame:
-    """``(q, r, sim)`` for rows ``(nid long, unit binary)`` of distinct unit vectors: the k best others reaching ``floor``.
+def nearest(units: DataFrame, *, dim: int, k: int, floor: float) -> DataFrame:
+    """``(q, r, sim)`` for rows ``(nid long, unit binary, ef int)`` of distinct unit vectors: the k best others reaching ``floor``.
 
-    Codes of several learned rotations are split into substrings of about log2(n)-6 bits; every substring
-    is an index table. Two codes that differ in fewer bits than there are tables agree in one substring
-    (pigeonhole), so equal substrings retrieve the whole Hamming ball of that radius and most pairs beyond
-    it. Retrieved rows meet as blocks and are reranked by their float cosine. ``ef_search`` scales the
-    number of tables (50: substring bits + 8). Buckets above BLOCK_ROWS become pairs of blocks that are
-    tasks of their own: no bucket is cut short and none is one task.
+    Codes of several learned rotations are split into substrings of about log2(n / BUCKET_ROWS) bits; every
+    substring is an index table, and there are 8 tables more than bits. Two codes that differ in fewer bits than
+    there are tables agree in one substring (pigeonhole), so equal substrings retrieve the whole Hamming ball of
+    that radius and most pairs beyond it. Retrieved rows meet as blocks and are reranked by their float cosine. A
+    record with an effort ``ef`` below FULL_EFFORT searches that share of the tables, at least four, while every
+    record stands in all of them. Buckets above BLOCK_ROWS become pairs of blocks that are tasks of their own: no
+    bucket is cut short and none is one task.
     """
     spark = units.sparkSession
     n = units.count()
-    bits = min(16, max(4, int(math.log2(max(2, n))) - 6))
-    tables = max(4, round((bits + 8) * ef_search / 50))
+    bits = max(4, round(math.log2(max(2, n) / BUCKET_ROWS)))
+    tables = bits + 8
     sample = bounded_sample(units, ["nid"], SAMPLE_ROWS).select("unit").toPandas()
     if len(sample) < 2:
         return spark.createDataFrame([], "q long, r long, sim double")
@@ -94,17 +101,19 @@ def nearest(units: DataFrame, *, dim: int, k: int, floor: float, ef_search: int
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight = 1 << np.arange(bits, dtype=np.int64)
-        base = np.arange(tables, dtype=np.int64) << 20
+        base = np.arange(tables, dtype=np.int64) << TABLE_SHIFT
         for b in batches:
             if b.empty:
                 continue
             x = np.frombuffer(b"".join(b["unit"]), dtype=np.float32).reshape(-1, dim)
             on = ((x - mean) @ proj > 0).reshape(len(x), tables, bits)
-            yield pd.DataFrame({"nid": b["nid"], "unit": b["unit"], "g": list(on @ weight + base)})
+            mine = np.clip(np.ceil(b["ef"].to_numpy() / FULL_EFFORT * tables), 4, tables).astype(np.int32)
+            yield pd.DataFrame({"nid": b["nid"], "unit": b["unit"], "own": mine, "g": list(on @ weight + base)})
 
-    rows = units.mapInPandas(codes, "nid long, unit binary, g array<long>").select("nid", "unit", F.explode("g").alias("g"))
+    coded = materialize(units.mapInPandas(codes, "nid long, unit binary, own int, g array<long>"), "p5-codes")
+    rows = coded.df.select("nid", "unit", "own", F.explode("g").alias("g"))
     hot = (
-        units.mapInPandas(codes, "nid long, unit binary, g array<long>").select(F.explode("g").alias("g"))
+        coded.df.select(F.explode("g").alias("g"))
         .groupBy("g").count().where(F.col("count") > BLOCK_ROWS)
         .select("g", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("cuts"))
     )
@@ -113,7 +122,7 @@ def nearest(units: DataFrame, *, dim: int, k: int, floor: float, ef_search: int
     rows = rows.join(F.broadcast(hot_m.df) if hot_rows <= MAX_BROADCAST_ROWS else hot_m.df, "g", "left")
     rows = rows.withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("nid"), F.col("cuts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
-        "g", (F.least("blk", "other").cast("long") * F.lit(1 << 24) + F.greatest("blk", "other")).alias("pair"), "blk", "nid", "unit"
+        "g", (F.least("blk", "other").cast("long") * F.lit(1 << 24) + F.greatest("blk", "other")).alias("pair"), "blk", "nid", "unit", (F.col("own") > F.shiftright("g", TABLE_SHIFT)).alias("asks")
     )
     parts = parts_for(spark, n * tables, 150_000)
 
@@ -124,21 +133,24 @@ def nearest(units: DataFrame, *, dim: int, k: int, floor: float, ef_search: int
             if len(grp) < 2:
                 continue
             nid = grp["nid"].to_numpy()
-            x = np.frombuffer(b"".join(grp["unit"]), dtype=np.float32).reshape(-1, dim)
+            x, asks = np.frombuffer(b"".join(grp["unit"]), dtype=np.float32).reshape(-1, dim), grp["asks"].to_numpy()
             i, j = divmod(int(grp["pair"].iloc[0]), 1 << 24)
             if i == j:
-                for s in range(0, len(x), 1024):
-                    sim = x[s : s + 1024] @ x.T
-                    sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -2
+                asking = asks.nonzero()[0]
+                for s in range(0, len(asking), 1024):
+                    at = asking[s : s + 1024]
+                    sim = x[at] @ x.T
+                    sim[np.arange(len(at)), at] = -2
                     a, c = _top(sim, k, floor - 1e-5)
-                    held.append(_rerank(nid, x, a + s, nid, x, c))
+                    held.append(_rerank(nid, x, at[a], nid, x, c))
                     size += len(a)
             else:
                 left = (grp["blk"] == i).to_numpy()
                 xa, xb, na, nb = x[left], x[~left], nid[left], nid[~left]
                 if not len(xa) or not len(xb):
                     continue
-                for (p, np_), (q, nq) in (((xa, na), (xb, nb)), ((xb, nb), (xa, na))):
+                fa, fb = asks[left], asks[~left]
+                for p, np_, q, nq in ((xa[fa], na[fa], xb, nb), (xb[fb], nb[fb], xa, na)):
                     for s in range(0, len(p), 1024):
                         a, c = _top(p[s : s + 1024] @ q.T, k, floor - 1e-5)
                         held.append(_rerank(np_, p, a + s, nq, q, c))
@@ -168,20 +180,22 @@ def _best(held, k: int, floor: float) -> pd.DataFrame:
     return d[d.groupby("q").cumcount() < k]
 
 
-def similar_pairs(vectors: DataFrame, *, dim: int = 64, k: int = 5, floor: float = 0.8, ef_search: int = 50) -> DataFrame:
+def similar_pairs(vectors: DataFrame, *, dim: int = 64, k: int = 5, floor: float = 0.8, ef_search: int | None = None) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``: one of the two is among the k most cosine-similar records of the other, at ``floor`` or more.
 
-    Input columns ``id, query_vector, updated_at``; only the latest row of an id counts, and a vector that
-    is null, of another width, all zero or holds a null, NaN or infinite value belongs to no pair. Records
-    with equal unit vectors are one point of the search: of their members the k+1 smallest ids stand for the
-    point in other records' results, and every member gets its own k. Equal similarities go to the smaller
-    id. Empty input gives an empty result; other columns are ignored.
+    Input columns ``id, query_vector, updated_at`` and, if there, ``ef_search``; only the latest row of an id counts,
+    and a vector that is null, of another width, all zero or holds a null, NaN or infinite value belongs to no pair.
+    The effort of a record is its own ``ef_search``, FULL_EFFORT where that is null, zero or less, or the parameter
+    for all if it is told. Records with equal unit vectors are one point of the search, of the greatest effort among
+    them: of their members the k+1 smallest ids stand for the point in other records' results, and every member gets
+    its own k. Equal similarities go to the smaller id. Empty input gives an empty result; other columns are ignored.
     """
-    u = unit_vectors(latest(vectors.select("id", "query_vector", "updated_at"), "id", "query_vector", "updated_at").select("id", F.col("query_vector").alias("v")), dim)
-    members = materialize(u, "p5-units")
-    firsts = members.df.groupBy("unit").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
-    points = materialize(firsts.orderBy("first").select(F.monotonically_increasing_id().alias("nid"), "unit", "first", "size"), "p5-points")
-    near = materialize(nearest(points.df.select("nid", "unit"), dim=dim, k=k, floor=floor, ef_search=ef_search), "p5-near")
+    ef = F.lit(ef_search).cast("int") if ef_search or "ef_search" not in vectors.columns else F.col("ef_search").cast("int")
+    v = latest(vectors.select("id", F.struct(F.col("query_vector").alias("v"), ef.alias("ef")).alias("v"), "updated_at"), "id", "v", "updated_at").select("id", "v.v", F.when(F.col("v.ef") > 0, F.col("v.ef")).otherwise(FULL_EFFORT).alias("ef"))
+    members = materialize(unit_vectors(v, dim), "p5-units")
+    firsts = members.df.groupBy("unit").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"), F.max("ef").alias("ef"))
+    points = materialize(firsts.orderBy("first").select(F.monotonically_increasing_id().alias("nid"), "unit", "first", "size", "ef"), "p5-points")
+    near = materialize(nearest(points.df.select("nid", "unit", "ef"), dim=dim, k=k, floor=floor), "p5-near")
     singles = points.df.where("size = 1").select(F.col("nid"), F.col("first").alias("id"))
     many = points.df.where("size > 1").select("nid", "unit")
     copies = members.df.join(many, "unit").select("nid", "id")
