@@ -18,8 +18,13 @@ from sparkloom.runtime import materialize
 
 #: Words of a shingle and the similarity from which a file is a copy of another.
 SHINGLE, ALIKE = 5, 0.8
+#: Characters of a statement, names and literals counting one each, from which a formatter breaks it; of a text that
+#: is a blob; and the share of lines of repeated shapes from which a file is uniform.
+LONG_STATEMENT, BLOB_CHARS, UNIFORM = 40, 40, 0.85
 #: Files the list of common shingles is read from (of the smallest id hash), and in how many of them a shingle is common.
 SAMPLE_FILES, COMMON_IN = 2000, 3
+#: The list of common shingles, which only orders the others, holds the most frequent ones of the sample up to this many.
+COMMON_SHINGLES = 200_000
 
 # What tools write into the first or last comment of their output.
 TOOL_NOTES = (
@@ -28,7 +33,7 @@ TOOL_NOTES = (
     r"\bchanges will be (?:lost|overwritten)\b", r"\bregenerate with\b", r"^\W{0,40}output of \S+?\.? ", r"^\W{0,40}source: \S+\.(?:proto|idl|thrift|avsc|fbs|yaml|yml|json)\b", r"\bmanual changes will be lost\b",
 )
 # Denials of the same.
-DENIALS = (r"\b(?:not|never|isn't|is not|no longer|wasn't) (?:auto-?)?(?:machine-)?generated\b", r"\bhand-?written\b", r"\bwritten by hand\b", r"\bedit it freely\b")
+DENIALS = (r"\b(?:not|never|isn't|is not|no longer|wasn't) (?:auto-?)?(?:machine-)?generated\b", r"\bhand-?written\b", r"\bwritten by hand\b")
 # What third-party files say of where they come from.
 ORIGIN_NOTES = (
     r"\bupstream:? https?://", r"\bthis file is part of \S+ \((?:release|version) ", r"\btaken (?:unmodified|verbatim|as is) from\b", r"\bspdx-filecopyrighttext: the \S+ contributors\b",
@@ -51,6 +56,10 @@ _LEX = {
 _NAME = re.compile(r"[^\W\d]\w*|\$\w+")
 _NUM = re.compile(r"-?\b\d[\w.]*")
 _BLANK = re.compile(r"[ \t]+")
+_STATEMENT = re.compile(r"[;{}\n]")
+# where a formatter breaks a statement that does not fit on a line: lists, choices and links of an expression
+_BREAK = re.compile(r"[,?:]|&&|\|\||(?<=[\)\]\w\x01])\.(?=I)|=>")
+_FIELD = re.compile(r"[^\W\d]\w*|\$\w+|-?\b\d[\w.]*|\x01")
 _WORD = re.compile(r"\w+")
 _HEAD = regex.compile(r"\A(?:\s*(?://[^\n]*|\#[^\n]*|/\*.*?\*/|<!--.*?-->|--[^\n]*))+", regex.S)
 _COMMENTS = re.compile(r"^[ \t]*(?://|/?\*|\#|<!--|--).*$", re.M)
@@ -87,29 +96,55 @@ def _tail(text: str) -> str:
     return text[max(end, 0) :]
 
 
+def reemit(shape: str) -> list[str]:
+    """The lines of a file in canonical form: a statement or brace to a line, and a long statement broken at its lists and links."""
+    out = []
+    for line in _STATEMENT.split(shape):
+        if len(line) > LONG_STATEMENT:
+            out += [x for x in _BREAK.split(line) if x]
+        elif line:
+            out.append(line)
+    return out
+
+
+def slots(bare: str, texts: list[str]) -> int:
+    """In how many places the lines that share their shape with three others differ, all such shapes together; ``texts`` are those the lexer took out, in order."""
+    lines: dict[str, list[list[str]]] = {}
+    left = iter(texts)
+    for line in bare.split("\n"):
+        fields = [next(left) if f == "\x01" else f for f in _FIELD.findall(line)]
+        if fields:
+            lines.setdefault(_BLANK.sub("", _FIELD.sub("I", line)), []).append(fields)
+    return sum(len(set(column)) > 1 for rows in lines.values() if len(rows) >= 4 for column in zip(*rows))
+
+
 def layout(text: str, hashes: bool = False) -> dict:
-    """Lex a file, re-emit it one statement or brace to a line, and compare that with the layout it has.
+    """Lex a file, re-emit it in canonical form, and compare that with the layout it has.
 
     ``expansion``: re-emitted lines to lines with code; ``width``: characters to such a line; ``uniform``: share
     of lines whose shape (names, numbers and texts replaced by their kind) is of one of the few shapes that
-    repeat; ``literals``: share of numbers and texts among the characters of code; ``prose``: comments and
-    free-standing texts of at least four words, for each 100 tokens; ``tokens``: tokens in all.
+    repeat, and ``slots`` the places in which these differ; ``literals``: share of numbers and texts among the
+    characters of code, ``blobs`` of long texts without white space; ``prose``: comments and free-standing texts
+    of at least four words, for each 100 tokens; ``tokens``: tokens in all.
     """
-    prose = literal = strings = 0
+    prose = literal = blobs = 0
+    texts: list[str] = []
 
     def kinds(m: re.Match) -> str:
-        nonlocal prose, literal, strings
+        nonlocal prose, literal, blobs
         t = m.group()
         if m.lastgroup == "c" or (t[:3] in ('"""', "'''") and not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip()):
             prose += len(t.split(None, 4)) >= 4
             return ""
-        strings += 1
+        texts.append(t)
         literal += len(t)
+        if len(t) >= BLOB_CHARS and len(t.split(None, 1)) == 1:
+            blobs += len(t)
         return "\x01"
 
     bare = _LEX[hashes].sub(kinds, text)
     numbers = sum(map(len, _NUM.findall(bare)))
-    code = len(_BLANK.sub("", bare)) - bare.count("\n") - strings + literal
+    code = len(_BLANK.sub("", bare)) - bare.count("\n") - len(texts) + literal
     literal += numbers
     shape, names = _NAME.subn("I", _NUM.sub("0", bare))
     shape = _BLANK.sub("", shape)
@@ -119,9 +154,10 @@ def layout(text: str, hashes: bool = False) -> dict:
             fold["data" if "I" not in line and ("0" in line or "\x01" in line) else line] += 1
     n = max(1, sum(fold.values()))
     tokens = len(shape) - shape.count("\n")
+    uniform = sum(k for _, k in fold.most_common(8) if k >= 4) / n
     return {
-        "expansion": (shape.count("{") + shape.count("}") + shape.count(";")) / n, "width": code / n, "uniform": sum(k for _, k in fold.most_common(8) if k >= 4) / n, "shapes": len(fold),
-        "literals": literal / max(1, code), "prose": 100.0 * prose / max(1, tokens), "tokens": tokens, "lines": n, "names": names / max(1, tokens),
+        "expansion": len(reemit(shape)) / n, "width": code / n, "uniform": uniform, "shapes": len(fold), "slots": slots(bare, texts) if uniform >= UNIFORM else 0,
+        "literals": literal / max(1, code), "blobs": blobs / max(1, code) if blobs >= 3 * BLOB_CHARS else 0.0, "prose": 100.0 * prose / max(1, tokens), "tokens": tokens, "lines": n, "names": names / max(1, tokens),
     }
 
 
@@ -140,9 +176,10 @@ def kind_of(path: str, text: str) -> str:
     q = layout(text[len(head) :], path.rpartition(".")[2].lower() in HASH_EXTENSIONS)
     if q["tokens"] >= 40 and q["width"] >= 160 and q["expansion"] >= 4:
         return "minified"
-    if q["tokens"] >= 60 and q["literals"] >= 0.55 and q["prose"] < 1 and (q["names"] < 0.12 or q["literals"] >= 0.7):
+    if q["blobs"] >= 0.8 or q["tokens"] >= 60 and q["literals"] >= 0.55 and q["prose"] < 1 and (q["names"] < 0.12 or q["literals"] >= 0.7):
         return "data"
-    if q["lines"] >= 5 and q["uniform"] >= 0.85 and q["prose"] == 0 and q["shapes"] <= 12:
+    # a template with three slots or more; lists of names and values are written by hand too, if they are short
+    if q["lines"] >= 5 and q["uniform"] >= UNIFORM and q["prose"] == 0 and q["shapes"] <= 12 and (q["slots"] >= 3 or q["lines"] >= 40):
         return "generated"
     return ""
 
@@ -221,7 +258,10 @@ def similar_texts(told: DataFrame, others: DataFrame, files: DataFrame) -> DataF
 
 
 def file_kinds(nodes: DataFrame, runs: DataFrame) -> DataFrame:
-    """``(node_id, kind)`` of every live file that is not hand-written source, inside the package prefixes of its repository.
+    """``(node_id, kind, caught_by)`` of every live file that is not hand-written source, inside the package prefixes of its repository.
+
+    ``caught_by`` is the rule under which an earlier run of the repository names the file among ``excluded_samples``
+    (the least, of several), null for what these runs did not name.
 
     A file is generated, minified or data by its own text; it is vendored if its path or its comments say so or
     if its text is a copy of such a file, of equal words or at least ALIKE similar in its shingles. Copies are
@@ -234,9 +274,14 @@ def file_kinds(nodes: DataFrame, runs: DataFrame) -> DataFrame:
         "id", F.coalesce("file_path", F.lit("")).alias("path"), "source", F.coalesce("content", F.lit("")).alias("content"),
         F.coalesce("updated_at", F.lit(0)).alias("at"), (F.coalesce("tombstoned_at", F.lit(0)) == 0).alias("live"),
     )
-    sample = bounded_sample(files.select("id", "content"), ["id"], SAMPLE_FILES).select(F.substring("content", 1, 20_000).alias("c")).toPandas()
-    seen = Counter(x for c in sample["c"] for x in shingles(body_words(c)).tolist())
-    common = np.array(sorted(x for x, n in seen.items() if n >= COMMON_IN), dtype=np.int64)
+    sample = bounded_sample(files.select("id"), ["id"], SAMPLE_FILES).select("id").distinct()
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"s": np.concatenate([shingles(body_words(c)) for c in b["content"]] or [np.empty(0, dtype=np.int64)])})
+
+    often = files.join(F.broadcast(sample), "id").select("content").mapInPandas(shingled, "s long").groupBy("s").count().where(F.col("count") >= COMMON_IN)
+    common = np.array(sorted(r.s for r in often.orderBy(F.desc("count"), "s").limit(COMMON_SHINGLES).toLocalIterator()), dtype=np.int64)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -263,4 +308,7 @@ def file_kinds(nodes: DataFrame, runs: DataFrame) -> DataFrame:
     r = now.where("live").join(copies, "body", "left").withColumn("kind", F.when((F.col("kind") == "") & F.col("copy"), F.lit("vendored")).otherwise(F.col("kind")))
     r = r.where("kind <> ''").withColumn("p", clean(F.col("path"))).where("p <> ''").join(kept, "source", "left")
     under = F.exists("cuts", lambda c: (F.col("p") == c) | F.startswith(F.col("p"), F.concat(c, F.lit("/"))))
-    return r.where(F.coalesce("whole", F.lit(True)) | under).select(F.col("id").alias("node_id"), "kind").distinct()
+    r = r.where(F.coalesce("whole", F.lit(True)) | under)
+    named = runs.where(F.col("repo").isNotNull() & F.col("excluded_samples").isNotNull()).select(F.col("repo").alias("source"), F.explode("excluded_samples").alias("rule", "paths"))
+    named = named.select("source", "rule", F.explode("paths").alias("path")).where(F.col("path").isNotNull()).groupBy("source", clean(F.col("path")).alias("p")).agg(F.min("rule").alias("caught_by"))
+    return r.join(named, ["source", "p"], "left").select(F.col("id").alias("node_id"), "kind", "caught_by").distinct()

@@ -40,6 +40,20 @@ def test_notes_in_long_comments():
     assert k("a/b.go", go + f'var s = "{note}"\n/* end */\n') == k("a/b.go", go + f'var g, s = "a/*", "{note}"\n/* end */\n') == ""
 
 
+def test_layouts_told_apart():
+    k = sourcefiles.kind_of
+    chained = "var a=1," + ",".join(f"f{i}=function(x,y){{return x>y?x-{i}:g(y,x)}}" for i in range(40))
+    assert k("a/b.js", chained) == "minified"
+    assert k("a/b.js", "a=1," + ",".join(f"b[{i}]=c.d(e,f).g(h)" for i in range(60))) == "minified"
+    assert k("a/b.py", "x=lambda a,b:[c for c in b if c!=a];" + ";".join(f"y{i}=x(z,{i}) if z else w.v(u)" for i in range(40))) == "minified"
+    assert k("a/b.py", "import zlib,base64;exec(zlib.decompress(base64.b64decode('" + "aGVsbG8gd29ybGQx" * 60 + "')))") == "data"
+    assert k("a/b.ts", "".join(f"export const ROUTE_{i} = makeRoute({i});\n" for i in range(12))) == ""
+    assert k("a/b.rs", "".join(f"pub const LEVEL_{i}: u32 = {i};\n" for i in range(12))) == ""
+    wide = "".join(f"  const total{i} = alpha.values.map((v) => v.size).filter((n) => n > {i}).reduce((p, q) => p + q, {i});\n  log('sum', total{i});\n  // step {i} of the sum ends here\n  if (total{i} > 9) return wrap(total{i}, other, third);\n" for i in range(9))
+    assert k("a/b.js", "// Sums the sizes of all values.\nfunction f(alpha) {\n" + wide + "}\n") == ""
+    assert sourcefiles.reemit("a;b{c;d}\ne") == ["a", "b", "c", "d", "e"]
+
+
 def test_prefix_filter_is_exact():
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)]
@@ -77,9 +91,9 @@ def test_file_kinds(spark):
         _node(None, "src/j.py", gen), _node("k", None, gen), _node("l", "any/l.py", gen, source="other"), _node("m", "src/m.py", gen, kind="thought"),
     ]
     n = spark.createDataFrame(rows, NODES)
-    runs = spark.createDataFrame([("r", ["src/", None]), (None, ["x"])], "repo string, package_prefixes array<string>")
-    got = {r.node_id: r.kind for r in sourcefiles.file_kinds(n, runs).collect()}
-    assert got == {"b": "vendored", "c": "vendored", "l": "generated"}
+    runs = spark.createDataFrame([("r", ["src/", None], {"vendor": ["./src/c.go", None, "gone.go"], "empty": None}), (None, ["x"], {"a": ["src/b.go"]}), ("other", None, None)], "repo string, package_prefixes array<string>, excluded_samples map<string,array<string>>")
+    got = {r.node_id: (r.kind, r.caught_by) for r in sourcefiles.file_kinds(n, runs).collect()}
+    assert got == {"b": ("vendored", None), "c": ("vendored", "vendor"), "l": ("generated", None)}
     assert sourcefiles.file_kinds(n.limit(0), runs).count() == 0
 
 
