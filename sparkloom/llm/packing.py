@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -20,8 +22,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Classes of length over a window, and items of a combination, in the least-squares step.
 CLASSES, DEPTH = 96, 3
-#: Slices in which items of one length are numbered.
-SLICES = 64
+#: About how many items of one length are numbered in one task; more are cut into slices.
+SLICE_ROWS = 100_000
+#: Share of the room that is to be used where there are items enough to choose from.
+FILL_FLOOR = 0.97
 
 
 def encoder(path: str, pattern: str = PATTERN):
@@ -33,10 +37,13 @@ def encoder(path: str, pattern: str = PATTERN):
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """``(doc_id, n_tokens)`` of every text that is not null, empty or blank."""
+    """``(doc_id, n_tokens)`` of every text that is not null, empty or blank; the driver sends the tokenizer's file to the executors."""
+
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) for t in b["text"]]})
 
@@ -207,26 +214,29 @@ def pack(documents: DataFrame, specs: DataFrame, *, tokenizer: str = TOKENIZER)
 
     Only a histogram reaches the driver, at most ``capacity`` rows per spec, and the plan that goes back has
     one row per run of equal containers. Items are numbered within (length, slice) and slices by their counts,
-    so no length is one task.
+    so a length of many items, such as the full pieces of long texts, is many tasks.
     """
     spark: SparkSession = documents.sparkSession
     sizes = materialize(token_counts(documents, tokenizer), "p6-sizes").df
     todo = {r.spec_id: int(r.capacity_tokens) for r in specs.where("spec_id is not null and capacity_tokens > 0").select("spec_id", "capacity_tokens").toLocalIterator()}
-    caps = spark.createDataFrame(list(todo.items()) or [], "spec_id int, capacity long")
     full = F.floor(F.col("n_tokens") / F.col("capacity"))
     pieces = F.when(F.col("n_tokens") <= F.col("capacity"), F.lit(1)).otherwise(F.ceil(F.col("n_tokens") / F.col("capacity"))).cast("int")
-    items = sizes.crossJoin(F.broadcast(caps)) if len(todo) <= 1000 else sizes.join(caps, F.lit(True))
+    caps = F.array(*[F.struct(F.lit(i).alias("spec_id"), F.lit(c).cast("long").alias("capacity")) for i, c in todo.items()]) if todo else F.expr("cast(array() as array<struct<spec_id: int, capacity: bigint>>)")
+    items = sizes.select("doc_id", "n_tokens", F.inline(caps))
     items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     items = items.select(
         "spec_id", "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("start_token"),
         F.when(F.col("piece") < full, F.col("capacity")).otherwise(F.col("n_tokens") - F.col("piece") * F.col("capacity")).alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int").alias("slice"),
     )
-    key = ["spec_id", "n_tokens", "slice"]
-    counts = materialize(items.groupBy(*key).count(), "p6-counts").df
     hist: dict[int, dict[int, int]] = {s: {} for s in todo}
-    for r in counts.groupBy("spec_id", "n_tokens").agg(F.sum("count").alias("n")).toLocalIterator():
-        hist[r.spec_id][int(r.n_tokens)] = int(r.n)
+    for r in items.groupBy("spec_id", "n_tokens").count().toLocalIterator():
+        hist[r.spec_id][int(r.n_tokens)] = int(r["count"])
+    # lengths with more items than one task numbers, at most as many rows as there are items over SLICE_ROWS
+    many = [(s, k, -(-n // SLICE_ROWS)) for s, h in hist.items() for k, n in h.items() if n > SLICE_ROWS]
+    cuts = spark.createDataFrame(many, "spec_id int, n_tokens long, cuts long")
+    key = ["spec_id", "n_tokens", "slice"]
+    items = items.join(F.broadcast(cuts), ["spec_id", "n_tokens"], "left").withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts")
+    counts = items.groupBy(*key).count()
     plan: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for s, cap in todo.items():
         base, used = 0, {}
@@ -256,7 +266,11 @@ def pack(documents: DataFrame, specs: DataFrame, *, tokenizer: str = TOKENIZER)
 
 
 def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
-    """``(spec_id, capacity_tokens, containers, tokens, fill)`` per spec; fill is the share of all room that is used."""
+    """``(spec_id, capacity_tokens, containers, tokens, fill, enough)`` per spec; fill is the share of all room that is used.
+
+    ``enough`` tells whether that is FILL_FLOOR at least, or whether the containers are as few as the tokens allow.
+    """
     t = packed.groupBy("spec_id").agg((F.max("container_id") + 1).alias("containers"), F.sum("n_tokens").alias("tokens"))
     return t.join(specs.select("spec_id", "capacity_tokens"), "spec_id").select(
-        "spec_id", "capacity_tokens", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
+        "spec_id", "capacity_tokens", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"),
+        ((F.col("tokens") >= FILL_FLOOR * F.col("containers") * F.col("capacity_tokens")) | (F.col("containers") == F.ceil(F.col("tokens") / F.col("capacity_tokens")))).alias("enough"))

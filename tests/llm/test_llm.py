@@ -360,6 +360,15 @@ def test_nnls():
     assert np.allclose(packing.nnls(a, a @ x), x, atol=1e-6)
 
 
+def test_packing_of_one_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_ROWS", 50)
+    docs = spark.createDataFrame([(i, "word") for i in range(301)] + [(1000, "word " * 900)], "doc_id long, text string")
+    specs = spark.createDataFrame([(1, 16)], "spec_id int, capacity_tokens int")
+    p = packing.pack(docs, specs).toPandas()
+    assert not p.duplicated(["container_id", "position"]).any() and (p.groupby("container_id").n_tokens.sum() <= 16).all() and set(p.doc_id) == {*range(301), 1000}
+    assert [(r.spec_id, r.enough) for r in packing.fill_report(packing.pack(docs, specs), specs).collect()] == [(1, True)]
+
+
 def test_packing(spark):
     rows = [(i, "word " * (i % 37 + 1), "x") for i in range(200)] + [(900, "long " * 500, "x"), (901, None, "x"), (902, "", "x"), (903, " \n ", "x"), (None, "y", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spec_id string")
