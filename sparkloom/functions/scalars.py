@@ -220,17 +220,22 @@ def clamp(c: Column, n: int = 500) -> Column:
     return F.left(c, F.lit(n))
 
 
-# Words by which a query asks for tests or for an implementation.
-TEST_WORDS = ("test", "tests", "spec", "fixture", "mock", "assert", "benchmark")
-IMPL_WORDS = ("implement", "implementation", "implemented", "definition", "defined", "source", "function", "handler", "how does", "where is")
+# What makes a query one for tests: calls of test frameworks and phrases anywhere in it, words as whole tokens.
+TEST_CALLS = ("it(", "describe(", "test(", "beforeeach", "aftereach", "beforeall", "afterall")
+TEST_PHRASES = ("unit test", "integration test", "e2e test", "end-to-end test")
+TEST_WORDS = (
+    "test tests tested testing spec specs mock mocks mocked mocking fixture fixtures assertion assertions assert asserts expect expects expected coverage describe context should"
+).split()
 
 
 def intent(c: Column) -> Column:
-    """``test``, ``impl`` or ``unknown`` of a query; two characters or fewer are unknown, tests win."""
-    q = F.lower(F.trim(c))
-    has = lambda ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: q.contains(w))
-    word = lambda ws: q.rlike(r"(^|\W)(" + "|".join(ws) + r")(\W|$)")
-    return F.when(F.length(q) <= 2, F.lit("unknown")).when(word(TEST_WORDS), F.lit("test")).when(has(IMPL_WORDS), F.lit("impl")).otherwise(F.lit("unknown"))
+    """``test``, ``unknown`` or ``impl`` of a query: tests by calls, phrases or words between white space, else unknown up to two words."""
+    q = F.lower(c)
+    words = F.filter(F.split(q, r"[\s\x0b\p{Z}\x85]+"), lambda w: w != "")
+    tests = F.arrays_overlap(words, F.array(*[F.lit(w) for w in TEST_WORDS]))
+    for t in (*TEST_CALLS, *TEST_PHRASES):
+        tests = tests | q.contains(t)
+    return F.when(tests, F.lit("test")).when(F.size(words) <= 2, F.lit("unknown")).otherwise(F.lit("impl"))
 
 
 # --- ranks ---

@@ -81,8 +81,8 @@ def project(d: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def resolve_edge_types(edges: DataFrame, want: list[str]) -> list[str]:
-    """Stored spellings of edge types asked for in any case; unknown or ambiguous ones are refused. The vocabulary is read, at most 10,000 types."""
-    vocab = [r.type for r in edges.select("type").distinct().limit(10_000).collect()]
+    """Stored spellings of edge types asked for in any case; unknown or ambiguous ones are refused. Only spellings of what is asked for are read."""
+    vocab = {r.type for r in edges.where(F.lower("type").isin(*[w.lower() for w in want])).select("type").distinct().toLocalIterator()} if want else set()
     out = []
     for w in want:
         if w in vocab:
@@ -160,40 +160,50 @@ def steps(edges: DataFrame, direction: str, types: list[str] | None = None) -> D
     return (out if direction == "out" else back if direction == "in" else out.unionByName(back)).distinct()
 
 
+def _union(parts: list) -> DataFrame:
+    out = parts[0].df
+    for p in parts[1:]:
+        out = out.unionByName(p.df)
+    return out
+
+
 def k_hop(g: Graph, start: DataFrame, direction: str = "out", types: list[str] | None = None, depth: int = 1, live_only: bool = True) -> DataFrame:
     """``(id, distance)`` of nodes within ``depth`` steps of the start ids, by their least distance; dangling ends are no nodes.
 
-    Breadth first; every level joins only the frontier and drops what was seen, and is written once.
+    Breadth first; every level joins only the frontier, drops what was seen and writes only what is new.
     """
     s = steps(g.edges, direction, types)
-    seen = materialize(start.select("id").distinct().join((g.live if live_only else g.nodes).select("id"), "id", "left_semi").withColumn("distance", F.lit(0)), "hop")
     ids = (g.live if live_only else g.nodes).select("id")
+    levels = [materialize(start.select("id").distinct().join(ids, "id", "left_semi").withColumn("distance", F.lit(0)), "hop")]
     for k in range(1, depth + 1):
-        front = seen.df.where(F.col("distance") == k - 1).select(F.col("id").alias("a"))
-        nxt = s.join(front, "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen.df, "id", "left_anti").join(ids, "id", "left_semi")
-        new = materialize(seen.df.unionByName(nxt.withColumn("distance", F.lit(k))), "hop")
-        if new.df.where(F.col("distance") == k).isEmpty():
+        front = levels[-1].df.select(F.col("id").alias("a"))
+        nxt = s.join(front, "a", "left_semi").select(F.col("b").alias("id")).distinct().join(_union(levels).select("id"), "id", "left_anti").join(ids, "id", "left_semi")
+        new = materialize(nxt.withColumn("distance", F.lit(k)), "hop")
+        if new.df.isEmpty():
             new.drop()
             break
-        seen.drop()
-        seen = new
-    return seen.df
+        levels.append(new)
+    return _union(levels)
 
 
-def closure(pairs: DataFrame, depth: int = 32) -> DataFrame:
-    """``(a, b, distance)``: transitive closure of ``(a, b)`` up to ``depth`` steps, start excluded unless on a cycle, least distance."""
+def closure(pairs: DataFrame, depth: int | None = None) -> DataFrame:
+    """``(a, b, distance)``: transitive closure of ``(a, b)``, start excluded unless on a cycle, least distance; ``depth`` ends it after so many steps.
+
+    Every level writes only the pairs that are new.
+    """
     base = pairs.select("a", "b").distinct()
-    all_ = materialize(base.withColumn("distance", F.lit(1)), "closure")
-    for k in range(2, depth + 1):
-        front = all_.df.where(F.col("distance") == k - 1).select("a", F.col("b").alias("m"))
-        nxt = front.join(base.withColumnRenamed("a", "m"), "m").select("a", "b").distinct().join(all_.df, ["a", "b"], "left_anti")
-        new = materialize(all_.df.unionByName(nxt.withColumn("distance", F.lit(k))), "closure")
-        if new.df.where(F.col("distance") == k).isEmpty():
+    levels = [materialize(base.withColumn("distance", F.lit(1)), "closure")]
+    k = 1
+    while depth is None or k < depth:
+        k += 1
+        front = levels[-1].df.select("a", F.col("b").alias("m"))
+        nxt = front.join(base.withColumnRenamed("a", "m"), "m").select("a", "b").distinct().join(_union(levels).select("a", "b"), ["a", "b"], "left_anti")
+        new = materialize(nxt.withColumn("distance", F.lit(k)), "closure")
+        if new.df.isEmpty():
             new.drop()
             break
-        all_.drop()
-        all_ = new
-    return all_.df
+        levels.append(new)
+    return _union(levels)
 
 
 def analyzer_edges(g: Graph, types: list[str] | None = None) -> DataFrame:
@@ -249,29 +259,20 @@ def candidate_groups(g: Graph) -> DataFrame:
     return d.select("from_id", F.when(F.col("single"), F.lit("")).otherwise(F.col("_k")).alias("evidence"), "members", "confidence", declared.alias("declared"), (F.col("method") == "ambiguous-name").alias("closed"), (F.col("members") == declared).alias("complete"))
 
 
-#: About how many members of an artifact are paired with as many others in one step.
-PAIR_BLOCK = 256
+def shared_artifact_groups(members: DataFrame, existing: DataFrame, per: str = "artifact") -> DataFrame:
+    """``(artifact, thought, members, links)``: the thoughts that share an artifact, as groups.
 
-
-def shared_artifact_pairs(members: DataFrame, existing: DataFrame, per: str = "artifact", block: int = PAIR_BLOCK) -> DataFrame:
-    """Pairs a < b of thoughts that share an artifact, one row per artifact, without pairs already joined in either direction.
-
-    Input ``(artifact, thought)`` pairs. Every artifact gives all pairs of its members, however many it has, as in
-    the reference, so the result grows with the square of its largest ones. Members are cut into blocks of about
-    ``block`` and every pair of blocks is a key of its own: no task holds a large artifact. Pairs already joined
-    travel with the members of a block, so the pairs themselves are never shuffled.
+    Input ``(artifact, thought)`` pairs. All members of an artifact are linked to one another unless they are joined
+    already, in either direction: ``links`` counts a member's partners that are not. An artifact of any number of
+    members is as many rows, counted before the shuffle; its pairs are never expanded. An artifact of one member and
+    members without a partner left stay with 0 links; nulls are no members.
     """
-    m = members.select(per, "thought").where(F.col("thought").isNotNull()).distinct()
-    blocks = m.groupBy(per).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    m = m.join(blocks, per).withColumn("own", F.pmod(F.xxhash64("thought"), "blocks"))
-    x = existing.select(F.col("from_id").alias("thought"), F.col("to_id").alias("other"))
+    m = members.select(per, "thought").where(F.col(per).isNotNull() & F.col("thought").isNotNull()).distinct()
+    x = existing.where("from_id <> to_id").select(F.col("from_id").alias("thought"), F.col("to_id").alias("other"))
     x = x.unionByName(x.select(F.col("other").alias("thought"), F.col("thought").alias("other"))).distinct()
-    other = m.select(per, F.col("thought").alias("other"), F.col("own").alias("hi"))
-    joined = x.join(m.select(per, "thought"), "thought").join(other, [per, "other"]).groupBy(per, "thought", "hi").agg(F.collect_set("other").alias("joined"))
-    left = m.select(per, "thought", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi")).join(joined, [per, "thought", "hi"], "left")
-    right = other.select(per, "other", "hi", F.explode(F.sequence(F.lit(0).cast("long"), "hi")).alias("lo"))
-    p = left.join(right, [per, "lo", "hi"]).where("(lo < hi or thought < other) and not coalesce(array_contains(joined, other), false)")
-    return p.select(F.least("thought", "other").alias("a"), F.greatest("thought", "other").alias("b"), per)
+    joined = x.join(m, "thought").join(m.select(per, F.col("thought").alias("other")), [per, "other"]).groupBy(per, "thought").agg(F.count(F.lit(1)).alias("joined"))
+    d = m.join(m.groupBy(per).agg(F.count(F.lit(1)).alias("members")), per).join(joined, [per, "thought"], "left")
+    return d.select(per, "thought", "members", (F.col("members") - 1 - F.coalesce("joined", F.lit(0))).alias("links"))
 
 
 def score_alerts(findings: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -396,7 +397,7 @@ def content_ratio(g: Graph) -> DataFrame:
     return c.crossJoin(F.broadcast(t)).select("type", "n", F.round(F.col("n") / F.col("t"), 6).alias("ratio"))  # t is one row
 
 
-def subtree_ratio(g: Graph, root_types: list[str], edge: str, depth: int = 32) -> DataFrame:
+def subtree_ratio(g: Graph, root_types: list[str], edge: str, depth: int | None = None) -> DataFrame:
     """Node types inside the subtree of every root along containment."""
     roots = g.live.where(F.col("type").isin(*root_types)).select(F.col("id").alias("a"))
     c = closure(steps(g.edges, "out", [edge]), depth).join(roots, "a", "left_semi")
@@ -590,7 +591,13 @@ def rule_scope(rules: DataFrame, repo: str, path: str) -> DataFrame:
 
 
 def intersect_prefixes(run: DataFrame, check: DataFrame) -> DataFrame:
-    """The narrower of every two prefixes of which one holds the other; both sides are short lists of a configuration, at most 1000 entries."""
-    r, c = run.select(F.col("prefix").alias("r")).distinct().limit(1000), check.select(F.col("prefix").alias("c")).distinct().limit(1000)
-    inside = lambda a, b: (F.col(a) == F.col(b)) | F.col(a).startswith(F.concat(F.col(b), F.lit("/"))) | (F.col(b) == "")
-    return r.join(F.broadcast(c), inside("r", "c") | inside("c", "r")).select(F.when(inside("r", "c"), F.col("r")).otherwise(F.col("c")).alias("prefix")).distinct()
+    """The narrower of every two prefixes of which one holds the other. Every prefix meets those above it by an equal join on its own leading segments."""
+    r, c = run.select("prefix").where(F.col("prefix").isNotNull()).distinct(), check.select("prefix").where(F.col("prefix").isNotNull()).distinct()
+
+    def inside(a: DataFrame, b: DataFrame) -> DataFrame:
+        parts = F.split("prefix", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+        up = a.select("prefix", F.explode(F.array_append(above, F.lit(""))).alias("above")).distinct()
+        return up.join(b.select(F.col("prefix").alias("above")), "above").select("prefix")
+
+    return inside(r, c).unionByName(inside(c, r)).distinct()

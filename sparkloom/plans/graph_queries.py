@@ -57,9 +57,10 @@ add("dead_code", lambda s, d: G.unreachable(graph(s, d), graph(s, d).live.where(
 add("dead_code_positions", lambda s, d: G.by_position(G.unreachable(graph(s, d), graph(s, d).live.where("is_exported").select("id"), ["CALLS"], ["function"]), graph(s, d).live.where("type = 'function'").select(F.col("file_path").alias("path"), F.col("start_line").alias("line"), F.col("id").alias("at_id"))).select("id", "at_id"),
     f"{WR}, s AS (SELECT DISTINCT from_id AS a, to_id AS b FROM e WHERE type = 'CALLS'), r AS (SELECT id FROM l WHERE is_exported UNION SELECT s.b FROM r JOIN s ON s.a = r.id JOIN l ON l.id = s.b), dd AS (SELECT * FROM l WHERE type = 'function' AND id NOT IN (SELECT id FROM r)) SELECT dd.id, f.id AS at_id FROM dd JOIN l f ON f.type = 'function' AND f.file_path = dd.file_path AND f.start_line = dd.start_line")
 add("overlay_shadowing", lambda s, d: G.overlay(graph(s, d).live.select("id", "type", "status"), graph(s, d).live.where("type = 'thought'").select("id", "type", F.lit("branch").alias("status"))), f"{W} SELECT id, type, CASE WHEN type = 'thought' THEN 'branch' ELSE status END AS status FROM l")
-add("shared_session_pairs", lambda s, d: G.shared_artifact_pairs(graph(s, d).edges.where("type = 'contains'").select(F.col("from_id").alias("artifact"), F.col("to_id").alias("thought")), graph(s, d).edges.where(F.col("type").isin(*THOUGHT))),
-    f"""{W}, m AS (SELECT DISTINCT from_id AS artifact, to_id AS thought FROM e WHERE type = 'contains'), k AS (SELECT artifact FROM m GROUP BY 1 HAVING count(*) <= 40), x AS (SELECT DISTINCT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by'))
-SELECT p.thought AS a, q.thought AS b, p.artifact FROM m p JOIN m q ON p.artifact = q.artifact AND p.thought < q.thought WHERE p.artifact IN (SELECT artifact FROM k) AND NOT EXISTS (SELECT 1 FROM x WHERE x.a = p.thought AND x.b = q.thought)""")
+add("shared_session_groups", lambda s, d: G.shared_artifact_groups(graph(s, d).edges.where("type = 'contains'").select(F.col("from_id").alias("artifact"), F.col("to_id").alias("thought")), graph(s, d).edges.where(F.col("type").isin(*THOUGHT))),
+    f"""{W}, m AS (SELECT DISTINCT from_id AS artifact, to_id AS thought FROM e WHERE type = 'contains'), x AS (SELECT from_id AS a, to_id AS b FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by') AND from_id <> to_id UNION SELECT to_id, from_id FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by') AND from_id <> to_id),
+k AS (SELECT artifact, count(*) AS members FROM m GROUP BY 1), j AS (SELECT p.artifact, p.thought, count(*) AS joined FROM m p JOIN x ON x.a = p.thought JOIN m q ON q.artifact = p.artifact AND q.thought = x.b GROUP BY 1, 2)
+SELECT artifact, thought, members, members - 1 - coalesce(joined, 0) AS links FROM m JOIN k USING (artifact) LEFT JOIN j USING (artifact, thought)""")
 
 
 def _alerts(s, d):

@@ -16,8 +16,8 @@ from sparkloom.runtime import table
 W = "WITH" + GRAPH_SQL
 _M = "coalesce(element_at(metadata, '{}')[1], '')".format
 
-add("merge_queries", lambda s, d: X.merge_queries(table(s, d, "documents").where("doc_id % 100 = 0").select(F.col("title").alias("text"), F.col("doc_id").alias("pos")), table(s, d, "documents").where("doc_id % 50 = 0").select(F.col("title").alias("text"), F.col("doc_id").alias("pos"))),
-    "WITH u AS (SELECT title AS text, 0 AS batch, doc_id AS pos FROM documents WHERE doc_id % 100 = 0 UNION ALL SELECT title, 1, doc_id FROM documents WHERE doc_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY batch, pos) AS k FROM u) SELECT text, batch, pos FROM r WHERE k = 1")
+add("merge_queries", lambda s, d: X.merge_queries(table(s, d, "documents").where("lang = 'en'").select(F.col("title").alias("text"), F.col("doc_id").alias("pos")), table(s, d, "documents").select(F.col("title").alias("text"), F.col("doc_id").alias("pos"))),
+    "WITH u AS (SELECT title AS text, 0 AS batch, doc_id AS pos FROM documents WHERE lang = 'en' UNION ALL SELECT title, 1, doc_id FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY batch, pos) AS k FROM u) SELECT text, batch, pos FROM r WHERE k = 1")
 add("scope_intersection", lambda s, d: G.intersect_prefixes(table(s, d, "discovery_runs").select(F.explode("package_prefixes").alias("p")).select(F.regexp_replace("p", "/$", "").alias("prefix")), s.createDataFrame([("src/api",), ("lib",), ("tools/x",)], "prefix string")),
     "WITH r AS (SELECT DISTINCT rtrim(unnest(package_prefixes), '/') AS r FROM discovery_runs), c AS (SELECT unnest(['src/api', 'lib', 'tools/x']) AS c) SELECT DISTINCT CASE WHEN r = c OR starts_with(r, c || '/') THEN r ELSE c END AS prefix FROM r, c WHERE r = c OR starts_with(r, c || '/') OR starts_with(c, r || '/')")
 add("search_destinations", lambda s, d: X.search_destinations({"ubinary": docs(s, d).where("dtype = 'ubinary'"), "other": docs(s, d).where("coalesce(dtype, '') <> 'ubinary'")}, queries(s, d), 10).select("qid", "id", "store", "rank"))
@@ -43,7 +43,7 @@ def _examine(s, d):
     return x.join(V.thoughts(g).select("id"), "id", "left_semi").join(g.live.select(F.col("id").alias("o")), "o", "left_semi").groupBy("id", "type", "direction").agg(F.countDistinct("o").alias("n"))
 
 
-add("plan_tree", lambda s, d: G.ordered_children(graph(s, d), "contains").where("no <= 3").select("parent", "id", "no"), f"{W}, c AS (SELECT from_id AS parent, to_id AS id, min(try_cast(CASE WHEN evidence LIKE '{{%' THEN json_extract_string(evidence, '$.position') END AS BIGINT)) AS position FROM e WHERE type = 'contains' AND to_id IN (SELECT id FROM l) GROUP BY 1, 2), r AS (SELECT parent, id, row_number() OVER (PARTITION BY parent ORDER BY position NULLS LAST, id) AS no FROM c) SELECT * FROM r WHERE no <= 3")
+add("plan_tree", lambda s, d: G.ordered_children(graph(s, d), "contains").select("parent", "id", "no"), f"{W}, c AS (SELECT from_id AS parent, to_id AS id, min(try_cast(CASE WHEN evidence LIKE '{{%' THEN json_extract_string(evidence, '$.position') END AS BIGINT)) AS position FROM e WHERE type = 'contains' AND to_id IN (SELECT id FROM l) GROUP BY 1, 2), r AS (SELECT parent, id, row_number() OVER (PARTITION BY parent ORDER BY position NULLS LAST, id) AS no FROM c) SELECT * FROM r")
 add("densify_links", lambda s, d: X.densify(docs(s, d).select("id", "vector").join(graph(s, d).live.select("id", meta("cluster_id").alias("cluster")).where("cluster <> ''"), "id"), "cluster", k=3, floor=0.7),
     f"WITH {GRAPH_SQL}, {DOCS}, v AS (SELECT l.id, {_M('cluster_id')} AS cluster, vector::BIT AS x FROM sd JOIN l USING (id) WHERE {_M('cluster_id')} <> '' AND octet_length(vector) = 32), p AS (SELECT a.cluster, a.id AS qid, b.id AS id, 1 - bit_count(xor(a.x, b.x)) / 256.0 AS score FROM v a JOIN v b ON a.cluster = b.cluster AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS k FROM p WHERE score >= 0.7) SELECT DISTINCT cluster, least(qid, id) AS a, greatest(qid, id) AS b, score FROM r WHERE k <= 3")
 add("collect_staleness", lambda s, d: table(s, d, "discovery_runs").join(graph(s, d).live.where("type = 'file'").groupBy(F.col("source").alias("repo")).agg(F.max("updated_at").alias("newest")), "repo").select("repo", (F.col("newest") > F.unix_micros(F.col("run_at").cast("timestamp")) * 1000).alias("stale")),

@@ -299,12 +299,20 @@ def parse(src: str) -> list[Rule]:
 
 
 # --- compiling ----------------------------------------------------------------------------------
+#: Names of one kind that a graph's vocabulary may hold; a graph with more is refused, never read in part.
+MAX_VOCABULARY = 1_000_000
+
+
 def census(g: Graph) -> dict[str, set[str]]:
-    """Node types, edge types and metadata keys of a graph: its vocabulary, bounded by the kinds of things in it."""
-    types = {r[0] for r in g.live.select("type").distinct().limit(10_000).collect()}
-    edges = {r[0] for r in g.edges.select("type").distinct().limit(10_000).collect()}
-    keys = {r[0] for r in g.live.select(F.explode(F.map_keys("metadata"))).distinct().limit(100_000).collect()}
-    return {"node type": types, "edge type": edges, "metadata key": keys}
+    """Node types, edge types and metadata keys of a graph: its vocabulary, refused beyond MAX_VOCABULARY names of a kind."""
+
+    def names(what: str, d: DataFrame) -> set[str]:
+        got = {r[0] for r in d.distinct().limit(MAX_VOCABULARY + 1).toLocalIterator()}
+        if len(got) > MAX_VOCABULARY:
+            raise RecipeError(f"1:1: the graph has more than {MAX_VOCABULARY} names of the kind {what}")
+        return got
+
+    return {"node type": names("node type", g.live.select("type")), "edge type": names("edge type", g.edges.select("type")), "metadata key": names("metadata key", g.live.select(F.explode(F.map_keys("metadata"))))}
 
 
 def _known(voc: set[str], what: str, v: str, at: str) -> str:
@@ -314,6 +322,21 @@ def _known(voc: set[str], what: str, v: str, at: str) -> str:
     raise RecipeError(f"{at}: unknown {what} {v!r}" + (f"; did you mean {near[0]!r}?" if near else f"; the graph has {', '.join(sorted(voc)[:20])}"))
 
 
+#: Bytes of the list of all group keys that a row may carry.
+MAX_GROUP_KEYS = 1_000_000
+
+
+def _names_group(x) -> bool:
+    """Whether a rule reads ``group.keys`` anywhere."""
+    if isinstance(x, Expr):
+        return (x.kind == "path" and x.value[:1] == ["group"]) or any(_names_group(a) for a in (x.args or []))
+    if isinstance(x, Rule):
+        return _names_group(x.a)
+    if isinstance(x, dict):
+        return any(_names_group(v) for v in x.values()) or any(isinstance(v, str) and v.startswith("group.") for v in x.values())
+    return isinstance(x, list | tuple) and any(_names_group(v) for v in x)
+
+
 class Program:
     """A compiled program; ``run`` gives nodes, edges and counts as DataFrames, lazily but for recursive walks and the check of ids."""
 
@@ -530,7 +553,7 @@ class Program:
         d = self._need_rows(at)
         edge = _known(self.voc["edge type"], "edge type", a["edge"], at)
         kids = self.g.edges.where(F.col("type") == edge).groupBy(F.col("from_id").alias("a"), F.col("to_id").alias("b")).agg(F.min(F.get_json_object("evidence", "$.position").try_cast("long")).alias("p"))
-        sub = subtree(kids, MAX_DEPTH)
+        sub = subtree(kids, None)
         w = W.partitionBy("a").orderBy("path")
         sub = sub.withColumn("t_walk_position", F.row_number().over(w).cast("string")).withColumn("t_walk_depth", F.size("path").cast("string"))
         d = d.withColumnRenamed("node", "_n").join(sub, F.col("_n.id") == F.col("a")).join(self.nodes, F.col("b") == F.col("node.id"))
@@ -544,10 +567,14 @@ class Program:
     def do_group_by(self, a: dict, at: str) -> None:
         d, c = self._expr(self._need_rows(at), a["key"])
         d = d.withColumn("_k", c)
-        keys = d.select("_k").distinct().agg(F.array_join(F.array_sort(F.collect_list("_k")), ",").alias("t_group_keys"))
         first = d.groupBy("_k").agg(F.min("ord").alias("ord"))
-        d = d.drop("t_group_keys").join(first, ["_k", "ord"], "left_semi").dropDuplicates(["_k"]).drop("_k")
-        self.rows = d.crossJoin(F.broadcast(keys))  # one row
+        d = d.drop("t_group_keys").join(first, ["_k", "ord"], "left_semi").dropDuplicates(["_k"])
+        if _names_group(self.rules):  # the list of all keys is made only where the program reads it
+            total = d.agg(F.count(F.lit(1)), F.sum(F.octet_length("_k"))).first()
+            if (total[1] or 0) + total[0] > MAX_GROUP_KEYS:
+                raise RecipeError(f"{at}: group.keys holds {total[0]} keys, more than {MAX_GROUP_KEYS} bytes in every row")
+            d = d.withColumn("t_group_keys", F.lit(",".join(sorted(r[0] for r in d.select("_k").toLocalIterator()))))
+        self.rows = d.drop("_k")
 
     def do_source_ref(self, a: dict, at: str) -> None:
         self._need_rows(at)
@@ -599,13 +626,13 @@ class Program:
         self.misses.append(p.where("from_id = '' or to_id = ''").agg(F.count(F.lit(1)).alias("n")).select(F.lit("link_misses").alias("what"), "n"))
 
 
-def subtree(kids: DataFrame, depth: int) -> DataFrame:
-    """``(a, b, path)``: nodes below every a along ``(a, b, p)``, each once by its first path in document order (position, those without one last, then id)."""
+def subtree(kids: DataFrame, depth: int | None) -> DataFrame:
+    """``(a, b, path)``: nodes below every a along ``(a, b, p)``, each once by its first path in document order (position, those without one last, then id); None is any depth."""
     step = F.concat(F.lpad(F.coalesce("p", F.lit(999_999_999_999)).cast("string"), 12, "0"), F.lit("\x01"), F.col("b"))
     base = kids.select("a", "b", step.alias("s"))
-    now = materialize(base.select("a", "b", F.array("s").alias("path")).where(F.lit(depth > 0)), "subtree")
+    now = materialize(base.select("a", "b", F.array("s").alias("path")).where(F.lit(depth is None or depth > 0)), "subtree")
     out = [now]
-    for k in range(2, depth + 1):
+    while depth is None or len(out) < depth:
         nxt = out[-1].df.join(base.select(F.col("a").alias("b"), F.col("b").alias("c"), "s"), "b").where(~F.exists("path", lambda x: x.endswith(F.concat(F.lit("\x01"), F.col("c")))) & (F.col("c") != F.col("a")))
         n = materialize(nxt.select("a", F.col("c").alias("b"), F.concat("path", F.array("s")).alias("path")), "subtree")
         if n.df.isEmpty():

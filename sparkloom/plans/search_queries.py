@@ -34,6 +34,8 @@ def vector_queries(s, d):
 
 
 W = f"WITH {BM}"
+INTENT = f"""SELECT qid, CASE WHEN {" OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in (*S.TEST_CALLS, *S.TEST_PHRASES))} OR list_has_any(string_split_regex(lower(coalesce(text, '')), '\\s+'), [{", ".join(f"'{w}'" for w in S.TEST_WORDS)}]) THEN 'test'
+  WHEN len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')) <= 2 THEN 'unknown' ELSE 'impl' END AS intent FROM q"""
 add("bm25_postings", lambda s, d: X.postings(docs(s, d)), f"{W} SELECT * FROM po")
 add("bm25_corpus_stats", lambda s, d: X.corpus_stats(X.postings(docs(s, d)), docs(s, d))[2], f"{W} SELECT * FROM df")
 add("bm25_scores", lambda s, d: X.bm25(docs(s, d), queries(s, d)).select("qid", "id", F.round("score", 6).alias("score")), f"{W} SELECT qid, id, round(score, 6) AS score FROM bm")
@@ -52,9 +54,10 @@ def tq(s, d):
 
 
 add("overlay_search", lambda s, d: X.overlay_search(docs(s, d), docs(s, d).where(F.conv(F.right("id", F.lit(1)), 16, 10).cast("int") < 4), queries(s, d), 10).select("qid", "id", "rank"))
-add("score_ops_rerank", lambda s, d: X.score_ops(X.bm25(docs(s, d), queries(s, d)), queries(s, d), graph(s, d)).select("qid", "id", F.round("score", 6).alias("score")), f"""{W}, it AS (SELECT qid, CASE WHEN length(trim(lower(coalesce(text, '')))) <= 2 THEN 'unknown' WHEN regexp_matches(trim(lower(coalesce(text, ''))), '(^|\\W)({'|'.join(S.TEST_WORDS)})(\\W|$)') THEN 'test' WHEN {' OR '.join(f"contains(trim(lower(coalesce(text, ''))), '{w}')" for w in S.IMPL_WORDS)} THEN 'impl' ELSE 'unknown' END AS intent FROM q)
-SELECT qid, id, round(score, 6) AS score FROM bm JOIN it USING (qid)""")
-add("query_intent", lambda s, d: queries(s, d).select("qid", S.intent(F.coalesce("text", F.lit(""))).alias("intent")))
+add("score_ops_rerank", lambda s, d: X.score_ops(X.bm25(docs(s, d), queries(s, d)), queries(s, d), graph(s, d)).select("qid", "id", F.round("score", 6).alias("score")), f"""{W}, it AS ({INTENT}), fk AS (SELECT id, CASE WHEN p = '' THEN '' WHEN regexp_matches(p, '(^|/)(testdata|fixtures?)/') THEN 'fixture' WHEN regexp_matches(p, '(_test\\.|\\.test\\.|\\.spec\\.|(^|/)tests?/)') THEN 'test' WHEN regexp_matches(p, '\\.(md|rst|txt|adoc)$') THEN 'doc' ELSE 'impl' END AS kind FROM (SELECT id, lower(coalesce(file_path, '')) AS p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, tombstoned_at DESC) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1 AND coalesce(tombstoned_at, 0) = 0)),
+op AS (SELECT * FROM (VALUES {", ".join(f"('{i}', '{k}', {w}::DOUBLE)" for i, ks in X.SCORE_OPS.items() for k, w in ks.items())}) t(intent, kind, w))
+SELECT qid, id, round(score + coalesce(w, 0), 6) AS score FROM bm JOIN it USING (qid) LEFT JOIN fk USING (id) LEFT JOIN op USING (intent, kind)""")
+add("query_intent", lambda s, d: table(s, d, "documents").select(F.col("doc_id").cast("string").alias("qid"), S.intent(F.coalesce("title", F.lit(""))).alias("intent")), INTENT.replace("FROM q", "FROM (SELECT doc_id::VARCHAR AS qid, title AS text FROM documents)"))
 add("temporal_boost", lambda s, d: docs(s, d).select("id", F.round(S.temporal_boost(F.lit(1.0), 1_785_000_000_000_000_000, F.col("updated_at")), 9).alias("score")), f"WITH {DOCS} SELECT id, round(1 + CASE WHEN coalesce(updated_at, 0) = 0 THEN 0.5 ELSE pow(0.5, greatest(0, (1785000000000000000 - updated_at) / 86400000000000.0) / 30) END, 9) AS score FROM sd")
 add("recency_scalar", lambda s, d: docs(s, d).select("id", F.round(S.recency(1_785_000_000_000_000_000, F.col("updated_at")), 9).alias("score")), f"WITH {DOCS} SELECT id, round(CASE WHEN coalesce(updated_at, 0) = 0 THEN 0.5 ELSE 1 / (1 + log2(1 + greatest(0, (1785000000000000000 - updated_at) / 86400000000000.0) / 30)) END, 9) AS score FROM sd")
 add("topology_hints", lambda s, d: X.topology_hints(graph(s, d)), f"""WITH {GRAPH_SQL}, x AS (SELECT * FROM e WHERE type = 'CALLS' AND from_id <> to_id), a AS (SELECT to_id AS id, count(DISTINCT from_id) AS i FROM x GROUP BY 1), b AS (SELECT from_id AS id, count(DISTINCT to_id) AS o FROM x GROUP BY 1), c AS (SELECT id, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM a FULL JOIN b USING (id))

@@ -55,12 +55,17 @@ add("ast_match", lambda s, d: D.ast_matches(files(s, d).where("lower(language) =
     f"{W} SELECT id AS file_id, (length(replace(content, chr(13), '')) - length(replace(replace(content, chr(13), ''), 'sum(x.', 'sum(.'))) AS n FROM l WHERE type = 'file' AND lower(language) = 'python' AND contains(content, 'sum(x.')")
 add("ast_count", lambda s, d: D.ast_matches(files(s, d).where("lower(language) = 'python'"), "raise $E($$$A)").groupBy(F.col("captures")["E"].alias("error")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_id").alias("files")))
 add("ast_replace", lambda s, d: D.ast_replace(files(s, d).where("lower(language) = 'python'"), "len($X)", "size($X)").groupBy("ok").agg(F.count(F.lit(1)).alias("files"), F.sum("edits").alias("edits")))
-add("file_discovery", lambda s, d: D.discover(files(s, d), _prefixes(s, d))[0].select("id"))
-add("file_discovery_census", lambda s, d: D.discover(files(s, d), _prefixes(s, d))[1].select("rule", "n"))
-
-
-def _prefixes(s, d):
-    return table(s, d, "discovery_runs").select(F.col("repo").alias("source"), F.explode("package_prefixes").alias("prefix"))
+_RUNS = lambda s, d: table(s, d, "discovery_runs").select(F.col("repo").alias("source"), F.col("package_prefixes").alias("prefixes"), F.col("lift_exclusions").alias("lift"))
+_Q = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_DISCOVERY = f"""{W}, f AS (SELECT id, source, file_path, content, string_split(file_path, '/') AS parts FROM l WHERE type = 'file'),
+r AS (SELECT repo AS source, bool_or(lift_exclusions) AS lift, bool_or(len(coalesce(package_prefixes, [])) = 0) AS whole, flatten(list(list_transform(coalesce(package_prefixes, []), lambda x: rtrim(x, '/')))) AS cuts FROM discovery_runs GROUP BY 1),
+c AS (SELECT f.*, parts[-1] AS name, regexp_extract(parts[-1], '\\.([^.]*)$', 1) AS ext, coalesce(lift, false) AS lifted FROM f LEFT JOIN r USING (source) WHERE coalesce(whole, true) OR len(list_filter(cuts, lambda x: file_path = x OR starts_with(file_path, x || '/'))) > 0),
+k AS (SELECT *, CASE WHEN lifted THEN '' WHEN ext IN ({_Q(D.SKIP_EXTENSIONS)}) THEN 'skip_extension' WHEN name IN ({_Q(D.SKIP_FILES)}) THEN 'skip_lockfile' WHEN {" OR ".join(f"name LIKE '%{x}'" for x in D.SKIP_DTS)} THEN 'skip_dts'
+  WHEN name LIKE '%.pb.go' OR (regexp_matches(name, '_gen(erated)?\\.go$') AND regexp_matches(regexp_replace(left(content, 4096), '(?ms)^package .*', ''), '(?m)^// Code generated .* DO NOT EDIT\\.\\r?$')) THEN 'skip_generated_go'
+  WHEN list_has_any(parts[:-2], [{_Q(D.SKIP_PARTS)}]) THEN 'skip_path_component' WHEN lower(ext) NOT IN ({_Q(D.KNOWN_EXTENSIONS)}) AND name NOT IN ({_Q(D.KNOWN_NAMES)}) THEN 'skip_unknown_lang' WHEN strlen(content) > {D.MAX_FILE_BYTES} THEN 'skip_too_large' ELSE '' END AS rule FROM c)"""
+add("file_discovery", lambda s, d: D.discover(files(s, d), _RUNS(s, d))[0].select("id"), f"{_DISCOVERY} SELECT id FROM k WHERE rule = ''")
+add("file_discovery_census", lambda s, d: D.discover(files(s, d), _RUNS(s, d))[1].select("source", "rule", "n", "truncated", F.array_join("samples", " ").alias("samples")), f"""{_DISCOVERY}, x AS (SELECT source, rule, count(*) AS n, string_agg(file_path, ' ' ORDER BY file_path) FILTER (p <= 5) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY source, rule ORDER BY file_path) AS p FROM k WHERE rule <> '') GROUP BY 1, 2),
+y AS (SELECT source, unnest([{_Q(D.DISCOVERY_RULES)}]) AS rule FROM r) SELECT source, rule, coalesce(n, 0) AS n, coalesce(n, 0) > 5 AS truncated, coalesce(samples, '') AS samples FROM y FULL JOIN x USING (source, rule)""")
 
 
 add("dockerfile_links", lambda s, d: G.dockerfile_links(files(s, d).select("id", "file_path", "content").unionByName(files(s, d).select(F.concat(F.lit("docker-"), "id").alias("id"), F.concat(F.regexp_extract("file_path", r"^(.*/)[^/]*$", 1), F.lit("Dockerfile")).alias("file_path"), F.concat(F.lit("FROM x\nCOPY ./"), F.regexp_extract("file_path", r"([^/]*)$", 1), F.lit(" /app\n")).alias("content")))).select("docker_id", "target_id"),

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import os
 import tempfile
 import uuid
+import warnings
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read, taken from ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, a single machine) a temporary folder is made.
+    Where the session leaves it unset a temporary folder is made on a local master (tests, a single machine);
+    on a cluster that is an error, as no machine's own folder would outlive it or be seen by the others.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors can read")
         root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -35,10 +37,12 @@ def _fs_path(spark: SparkSession, path: str):
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder written by :func:`materialize`; a missing one is no error."""
-    with contextlib.suppress(Exception):
+    """Delete a folder written by :func:`materialize`; a missing one is no error, one that cannot be deleted gives a warning."""
+    try:
         fs, p = _fs_path(spark, path)
         fs.delete(p, True)
+    except Py4JJavaError as e:
+        warnings.warn(f"{path} was not removed: {e.java_exception}", stacklevel=2)
 
 
 class Materialized:
@@ -60,17 +64,11 @@ def materialize(df: DataFrame, name: str = "round") -> Materialized:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    atexit.register(_late_remove, spark, path)
+    fs, p = _fs_path(spark, path)
+    fs.deleteOnExit(p)  # what no caller drops goes with the driver, on any file system
     return Materialized(spark.read.schema(df.schema).parquet(path), path)
 
 
-def _late_remove(spark: SparkSession, path: str) -> None:
-    if path.startswith("file:"):
-        import shutil
-
-        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, so that their Python workers can import it."""
     sc = spark.sparkContext
@@ -94,8 +92,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     Unions in a plan are kept from passing on their inputs' partitioning: with adaptive coalescing the two
     sides of a later join could otherwise have different numbers of partitions and the join fail.
     """
-    with contextlib.suppress(Exception):
-        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -333,26 +333,67 @@ def chunk_files(files: DataFrame) -> DataFrame:
     return files.select("id", "file_path", "language", "content").mapInPandas(run, "file_id string, kind string, name string, start_line int, end_line int, calls array<string>, imports array<string>")
 
 
-# Rules by which a file is left out of a repository's listing.
-SKIP_PARTS = ("node_modules", "vendor", "third_party", ".git", "dist", "build", "__pycache__", "generated", "deps")
-SKIP_FILES = ("package-lock.json", "yarn.lock", "go.sum", "cargo.lock", "poetry.lock", "pnpm-lock.yaml")
-
+# Rules by which a file is left out of a repository's listing, in the order in which they are tried.
+DISCOVERY_RULES = ("skip_extension", "skip_lockfile", "skip_dts", "skip_generated_go", "skip_path_component", "skip_unknown_lang", "skip_too_large")
+# Extensions of documents, names of lock files, endings of declaration files, directories of others' or generated code.
+SKIP_EXTENSIONS = ("md", "markdown")
+SKIP_FILES = (
+    "package-lock.json yarn.lock pnpm-lock.yaml bun.lock npm-shrinkwrap.json shrinkwrap.yaml go.sum Cargo.lock poetry.lock Pipfile.lock uv.lock pdm.lock Gemfile.lock composer.lock "
+    "packages.lock.json gradle.lockfile Package.resolved pubspec.lock mix.lock Podfile.lock .terraform.lock.hcl flake.lock"
+).split()
+SKIP_DTS = (".d.ts", ".d.mts", ".d.cts")
+SKIP_PARTS = ("vendor", "testdata", "deps", "thirdparty", "third_party", "third-party", "generated", ".generated", "node_modules")
+MAX_FILE_BYTES, EXCLUSION_SAMPLES = 500 * 1024, 5
+# Extensions and names of files in a language that is known.
+KNOWN_EXTENSIONS = (
+    "go ts mts cts tsx js mjs cjs jsx py pyi rs java kt kts c h cc cpp cxx hpp hh cs rb php swift scala sh bash zsh lua sql tf hcl proto css scss html htm xml json yaml yml toml dart ex exs elm ml mli groovy md markdown"
+).split()
+KNOWN_NAMES = ("Makefile", "Dockerfile", "Jenkinsfile", "Rakefile", "Gemfile")
+
+
+def skip_rule(path: Column, content: Column) -> Column:
+    """The first rule that leaves a file out, or an empty text. A name ending in ``_gen.go`` or ``_generated.go`` alone is none: the marker must stand before the package clause in the first 4096 bytes."""
+    name = F.element_at(F.split(path, "/"), -1)
+    ext = F.regexp_extract(name, r"\.([^.]*)$", 1)
+    head = F.decode(F.substring(F.encode(content, "UTF-8"), 1, 4096), "UTF-8")
+    marked = F.regexp_replace(head, r"(?ms)^package .*", "").rlike(r"(?m)^// Code generated .* DO NOT EDIT\.\r?$")
+    parts = F.split(path, "/")
+    rules = {
+        "skip_extension": ext.isin(*SKIP_EXTENSIONS), "skip_lockfile": name.isin(*SKIP_FILES), "skip_dts": name.endswith(SKIP_DTS[0]) | name.endswith(SKIP_DTS[1]) | name.endswith(SKIP_DTS[2]),
+        "skip_generated_go": name.endswith(".pb.go") | (name.rlike(r"_gen(erated)?\.go$") & marked),
+        "skip_path_component": F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(x) for x in SKIP_PARTS])),
+        "skip_unknown_lang": ~(F.lower(ext).isin(*KNOWN_EXTENSIONS) | name.isin(*KNOWN_NAMES)), "skip_too_large": F.octet_length(content) > MAX_FILE_BYTES,
+    }
+    out = F.lit("")
+    for rule in reversed(DISCOVERY_RULES):
+        out = F.when(rules[rule], F.lit(rule)).otherwise(out)
+    return out
 
-def skip_rule(path: Column, size: Column, max_bytes: int = 1_000_000) -> Column:
-    """The first rule that leaves a file out, or an empty text."""
-    p = F.lower(path)
-    return (F.when(F.arrays_overlap(F.slice(F.split(p, "/"), 1, F.greatest(F.size(F.split(p, "/")) - 1, F.lit(0))), F.array(*[F.lit(x) for x in SKIP_PARTS])), "skip_path_component")
-            .when(F.element_at(F.split(p, "/"), -1).isin(*SKIP_FILES), "skip_lockfile").when(p.endswith(".d.ts"), "skip_dts").when(p.rlike(r"\.pb\.go$|_generated\.go$"), "skip_generated_go")
-            .when(~F.regexp_extract(p, r"\.(\w+)$", 1).isin(*EXTENSIONS), "skip_extension").when(size > max_bytes, "skip_too_large").otherwise(""))
 
+def discover(files: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files ``(id, source, file_path, content)`` that discovery keeps, and its report ``(source, rule, n, samples, truncated)``.
 
-def discover(files: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files ``(id, source, file_path, content)`` kept by the prefixes ``(source, prefix)`` of their repository (none: all) and the rules, and a census of the rules."""
-    own = prefixes.groupBy("source").agg(F.collect_set(F.regexp_replace("prefix", "/+$", "")).alias("cuts"))
+    ``runs``: rows ``(source, prefixes, lift)``. A file outside the prefixes of its repository (none: all; whole path
+    segments; trailing slashes do not count) is no candidate and charged to no rule; a repository whose exclusions are
+    lifted keeps all of its candidates. The report counts every rule in every repository of the runs, zeros included,
+    and names the first EXCLUSION_SAMPLES paths; ``truncated`` tells that there are more.
+    """
+    clean = F.transform(F.filter("prefixes", lambda p: p.isNotNull()), lambda p: F.regexp_replace(p, "/+$", ""))
+    own = runs.where(F.col("source").isNotNull()).select("source", F.when(F.size(clean) > 0, clean).alias("cuts"), F.coalesce("lift", F.lit(False)).alias("lift"))
+    own = own.groupBy("source").agg(F.max(F.col("cuts").isNull()).alias("whole"), F.flatten(F.collect_list("cuts")).alias("cuts"), F.max("lift").alias("lift"))
     d = files.join(own, "source", "left")
-    inside = F.col("cuts").isNull() | F.exists("cuts", lambda c: (F.col("file_path") == c) | F.col("file_path").startswith(F.concat(c, F.lit("/"))))
-    d = d.where(inside).withColumn("rule", skip_rule(F.col("file_path"), F.octet_length(F.coalesce("content", F.lit("")))))
-    return d.where("rule = ''").drop("cuts", "rule"), d.where("rule <> ''").groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("file_path").alias("sample"))
+    inside = F.coalesce("whole", F.lit(True)) | F.exists("cuts", lambda c: (F.col("file_path") == c) | F.col("file_path").startswith(F.concat(c, F.lit("/"))))
+    d = d.where(inside).withColumn("rule", F.when(F.coalesce("lift", F.lit(False)), F.lit("")).otherwise(skip_rule(F.col("file_path"), F.coalesce("content", F.lit("")))))
+    out = d.where("rule <> ''").select("source", "rule", "file_path")
+    # the first few of every slice, then of all: no rule is one task
+    first = out.withColumn("_s", F.pmod(F.xxhash64("file_path"), F.lit(16))).withColumn("_r", F.row_number().over(W.partitionBy("source", "rule", "_s").orderBy("file_path"))).where(F.col("_r") <= EXCLUSION_SAMPLES)
+    first = first.withColumn("_r", F.row_number().over(W.partitionBy("source", "rule").orderBy("file_path"))).where(F.col("_r") <= EXCLUSION_SAMPLES)
+    samples = first.groupBy("source", "rule").agg(F.array_sort(F.collect_list("file_path")).alias("samples"))
+    counts = out.groupBy("source", "rule").agg(F.count(F.lit(1)).alias("n"))
+    every = own.select("source", F.explode(F.array(*[F.lit(r) for r in DISCOVERY_RULES])).alias("rule"))
+    report = every.join(counts, ["source", "rule"], "full").join(samples, ["source", "rule"], "left")
+    report = report.select("source", "rule", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), (F.coalesce("n", F.lit(0)) > EXCLUSION_SAMPLES).alias("truncated"))
+    return d.where("rule = ''").drop("cuts", "whole", "lift", "rule"), report
 
 
 # --- structural search of Python code ------------------------------------------------------------

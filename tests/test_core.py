@@ -201,7 +201,7 @@ def test_sequential_analyzers(spark):
         A.run("nope", n, n)
 
 
-def test_large_sessions_are_paired_whole(spark, tmp_path):
+def test_large_sessions_are_grouped_whole(spark, tmp_path):
     from sparkloom.plans import catalog
 
     held = [("s", f"m{i:02d}") for i in range(50)] + [("t", f"m{i:02d}") for i in range(3)]
@@ -212,9 +212,77 @@ def test_large_sessions_are_paired_whole(spark, tmp_path):
     e.write.parquet(f"{tmp_path}/edges.parquet")
     done = {tuple(sorted(x[:2])) for x in links}
     want = sorted((*p, s) for s in "st" for p in itertools.combinations(sorted(b for a, b in held if a == s), 2) if p not in done)
-    assert sorted((r.a, r.b, r.artifact) for r in catalog.QUERIES["shared_session_pairs"](spark, str(tmp_path)).collect()) == want
+    links_of = defaultdict(int)
+    for x, y, group in want:
+        links_of[x, group] += 1
+        links_of[y, group] += 1
+    expected = sorted((group, m, sum(1 for g, _ in held if g == group), links_of[m, group]) for group, m in held)
+    assert sorted(tuple(r) for r in catalog.QUERIES["shared_session_groups"](spark, str(tmp_path)).select("artifact", "thought", "members", "links").collect()) == expected
     members = e.where("type = 'contains'").select(F.col("from_id").alias("artifact"), F.col("to_id").alias("thought"))
-    assert sorted((r.a, r.b, r.artifact) for r in G.shared_artifact_pairs(members, e.where("type <> 'contains'"), block=7).collect()) == want
+    assert sum(r.links for r in G.shared_artifact_groups(members, e.where("type <> 'contains'")).collect()) == 2 * len(want)
+    assert G.shared_artifact_groups(members.limit(0), e).count() == 0
+
+
+def test_query_intent(spark):
+    cases = {"latency-test-server host now": "impl", "two words": "unknown", "ab": "unknown", "cache Tests": "test", "run describe( here": "test", "an end-to-end test": "test", "where is the handler": "impl", "": "unknown", " \n ": "unknown", "this SHOULD hold": "test", "contextual shouldered testy": "impl"}
+    d = spark.createDataFrame(list(cases.items()), "q string, want string").select("q", "want", S.intent(F.col("q")).alias("got"))
+    assert [(r.q, r.got) for r in d.collect()] == list(cases.items())
+
+
+def test_discovery_rules(spark):
+    from sparkloom.sources import documents as D
+
+    mark = "// Code generated by x. DO NOT EDIT.\npackage a\n"
+    cases = {
+        "a/README.md": "skip_extension", "vendor/README.md": "skip_extension", "a/go.sum": "skip_lockfile", "a/x.d.ts": "skip_dts", "a/x.pb.go": "skip_generated_go", "a/x_gen.go": "", "a/y_gen.go": "skip_generated_go", "a/z_generated.go": "", "testdata/a.go": "skip_path_component",
+        "a/generated/b.go": "skip_path_component", "generatedx/b.go": "", "dist/a.js": "", "build/a.go": "", "a/b.png": "skip_unknown_lang", "a/Makefile": "", "a/big.go": "skip_too_large", "deps/big.go": "skip_path_component", "node_modules": "skip_unknown_lang",
+    }
+    text = {"a/y_gen.go": mark, "a/z_generated.go": "package a\n" + mark, "a/big.go": "x" * (500 * 1024 + 1), "deps/big.go": "x" * 600_000, "a/x_gen.go": None}
+    f = spark.createDataFrame([(p, "r", p, text.get(p, "package a\n")) for p in cases] + [("l", "lifted", "vendor/x.go", ""), ("p", "narrow", "lib/a.go", ""), ("q", "narrow", "libx/a.go", ""), *((f"v{i}", "many", f"vendor/{i}.go", "") for i in range(9))], "id string, source string, file_path string, content string")
+    runs = spark.createDataFrame([("r", None, False), ("lifted", [], True), ("narrow", ["lib/", None], None), ("many", [], False), (None, ["x"], False)], "source string, prefixes array<string>, lift boolean")
+    kept, report = D.discover(f, runs)
+    assert {r.id for r in kept.collect()} == {p for p, rule in cases.items() if not rule} | {"l", "p"}
+    got = {(r.source, r.rule): r for r in report.collect()}
+    assert len(got) == 4 * len(D.DISCOVERY_RULES)
+    assert {rule: got["r", rule].n for rule in D.DISCOVERY_RULES} == {rule: sum(v == rule for v in cases.values()) for rule in D.DISCOVERY_RULES}
+    many = got["many", "skip_path_component"]
+    assert many.n == 9 and many.truncated and many.samples == [f"vendor/{i}.go" for i in range(5)] and not got["lifted", "skip_path_component"].truncated
+
+
+def test_prefixes_narrowed(spark):
+    of = lambda *x: spark.createDataFrame([(p,) for p in x], "prefix string")
+    got = {r.prefix for r in G.intersect_prefixes(of("src", "lib/a", "x", None, *[f"p{i}/q" for i in range(1500)]), of("src/api", "lib", "y", "srcs", *[f"p{i}" for i in range(1500)])).collect()}
+    assert got == {"src/api", "lib/a"} | {f"p{i}/q" for i in range(1500)}
+    assert {r.prefix for r in G.intersect_prefixes(of(""), of("a", "b/c")).collect()} == {"a", "b/c"}
+
+
+def test_walk_has_no_depth_limit(spark):
+    from sparkloom.plans.recipe import Program
+
+    n = [node(f"n{i:02d}", type="root" if i == 0 else "part") for i in range(45)]
+    e = [(f"n{i:02d}", f"n{i + 1:02d}", "contains", 1.0, 1.0, "human", "", 0) for i in range(44)]
+    g = G.load(spark.createDataFrame(n, NODES), spark.createDataFrame(e, EDGES))
+    out = Program('select root\nwalk contains as $r\nemit step {\n name := node.id\n depth := walk.depth\n}', g).run()["nodes"]
+    assert out.count() == 44 and G.closure(G.steps(g.edges, "out")).where("a = 'n00'").count() == 44
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from sparkloom import runtime
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    monkeypatch.setattr(Context, "_jsc", type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})())
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Session())
 
 
 def test_sampled_betweenness_counts_isolated_nodes(spark):
