@@ -23,6 +23,8 @@ MAX_ADJACENCY = 20_000_000
 #: Sequential analyzers take one connected component per task, of up to this many edges; beyond it they are refused.
 MAX_COMPONENT = 5_000_000
 CYCLE_SCC = 40
+#: Steps of a traversal that one plan takes before its table is written.
+HOPS = 3
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -61,8 +63,11 @@ class _State:
 
 
 @analyzer("pagerank")
-def pagerank(nodes: DataFrame, edges: DataFrame, *, weighted: bool = False, damping: float = DAMPING, tol: float = PR_TOL, max_iter: int = PR_ITER) -> DataFrame:
-    """``(id, score)``: rank flows along edges (by weight if asked), nodes without outgoing weight spread theirs evenly. Raises if it does not settle."""
+def pagerank(nodes: DataFrame, edges: DataFrame, *, weighted: bool = False, damping: float = DAMPING, tol: float = PR_TOL, max_iter: int = PR_ITER, rounds: int | None = None) -> DataFrame:
+    """``(id, score)``: rank flows along edges (by weight if asked), nodes without outgoing weight spread theirs evenly.
+
+    Runs until the ranks move by less than ``tol`` and raises if they have not after ``max_iter`` rounds; ``rounds`` asks for so many instead.
+    """
     ids = nodes.select("id").distinct()
     n = ids.count()
     if not n:
@@ -74,13 +79,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, weighted: bool = False, damp
     dangling = ids.join(out.select(F.col("src").alias("id")), "id", "left_anti").withColumn("dangling", F.lit(True))
     st = _State(ids.join(dangling, "id", "left").select("id", F.lit(1.0 / n).alias("r"), F.coalesce("dangling", F.lit(False)).alias("dangling"), F.lit(0.0).alias("d")))
     lost = st.df.where("dangling").agg(F.sum("r")).first()[0] or 0.0
-    for _ in range(max_iter):
+    for k in range(1, (rounds or max_iter) + 1):
         x = e.join(st.df.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("r")).alias("s"))
         new = (1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + lost / n)
         st.next(st.df.join(x, "id", "left").select("id", new.alias("r"), "dangling", (new - F.col("r")).alias("d")))
         a = st.df.agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("d"), F.sum(F.when(F.col("dangling"), F.col("r"))).alias("l")).first()
         lost = a.l or 0.0
-        if a.d < tol:
+        if (a.d < tol and not rounds) or k == rounds:
             return st.df.select("id", F.col("r").alias("score"))
     raise RuntimeError(f"pagerank did not settle in {max_iter} rounds")
 
@@ -91,15 +96,15 @@ def pagerank_weighted(nodes: DataFrame, edges: DataFrame, **knobs) -> DataFrame:
 
 
 @analyzer("hits")
-def hits(nodes: DataFrame, edges: DataFrame, *, tol: float = HITS_TOL, max_iter: int = HITS_ITER) -> DataFrame:
-    """``(id, hub, authority)``: authorities from hubs, then hubs from the new authorities, each of length 1; no edges give zeros. Raises if it does not settle."""
+def hits(nodes: DataFrame, edges: DataFrame, *, tol: float = HITS_TOL, max_iter: int = HITS_ITER, rounds: int | None = None) -> DataFrame:
+    """``(id, hub, authority)``: authorities from hubs, then hubs from the new authorities, each of length 1; no edges give zeros. Raises if it does not settle; ``rounds`` asks for so many instead."""
     ids = nodes.select("id").distinct()
     e = materialize(edges.select("src", "dst").distinct(), "hits").df
     if e.isEmpty():
         return ids.select("id", F.lit(0.0).alias("hub"), F.lit(0.0).alias("authority"))
     n = ids.count()
     st = _State(ids.select("id", F.lit(n**-0.5).alias("h"), F.lit(n**-0.5).alias("a")))
-    for _ in range(max_iter):
+    for k in range(1, (rounds or max_iter) + 1):
         am = materialize(e.join(st.df.select(F.col("id").alias("src"), "h"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("h").alias("na")), "hits-a")
         a = am.df
         la = a.agg(F.sqrt(F.sum(F.col("na") * F.col("na")))).first()[0] or 1.0
@@ -112,7 +117,7 @@ def hits(nodes: DataFrame, edges: DataFrame, *, tol: float = HITS_TOL, max_iter:
         am.drop()
         hm.drop()
         d = st.df.agg(F.sqrt(F.sum(F.col("dh") * F.col("dh"))).alias("h"), F.sqrt(F.sum(F.col("da") * F.col("da"))).alias("a")).first()
-        if d.h < tol and d.a < tol:
+        if (d.h < tol and d.a < tol and not rounds) or k == rounds:
             return st.df.select("id", F.col("h").alias("hub"), F.col("a").alias("authority"))
     raise RuntimeError(f"hits did not settle in {max_iter} rounds")
 
@@ -280,8 +285,8 @@ def touched_communities(old: DataFrame, nodes: DataFrame, edges: DataFrame, chan
 
 
 @analyzer("betweenness")
-def betweenness(nodes: DataFrame, edges: DataFrame, *, samples: int | None = None) -> DataFrame:
-    """``(id, score)``: unscaled directed shortest-path betweenness; exact below EXACT_BETWEENNESS nodes, else from k sampled sources times n/k.
+def betweenness(nodes: DataFrame, edges: DataFrame, *, samples: int | None = None, exact: bool | None = None) -> DataFrame:
+    """``(id, score)``: unscaled directed shortest-path betweenness; exact if asked, or if not told below EXACT_BETWEENNESS nodes, else from k sampled sources times n/k.
 
     The k sources are drawn from all n nodes, with or without an edge; k is n/50 between SAMPLES and MAX_SAMPLES
     unless given. If no more than k nodes have an edge, all of these are sources and the scores are exact.
@@ -297,7 +302,9 @@ def betweenness(nodes: DataFrame, edges: DataFrame, *, samples: int | None = Non
     samples = samples or min(MAX_SAMPLES, max(SAMPLES, n // 50))
     sources = np.arange(len(ids))
     scale = 1.0
-    if n >= EXACT_BETWEENNESS and len(ids) > samples:
+    if exact is None:
+        exact = n < EXACT_BETWEENNESS
+    if not exact and len(ids) > samples:
         # numbers from len(ids) on stand for nodes without an edge: they count as drawn and add nothing
         drawn = np.sort(np.random.default_rng(0).permutation(n)[:samples])
         sources = drawn[drawn < len(ids)]
@@ -336,18 +343,24 @@ def betweenness(nodes: DataFrame, edges: DataFrame, *, samples: int | None = Non
 
 
 def reach(seeds: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
-    """``(seed, id, distance)`` by levels from every seed along ``(a, b)``."""
-    now = materialize(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("distance", F.lit(0)), "reach")
+    """``(seed, id, distance)`` by levels from every seed along ``(a, b)``; every level writes only what is new."""
+    levels = [materialize(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("distance", F.lit(0)), "reach")]
+
+    def seen() -> DataFrame:
+        out = levels[0].df
+        for x in levels[1:]:
+            out = out.unionByName(x.df)
+        return out
+
     for k in range(1, depth + 1):
-        f = now.df.where(F.col("distance") == k - 1).select("seed", F.col("id").alias("a"))
-        nxt = f.join(pairs, "a").select("seed", F.col("b").alias("id")).distinct().join(now.df.select("seed", "id"), ["seed", "id"], "left_anti")
-        new = materialize(now.df.unionByName(nxt.withColumn("distance", F.lit(k))), "reach")
-        stop = new.df.where(F.col("distance") == k).isEmpty()
-        now.drop()
-        now = new
-        if stop:
+        f = levels[-1].df.select("seed", F.col("id").alias("a"))
+        nxt = f.join(pairs, "a").select("seed", F.col("b").alias("id")).distinct().join(seen().select("seed", "id"), ["seed", "id"], "left_anti")
+        new = materialize(nxt.withColumn("distance", F.lit(k)), "reach")
+        if new.df.isEmpty():
+            new.drop()
             break
-    return now.df
+        levels.append(new)
+    return seen()
 
 
 #: Redundancy factor by resource type: builders of a column over ``replicas`` (text as a number, 0 if none).
@@ -387,25 +400,37 @@ def scc(nodes: DataFrame, edges: DataFrame, *, least: int = 2) -> DataFrame:
     """``(id, scc, size)`` of strongly connected components of ``least`` nodes or more, named by their smallest member.
 
     Forward-backward colouring: nodes without a way in or out are trimmed; every node takes the greatest id
-    that reaches it; what a colour's own node is reached back from within the colour is a component.
+    that reaches it; what a colour's own node is reached back from within the colour is a component. HOPS steps
+    are taken in one plan before a table is written, and a node takes its colour's colour once a round (a pointer jump),
+    so colours cross long chains in few rounds.
     """
     e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc-e")
+    left = e.df.count()
     found: list[DataFrame] = []
-    while True:
+    while left:
         while True:  # trim
-            core = e.df.select(F.col("src").alias("id")).intersect(e.df.select(F.col("dst").alias("id")))
-            ne = materialize(e.df.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi"), "scc-e")
-            same = ne.df.count() == e.df.count()
+            ne = e.df
+            for _ in range(HOPS):
+                core = ne.select(F.col("src").alias("id")).intersect(ne.select(F.col("dst").alias("id")))
+                ne = ne.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
+            ne = materialize(ne, "scc-e")
+            was, left = left, ne.df.count()
             e.drop()
             e = ne
-            if same:
+            if left == was or not left:
                 break
-        if e.df.isEmpty():
+        if not left:
             break
         col = materialize(e.df.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")), "scc-c")
         while True:
-            up = e.df.join(col.df.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("m"))
-            n = materialize(col.df.join(up, "id").select("id", F.greatest("c", "m").alias("c"), (F.col("m") > F.col("c")).alias("ch")), "scc-c")
+            cur = col.df
+            for _ in range(HOPS):
+                up = e.df.join(cur.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("m"))
+                cur = cur.join(up, "id").select("id", F.greatest("c", "m").alias("c"))
+            # what reaches a node's colour reaches the node
+            far = cur.select(F.col("id").alias("c"), F.col("c").alias("m"))
+            cur = cur.join(far, "c", "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"))
+            n = materialize(cur.join(col.df.select("id", F.col("c").alias("old")), "id").select("id", "c", (F.col("c") > F.col("old")).alias("ch")), "scc-c")
             stop = n.df.where("ch").isEmpty()
             col.drop()
             col = type(n)(n.df.select("id", "c"), n.path)
@@ -413,20 +438,26 @@ def scc(nodes: DataFrame, edges: DataFrame, *, least: int = 2) -> DataFrame:
                 break
         inside = e.df.join(col.df.select(F.col("id").alias("src"), F.col("c").alias("c1")), "src").join(col.df.select(F.col("id").alias("dst"), F.col("c").alias("c2")), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("c"))
         inside = materialize(inside, "scc-i")
-        hit = materialize(col.df.where("id = c"), "scc-h")
-        front = hit.df
+        # backwards from the colours' own nodes
+        hit = materialize(col.df.withColumn("in", F.col("id") == F.col("c")), "scc-h")
         while True:
-            back = inside.df.join(front.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct().join(hit.df, ["id", "c"], "left_anti")
-            fr = materialize(back, "scc-f")
-            if fr.df.isEmpty():
+            cur = hit.df
+            for _ in range(HOPS):
+                back = inside.df.join(cur.where("in").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().withColumn("b", F.lit(True))
+                cur = cur.join(back, "id", "left").select("id", "c", (F.col("in") | F.coalesce("b", F.lit(False))).alias("in"))
+            n = materialize(cur.join(hit.df.select("id", F.col("in").alias("old")), "id"), "scc-h")
+            stop = n.df.where("in and not old").isEmpty()
+            hit.drop()
+            hit = type(n)(n.df.select("id", "c", "in"), n.path)
+            if stop:
                 break
-            hit = materialize(hit.df.unionByName(fr.df), "scc-h")
-            front = fr.df
-        found.append(hit.df)
-        done = hit.df.select("id")
+        found.append(hit.df.where("in").select("id", "c"))
+        done = found[-1].select("id")
         ne = materialize(e.df.join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(done.withColumnRenamed("id", "dst"), "dst", "left_anti"), "scc-e")
-        e.drop()
+        for x in (e, col, inside):
+            x.drop()
         e = ne
+        left = e.df.count()
     if not found:
         return nodes.select("id", F.col("id").alias("scc"), F.lit(1).cast("long").alias("size")).limit(0)
     a = found[0]

@@ -196,6 +196,11 @@ def machine_made() -> Column:
     return F.col("source").startswith("machine") | F.lower("symbol_name").rlike("^(auto|exported)")
 
 
+def human_thoughts(g: Graph) -> DataFrame:
+    """Ids of the thoughts that no machine made."""
+    return thoughts(g).where(~machine_made()).select("id")
+
+
 def blind_spots(g: Graph, now_ns: int, infl: DataFrame | None = None, cap: int | None = FACET_CAP) -> DataFrame:
     """``(facet, id)`` of thoughts that are not machine-made; a thought may match several facets."""
     ch = charges(g)

@@ -412,6 +412,29 @@ def keyword_density(d: DataFrame, pattern: str, target: str) -> DataFrame:
     return d.where(F.col(target) != "").agg(F.coalesce(F.sum(hit), F.lit(0)).cast("long").alias("hits"), F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.avg(hit), F.lit(0.0)), 6).alias("density"))
 
 
+def title_shape(g: Graph, kind: str, pattern: str = r"^[A-Z][^?]*\(") -> DataFrame:
+    """Share of the titles of a node type that have a shape; untitled nodes do not count."""
+    return keyword_density(g.live.where(F.col("type") == kind), pattern, "symbol_name")
+
+
+def code_results(g: Graph, prefix: str, *, tests: bool = False) -> DataFrame:
+    """Declarations under a path prefix; test code only if asked."""
+    d = g.live.where(F.col("type").isin("function", "method", "type") & F.col("file_path").startswith(prefix))
+    return (d if tests else d.where((F.lower("test_kind") == "") & ~F.col("is_test"))).select("id", "file_path")
+
+
+def rule_index(runs: DataFrame, warn_above: int = 2) -> DataFrame:
+    """``(id, severity, repo, summary)``: one record for every rule of a discovery report that left files out."""
+    d = runs.select("repo", F.explode("excluded_by_rule").alias("rule", "n")).where("n > 0")
+    return d.select(F.concat_ws(":", "repo", "rule").alias("id"), F.when(F.col("n") > warn_above, F.lit("warning")).otherwise(F.lit("notice")).alias("severity"), "repo", F.concat(F.col("n").cast("string"), F.lit(" files left out by "), "rule").alias("summary"))
+
+
+def collect_staleness(g: Graph, runs: DataFrame) -> DataFrame:
+    """``(repo, stale)``: whether a repository's files changed after its discovery ran."""
+    newest = g.live.where("type = 'file'").groupBy(F.col("source").alias("repo")).agg(F.max("updated_at").alias("newest"))
+    return runs.join(newest, "repo").select("repo", (F.col("newest") > F.unix_micros(F.col("run_at").cast("timestamp")) * 1000).alias("stale"))
+
+
 def package_matrix(g: Graph, edge_types: list[str]) -> DataFrame:
     """Edges rolled up from nodes to the directories of their files: count and a representative file; edges within a package go."""
     pk = g.live.where("file_path <> ''").select("id", F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1).alias("pkg"), "file_path")

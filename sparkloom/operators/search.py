@@ -21,7 +21,7 @@ RRF_K = 60
 # Score changes of the default rerank by intent and kind of file.
 SCORE_OPS = {"impl": {"test": -0.15, "doc": -0.05, "impl": 0.02}, "test": {"test": 0.10, "fixture": 0.05, "impl": -0.05}, "unknown": {"test": -0.10}}
 MODES = {"hybrid": ("text", "vector"), "text": ("text",), "vector": ("vector",), "similar": ("vector",), "recent": ()}
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16_384
 
 
 def latest_docs(docs: DataFrame) -> DataFrame:
@@ -75,15 +75,15 @@ def top_per_query(hits: DataFrame, k: int, *, score: str = "score") -> DataFrame
     return h.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*by))).where(F.col("rank") <= k).drop("_s", "_r")
 
 
-def hamming_neighbours(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def hamming_neighbours(docs: DataFrame, queries: DataFrame, k: int, *, accept: Column | None = None) -> DataFrame:
     """``(qid, id, score)``: exact k nearest 32-byte vectors of every query vector, score 1 - distance/256; vectors of another width are no hits.
 
-    Queries are taken in blocks of QUERY_BLOCK that reach every task; each task keeps the k best of its rows.
+    ``accept`` is a predicate on the records: it holds before the k best are chosen. Queries are taken in blocks of
+    at most some QUERY_BLOCK that reach every task; each task gives the k best of its rows for each query once.
     """
-    d = docs.where(F.octet_length("vector") == 32).select("id", "vector")
-    q = queries.where(F.octet_length("vector") == 32).select("qid", "vector")
-    n = q.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    d = (docs if accept is None else docs.where(accept)).where(F.octet_length("vector") == 32).select("id", "vector")
+    q = queries.where(F.octet_length("vector") == 32).select(F.col("qid").cast("string").alias("qid"), "vector")
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
     out = None
     for b in range(blocks):
         rows = [(r.qid, bytes(r.vector)) for r in (q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).toLocalIterator()]
@@ -93,20 +93,37 @@ def hamming_neighbours(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame
 
 
 def _scan_block(docs: DataFrame, rows: list[tuple[str, bytes]], k: int) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def best(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        d = pd.concat(parts, ignore_index=True).sort_values(["q", "far", "id"], kind="stable")
+        return d[d.groupby("q").cumcount() < k]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not rows:
+        if not sent.value:
             return
-        qid = np.array([r[0] for r in rows], dtype=object)
-        qm = _signs([r[1] for r in rows])
+        qid = np.array([r[0] for r in sent.value], dtype=object)
+        qm = _signs([r[1] for r in sent.value])
+        held, size = [], 0
         for b in batches:
             if b.empty:
                 continue
             ids = b["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, dm = ids[order], _signs([b["vector"].iloc[i] for i in order])
-            dist = (256 - qm @ dm.T) / 2
-            near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"qid": np.repeat(qid, near.shape[1]), "id": ids[near].ravel(), "score": 1 - np.take_along_axis(dist, near, 1).ravel() / 256.0})
+            for s in range(0, len(qm), 1024):
+                far = ((256 - qm[s : s + 1024] @ dm.T) / 2).astype(np.int32)
+                # the row number breaks ties towards the smaller id
+                near = np.argpartition(far * np.int64(len(ids)) + np.arange(len(ids)), min(k, len(ids)) - 1, axis=1)[:, :k]
+                q = np.repeat(np.arange(s, s + len(far)), near.shape[1])
+                held.append(pd.DataFrame({"q": q, "far": np.take_along_axis(far, near, 1).ravel(), "id": ids[near].ravel()}))
+                size += len(q)
+            if size > 8 * k * len(qm):
+                held = [best(held)]
+                size = len(held[0])
+        if held:
+            d = best(held)
+            yield pd.DataFrame({"qid": qid[d["q"].to_numpy()], "id": d["id"], "score": 1 - d["far"] / 256.0})
 
     return docs.mapInPandas(run, "qid string, id string, score double")
 
@@ -276,6 +293,11 @@ def densify(vectors: DataFrame, key: str, *, k: int = 3, floor: float = 0.7, bud
     return u.orderBy(F.desc("score"), "a", "b").limit(budget)
 
 
+def checks_search(docs: DataFrame, checks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """``(qid, id, rank)``: text hits among the records that are checks ``(id)`` only, with the statistics of these."""
+    return top_per_query(bm25(docs.join(checks.select("id").distinct(), "id", "left_semi"), queries), k).select("qid", "id", "rank")
+
+
 def search_destinations(pools: dict[str, DataFrame], queries: DataFrame, k: int) -> DataFrame:
     """Text hits of several stores or repositories, each with its own statistics, in one list by score; ``store`` names where a hit is from."""
     out = None

@@ -31,28 +31,23 @@ o AS (SELECT src, count(*)::DOUBLE AS t FROM k GROUP BY 1), c AS (SELECT count(*
     f"r{i} AS (SELECT v.id, 0.15 / n + 0.85 * (coalesce((SELECT sum(x.r / o.t) FROM k JOIN r{i - 1} x ON x.id = k.src JOIN o ON o.src = k.src WHERE k.dst = v.id), 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM o)) / n) AS r FROM v, c)" for i in range(1, 6))
 
 
-def _five(s, d):
-    # the loop itself, stopped after five rounds by a tolerance no round misses
-    n, e = code(s, d)
-    ids, w = n.select("id"), e.select("src", "dst", F.lit(1.0).alias("w"))
-    out = w.groupBy("src").agg(F.sum("w").alias("t"))
-    p = w.join(out, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p"))
-    k = ids.count()
-    x = ids.withColumn("r", F.lit(1.0 / k))
-    for _ in range(5):
-        lost = x.join(out.select(F.col("src").alias("id")), "id", "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("l"))
-        y = p.join(x.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("r")).alias("s"))
-        x = A.materialize(x.join(y, "id", "left").crossJoin(F.broadcast(lost)).select("id", (0.15 / k + 0.85 * (F.coalesce("s", F.lit(0.0)) + F.col("l") / k)).alias("r")), "five").df  # one row
-    return x.select("id", F.round("r", 9).alias("r"))
-
-
-add("pagerank_five_rounds", _five, f"{_PR} SELECT id, round(r, 9) AS r FROM r5")
+add("pagerank_five_rounds", lambda s, d: A.run("pagerank", *code(s, d), rounds=5).select("id", F.round("score", 9).alias("r")), f"{_PR} SELECT id, round(r, 9) AS r FROM r5")
+_HITS = f"""{WR}, v AS (SELECT id FROM l WHERE type IN ('function', 'method', 'type')), k AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM e WHERE type IN ('CALLS', 'USES_TYPE', 'REFERENCES') AND from_id <> to_id AND from_id IN (SELECT id FROM l) AND to_id IN (SELECT id FROM l)), h0 AS (SELECT id, 1 / sqrt((SELECT count(*) FROM v)) AS h FROM v), """ + ", ".join(
+    f"x{i} AS (SELECT dst AS id, sum(h) AS a FROM k JOIN h{i - 1} ON id = src GROUP BY 1), a{i} AS (SELECT id, a / (SELECT sqrt(sum(a * a)) FROM x{i}) AS a FROM x{i}), y{i} AS (SELECT src AS id, sum(a) AS h FROM k JOIN a{i} ON id = dst GROUP BY 1), h{i} AS (SELECT v.id, coalesce(h, 0) / (SELECT sqrt(sum(h * h)) FROM y{i}) AS h FROM v LEFT JOIN y{i} USING (id))" for i in range(1, 5))
+add("hits_four_rounds", lambda s, d: A.run("hits", *code(s, d), rounds=4).select("id", r("hub", 7), r("authority", 7)), f"{_HITS} SELECT v.id, round(h, 7) AS hub, round(coalesce(a, 0), 7) AS authority FROM v JOIN h4 USING (id) LEFT JOIN a4 USING (id)")
 add("pagerank_weighted", lambda s, d: A.run("pagerank_weighted", *thought(s, d)).select("id", r("score", 6)))
 add("pagerank_findings", lambda s, d: A.findings(A.run("pagerank", *code(s, d)), "pagerank").select("algorithm", "rank", "id", "severity"))
 add("hits", lambda s, d: A.run("hits", *code(s, d)).select("id", r("hub", 5), r("authority", 5)))
 add("connected_components", lambda s, d: A.components(*code(s, d)).select("id", "comp"),
     f"{WR}, v AS (SELECT id FROM l WHERE type IN ('function', 'method', 'type')), k AS (SELECT from_id AS a, to_id AS b FROM e WHERE type IN ('CALLS', 'USES_TYPE', 'REFERENCES') AND from_id IN (SELECT id FROM l) AND to_id IN (SELECT id FROM l) AND from_id <> to_id UNION SELECT to_id, from_id FROM e WHERE type IN ('CALLS', 'USES_TYPE', 'REFERENCES') AND from_id IN (SELECT id FROM l) AND to_id IN (SELECT id FROM l) AND from_id <> to_id), r AS (SELECT id, id AS m FROM v UNION SELECT k.b, r.m FROM r JOIN k ON k.a = r.id JOIN v ON v.id = k.b WHERE r.m < k.b) SELECT id, min(m) AS comp FROM r GROUP BY 1")
 add("betweenness", lambda s, d: A.run("betweenness", *code(s, d, ["CALLS"])).select("id", r("score", 4)))
+# shortest paths and their numbers by levels; the calls of these tables are few and their paths short
+add("betweenness_exact", lambda s, d: A.run("betweenness", *code(s, d, ["CALLS"]), exact=True).select("id", r("score", 4)),
+    f"""{WR}, v AS (SELECT id FROM l WHERE type IN ('function', 'method', 'type')), k AS (SELECT DISTINCT from_id AS a, to_id AS b FROM e WHERE type = 'CALLS' AND from_id <> to_id AND from_id IN (SELECT id FROM l) AND to_id IN (SELECT id FROM l)),
+w AS (SELECT a AS s, a AS t, 0 AS d FROM k UNION SELECT w.s, k.b, d + 1 FROM w JOIN k ON k.a = w.t WHERE d < 40), m AS (SELECT s, t, min(d) AS d FROM w GROUP BY 1, 2),
+p AS (SELECT s, s AS t, 0 AS d, 1.0::DOUBLE AS n FROM m WHERE d = 0 UNION ALL SELECT p.s, k.b, p.d + 1, sum(p.n) FROM p JOIN k ON k.a = p.t JOIN m ON m.s = p.s AND m.t = k.b AND m.d = p.d + 1 GROUP BY 1, 2, 3),
+c AS (SELECT s, t, d, sum(n) AS n FROM p GROUP BY 1, 2, 3)
+SELECT v.id, round(coalesce(sum(x.n * y.n / z.n), 0), 4) AS score FROM v LEFT JOIN (c x JOIN c y ON y.s = x.t AND y.d > 0 AND x.d > 0 JOIN c z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d) ON x.t = v.id GROUP BY 1""")
 add("articulation", lambda s, d: A.run("articulation", *thought(s, d)))
 add("community", lambda s, d: A.run("community", *code(s, d)))
 add("community_incremental", lambda s, d: A.touched_communities(A.run("community", *thought(s, d)), *thought(s, d), thought(s, d)[1].where("substr(src, 1, 1) = 'a'").select(F.col("src").alias("a"), F.col("dst").alias("b"))))

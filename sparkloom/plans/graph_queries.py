@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars as S
+from sparkloom.operators import evidence as V
 from sparkloom.operators import graph as G
 from sparkloom.plans.registry import GRAPH_SQL, add, graph
 
@@ -89,7 +90,7 @@ dm AS (SELECT * FROM (VALUES ('fan_in'), ('fan_out'), ('total')) a(measure), (VA
 add("content_type_ratio", lambda s, d: G.content_ratio(graph(s, d)), f"{W} SELECT type, count(*) AS n, round(count(*) / (SELECT count(*) FROM l), 6) AS ratio FROM l GROUP BY 1")
 add("subtree_ratio", lambda s, d: G.subtree_ratio(graph(s, d), ["thought_session"], "contains", 4), f"{WR}, s AS (SELECT DISTINCT from_id AS a, to_id AS b FROM e WHERE type = 'contains'), r AS (SELECT a, b, 1 AS k FROM s WHERE a IN (SELECT id FROM l WHERE type = 'thought_session') UNION SELECT r.a, s.b, k + 1 FROM r JOIN s ON s.a = r.b WHERE k < 4), x AS (SELECT DISTINCT a, b FROM r), t AS (SELECT a AS root, type, count(*) AS n FROM x JOIN l ON l.id = x.b GROUP BY 1, 2) SELECT root, type, n, round(n / sum(n) OVER (PARTITION BY root), 6) AS ratio FROM t")
 add("keyword_density", lambda s, d: G.keyword_density(graph(s, d).live, r"(?i)cache|index", "summary"), f"{W} SELECT sum(regexp_matches(summary, '(?i)cache|index')::INT)::BIGINT AS hits, count(*) AS n, round(avg(regexp_matches(summary, '(?i)cache|index')::INT), 6) AS density FROM l WHERE summary <> ''")
-add("title_shape", lambda s, d: G.keyword_density(graph(s, d).live.where("type = 'thought'"), r"^[A-Z][^?]*\(", "symbol_name"), f"{W} SELECT sum(regexp_matches(symbol_name, '^[A-Z][^?]*\\(')::INT)::BIGINT AS hits, count(*) AS n, round(avg(regexp_matches(symbol_name, '^[A-Z][^?]*\\(')::INT), 6) AS density FROM l WHERE type = 'thought' AND symbol_name <> ''")
+add("title_shape", lambda s, d: G.title_shape(graph(s, d), "thought"), f"{W} SELECT sum(regexp_matches(symbol_name, '^[A-Z][^?]*\\(')::INT)::BIGINT AS hits, count(*) AS n, round(avg(regexp_matches(symbol_name, '^[A-Z][^?]*\\(')::INT), 6) AS density FROM l WHERE type = 'thought' AND symbol_name <> ''")
 add("package_matrix", lambda s, d: G.package_matrix(graph(s, d), CODE), f"{W}, p AS (SELECT id, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS pkg, file_path FROM l WHERE file_path <> '') SELECT a.pkg AS from_pkg, b.pkg AS to_pkg, count(*) AS n, min(a.file_path) AS rep FROM e JOIN p a ON a.id = from_id JOIN p b ON b.id = to_id WHERE e.type IN ('CALLS', 'USES_TYPE', 'REFERENCES') AND a.pkg <> b.pkg GROUP BY 1, 2")
 CK = f"""{W}, c AS (SELECT id FROM l WHERE type IN ('file', 'type')), x AS (SELECT * FROM e WHERE from_id <> to_id), m AS (SELECT DISTINCT from_id AS id, to_id AS m FROM x WHERE type = 'CONTAINS' AND to_id IN (SELECT id FROM l WHERE type IN ('method', 'function'))),
 a AS (SELECT from_id AS id, count(DISTINCT to_id) AS cbo FROM x WHERE type IN ('USES_TYPE', 'CALLS') GROUP BY 1), w AS (SELECT id, count(*) AS wmc FROM m GROUP BY 1), r AS (SELECT id, count(*) AS rfc FROM (SELECT id, m AS x FROM m UNION SELECT m.id, to_id FROM m JOIN x ON x.from_id = m.m WHERE x.type = 'CALLS') GROUP BY 1), f AS (SELECT to_id AS id, count(DISTINCT from_id) AS fan_in FROM x GROUP BY 1),
@@ -116,7 +117,7 @@ add("module_listing", lambda s, d: G.module_listing(graph(s, d), "src"), f"{W} S
 add("adjacency_snapshot", lambda s, d: G.adjacency(graph(s, d), THOUGHT), f"{W}, s AS (SELECT from_id AS a, to_id AS b FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by') UNION SELECT to_id, from_id FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by')) SELECT a AS id, count(*) AS degree, string_agg(b, ',' ORDER BY b) AS neighbours FROM s WHERE a <> b AND a IN (SELECT id FROM l) AND b IN (SELECT id FROM l) GROUP BY 1")
 add("stable_ids", lambda s, d: graph(s, d).live.select("id", S.stable_id(F.lit("practice"), F.col("source"), F.col("type"), F.col("symbol_name")).alias("sid")), f"{W} SELECT id, left(sha256('practice' || chr(0) || source || chr(0) || type || chr(0) || symbol_name), 16) AS sid FROM l")
 add("ordered_compare", lambda s, d: graph(s, d).live.where((F.col("type") == "file") & (S.meta("size") != "") & S.compare("gte", S.meta("size"), 2000)).select("id"), f"{W} SELECT id FROM l WHERE type = 'file' AND {M(k='size')} <> '' AND {M(k='size')}::DOUBLE >= 2000")
-add("code_result_filters", lambda s, d: graph(s, d).live.where(F.col("type").isin("function", "method", "type") & (F.lower("test_kind") == "") & ~F.col("is_test") & F.col("file_path").startswith("src/")).select("id", "file_path"), f"{W} SELECT id, file_path FROM l WHERE type IN ('function', 'method', 'type') AND lower(test_kind) = '' AND NOT is_test AND starts_with(file_path, 'src/')")
-add("genre_exclusion", lambda s, d: graph(s, d).live.where((F.col("type") == "thought") & ~F.col("source").startswith("machine") & ~F.lower("symbol_name").rlike("^(auto|exported)")).select("id"), f"{W} SELECT id FROM l WHERE type = 'thought' AND NOT starts_with(source, 'machine') AND NOT regexp_matches(lower(symbol_name), '^(auto|exported)')")
+add("code_result_filters", lambda s, d: G.code_results(graph(s, d), "src/"), f"{W} SELECT id, file_path FROM l WHERE type IN ('function', 'method', 'type') AND lower(test_kind) = '' AND NOT is_test AND starts_with(file_path, 'src/')")
+add("genre_exclusion", lambda s, d: V.human_thoughts(graph(s, d)), f"{W} SELECT id FROM l WHERE type = 'thought' AND NOT starts_with(source, 'machine') AND NOT regexp_matches(lower(symbol_name), '^(auto|exported)')")
 add("rule_query", lambda s, d: G.rule_scope(s.read.parquet(f"{d}/discovery_runs.parquet").select(F.col("discovery_path").alias("id"), "repo", F.coalesce("package_prefixes", F.array().cast("array<string>")).alias("prefixes")), "savrix-tools", "src/a.go").select("repo"), "SELECT DISTINCT repo FROM (SELECT repo, package_prefixes, unnest(CASE WHEN package_prefixes IS NULL OR len(package_prefixes) = 0 THEN [''] ELSE package_prefixes END) AS p FROM discovery_runs WHERE repo = 'savrix-tools') WHERE p = '' OR rtrim(p, '/') = 'src/a.go' OR starts_with('src/a.go', rtrim(p, '/') || '/')")
 add("discovery_census", lambda s, d: s.read.parquet(f"{d}/discovery_runs.parquet").select(F.explode("excluded_by_rule").alias("rule", "n")).groupBy("rule").agg(F.sum("n").alias("excluded"), F.count(F.lit(1)).alias("repos")), "SELECT rule, sum(n)::BIGINT AS excluded, count(*) AS repos FROM (SELECT unnest(map_keys(excluded_by_rule)) AS rule, unnest(map_values(excluded_by_rule)) AS n FROM discovery_runs) GROUP BY 1")

@@ -30,9 +30,9 @@ add("instants", lambda s, d: table(s, d, "usage_rows").select(F.unix_micros(S.pa
 add("bit_similarity", lambda s, d: docs(s, d).select("id", F.round(S.bit_similarity(F.col("vector"), F.lit(bytes(range(32)))), 6).alias("similarity")), f"WITH {DOCS} SELECT id, round(CASE WHEN octet_length(vector) = 32 THEN 1 - bit_count(xor(vector::BIT, unhex('{bytes(range(32)).hex()}')::BIT)) / 256.0 ELSE 0 END, 6) AS similarity FROM sd")
 add("running_heads", lambda s, d: table(s, d, "documents").where("text is not null").select(S.fingerprint(F.element_at(F.split("text", "\n"), -1)).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n >= 10"))
 add("code_stats", lambda s, d: G.graph_stats(graph(s, d)).where("(kind = 'node' and type in ('file', 'function', 'method', 'type')) or (kind = 'edge' and type = upper(type))").select("kind", "type", "n"), f"{W} SELECT 'node' AS kind, type, count(*) AS n FROM l WHERE type IN ('file', 'function', 'method', 'type') GROUP BY 2 UNION ALL SELECT 'edge', type, count(*) FROM e WHERE type = upper(type) GROUP BY 2")
-add("rule_index", lambda s, d: table(s, d, "discovery_runs").select("repo", F.explode("excluded_by_rule").alias("rule", "n")).where("n > 0").select(F.concat_ws(":", "repo", "rule").alias("id"), F.when(F.col("n") > 2, F.lit("warning")).otherwise(F.lit("notice")).alias("severity"), "repo", F.concat(F.col("n").cast("string"), F.lit(" files left out by "), "rule").alias("summary")),
+add("rule_index", lambda s, d: G.rule_index(table(s, d, "discovery_runs")),
     "WITH x AS (SELECT repo, unnest(map_keys(excluded_by_rule)) AS rule, unnest(map_values(excluded_by_rule)) AS n FROM discovery_runs) SELECT repo || ':' || rule AS id, CASE WHEN n > 2 THEN 'warning' ELSE 'notice' END AS severity, repo, n || ' files left out by ' || rule AS summary FROM x WHERE n > 0")
-add("checks_search", lambda s, d: X.top_per_query(X.bm25(docs(s, d).join(V.thoughts(graph(s, d)).where("status = 'settled'").select("id"), "id", "left_semi"), queries(s, d)), 5).select("qid", "id", "rank"),
+add("checks_search", lambda s, d: X.checks_search(docs(s, d), V.thoughts(graph(s, d)).where("status = 'settled'"), queries(s, d)),
     f"WITH {GRAPH_SQL}, {BM.replace('FROM search_docs WHERE id IS NOT NULL) WHERE rn = 1)', 'FROM search_docs WHERE id IS NOT NULL) WHERE rn = 1 AND id IN (SELECT id FROM l WHERE type = ' + chr(39) + 'thought' + chr(39) + ' AND status = ' + chr(39) + 'settled' + chr(39) + '))')}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm) SELECT * FROM r WHERE rank <= 5")
 add("examine_thoughts", lambda s, d: _examine(s, d), f"{W}, t AS (SELECT id FROM l WHERE type = 'thought'), x AS (SELECT from_id AS id, type, 'out' AS direction, to_id AS o FROM e UNION ALL SELECT to_id, type, 'in', from_id FROM e) SELECT x.id, x.type, direction, count(DISTINCT o) AS n FROM x JOIN t USING (id) WHERE o IN (SELECT id FROM l) GROUP BY 1, 2, 3")
 
@@ -46,6 +46,6 @@ def _examine(s, d):
 add("plan_tree", lambda s, d: G.ordered_children(graph(s, d), "contains").select("parent", "id", "no"), f"{W}, c AS (SELECT from_id AS parent, to_id AS id, min(try_cast(CASE WHEN evidence LIKE '{{%' THEN json_extract_string(evidence, '$.position') END AS BIGINT)) AS position FROM e WHERE type = 'contains' AND to_id IN (SELECT id FROM l) GROUP BY 1, 2), r AS (SELECT parent, id, row_number() OVER (PARTITION BY parent ORDER BY position NULLS LAST, id) AS no FROM c) SELECT * FROM r")
 add("densify_links", lambda s, d: X.densify(docs(s, d).select("id", "vector").join(graph(s, d).live.select("id", meta("cluster_id").alias("cluster")).where("cluster <> ''"), "id"), "cluster", k=3, floor=0.7),
     f"WITH {GRAPH_SQL}, {DOCS}, v AS (SELECT l.id, {_M('cluster_id')} AS cluster, vector::BIT AS x FROM sd JOIN l USING (id) WHERE {_M('cluster_id')} <> '' AND octet_length(vector) = 32), p AS (SELECT a.cluster, a.id AS qid, b.id AS id, 1 - bit_count(xor(a.x, b.x)) / 256.0 AS score FROM v a JOIN v b ON a.cluster = b.cluster AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS k FROM p WHERE score >= 0.7) SELECT DISTINCT cluster, least(qid, id) AS a, greatest(qid, id) AS b, score FROM r WHERE k <= 3")
-add("collect_staleness", lambda s, d: table(s, d, "discovery_runs").join(graph(s, d).live.where("type = 'file'").groupBy(F.col("source").alias("repo")).agg(F.max("updated_at").alias("newest")), "repo").select("repo", (F.col("newest") > F.unix_micros(F.col("run_at").cast("timestamp")) * 1000).alias("stale")),
+add("collect_staleness", lambda s, d: G.collect_staleness(graph(s, d), table(s, d, "discovery_runs")),
     f"{W} SELECT repo, max(l.updated_at) > epoch_us(any_value(run_at)) * 1000 AS stale FROM discovery_runs JOIN l ON l.source = repo AND l.type = 'file' GROUP BY repo")
 add("limit_offset_total", lambda s, d: graph(s, d).live.where("type = 'thought'").select("id").orderBy("id").offset(20).limit(10), f"{W} SELECT id FROM l WHERE type = 'thought' ORDER BY id LIMIT 10 OFFSET 20")

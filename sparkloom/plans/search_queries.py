@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars as S
+from sparkloom.operators import binary_index as B
 from sparkloom.operators import search as X
 from sparkloom.plans.registry import GRAPH_SQL, add, graph
 from sparkloom.runtime import table
@@ -48,6 +49,28 @@ a AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score,
 u AS (SELECT * FROM a WHERE rank <= 20 UNION ALL SELECT * FROM b WHERE rank <= 20), f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS k FROM f) SELECT qid, id, round(score, 6) AS score FROM r WHERE k <= 10""")
 
 
+_KNN = f"WITH {HQ}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hd) SELECT qid, id, score FROM r WHERE rank <= 5"
+add("binary_index_knn", lambda s, d: B.nearest(docs(s, d), B.build(docs(s, d)), vector_queries(s, d), 5), _KNN)
+add("binary_index_settled", lambda s, d: B.probe(B.build(docs(s, d), 16), vector_queries(s, d), 5).where("settled").select("qid", "id", F.round("score", 6).alias("score")),
+    f"WITH {HQ}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hd), t AS (SELECT * FROM r WHERE rank <= 5) SELECT qid, id, round(score, 6) AS score FROM t WHERE qid IN (SELECT qid FROM t WHERE rank = 5 AND score >= 1 - 31 / 256.0)")
+add("knn_accepting", lambda s, d: X.hamming_neighbours(docs(s, d), vector_queries(s, d), 5, accept=F.coalesce("dtype", F.lit("")) == "ubinary"), f"WITH {HQ}, r AS (SELECT hd.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, hd.id) AS rank FROM hd JOIN sd ON sd.id = hd.id AND dtype = 'ubinary') SELECT qid, id, score FROM r WHERE rank <= 5")
+
+
+def _fan(s, d, form):
+    # two segments by the first digit of an id; records of the digits 4 to 7 were written again, and live in the second only
+    x = docs(s, d).withColumn("digit", F.conv(F.left("id", F.lit(1)), 16, 10).cast("int"))
+    both = x.where("digit < 8").withColumn("segment", F.lit("a")).unionByName(x.where("digit >= 4").withColumn("segment", F.lit("b")))
+    live = x.select("id", F.when(F.col("digit") < 4, F.lit("a")).otherwise(F.lit("b")).alias("segment"))
+    return B.fan_out(B.segments(both, F.col("segment"), ["a", "b"], form), form, vector_queries(s, d), live, 5).select("qid", "id", "score", "segment")
+
+
+_FAN = f"WITH {HQ}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hd) SELECT qid, id, score, CASE WHEN left(id, 1) < '4' THEN 'a' ELSE 'b' END AS segment FROM r WHERE rank <= 5"
+add("segment_fan_out", lambda s, d: _fan(s, d, "flat"), _FAN)
+add("segment_fan_out_indexed", lambda s, d: _fan(s, d, "multi_index"), _FAN)
+add("search_clamped", lambda s, d: X.search(docs(s, d), queries(s, d), mode="text", k=500).select("qid", "id", "rank"), f"{W}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm) SELECT * FROM r WHERE rank <= 50")
+add("search_mode_vector", lambda s, d: X.search(docs(s, d), vector_queries(s, d).withColumn("text", F.lit("")), mode="vector", k=7).select("qid", "id", "rank"), f"WITH {HQ}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hd) SELECT * FROM r WHERE rank <= 7")
+
+
 def tq(s, d):
     v = vector_queries(s, d)
     return docs(s, d).select(F.col("id").alias("qid"), F.col("fields")["summary"].alias("text")).join(v.where(F.octet_length("vector") == 32).select("qid"), "qid", "left_semi")
