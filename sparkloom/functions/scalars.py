@@ -113,6 +113,15 @@ def parse_duration(s: str) -> float:
     return sum(float(a) * _UNITS[b] for a, b in parts)
 
 
+def duration_seconds(c: Column) -> Column:
+    """Seconds of a duration text such as ``24h``, ``1h30m`` or ``7d``; null where it cannot be read."""
+    t = F.trim(c)
+    parts = F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?(?:ns|us|µs|ms|s|m|h|d))"), 1)
+    unit = F.create_map(*[F.lit(x) for u, f in _UNITS.items() for x in (u, f)])
+    value = lambda p: F.regexp_extract(p, r"^([\d.]+)", 1).cast("double") * F.try_element_at(unit, F.regexp_extract(p, r"([a-zµ]+)$", 1))
+    return F.when(t.rlike(r"^(\d+(\.\d+)?(ns|us|µs|ms|s|m|h|d))+$"), F.aggregate(parts, F.lit(0.0), lambda a, p: a + value(p)))
+
+
 def age_days(now_ns: int, at: Column) -> Column:
     return F.greatest(F.lit(0.0), (F.lit(now_ns) - at) / float(DAY_NS))
 

@@ -588,6 +588,31 @@ def fixture_gate(check: dict, bad: G.Graph, good: G.Graph) -> bool:
     return not corpus_scan(bad, [check]).isEmpty() and corpus_scan(good, [check]).isEmpty()
 
 
+CHECK_SCHEMA = "name string, node_type string, edge_type string, direction string, require string, max long, min long"
+
+
+def create_check(store: DataFrame | None, check: dict, bad: G.Graph, good: G.Graph) -> DataFrame:
+    """The stored checks with one more; refused if the name is taken, it asks for nothing, or its fixtures do not tell it apart."""
+    spark = bad.nodes.sparkSession
+    G.check_direction(check["direction"])
+    if store is not None and not store.where(F.col("name") == check["name"]).isEmpty():
+        raise ValueError(f"check {check['name']} exists")
+    if not fixture_gate(check, bad, good):
+        raise ValueError(f"check {check['name']} does not tell its fixtures apart")
+    row = spark.createDataFrame([tuple(check.get(c.split()[0]) for c in CHECK_SCHEMA.split(", "))], CHECK_SCHEMA)
+    return row if store is None else store.unionByName(row)
+
+
+def list_checks(store: DataFrame, node_type: str | None = None) -> DataFrame:
+    return (store if node_type is None else store.where(F.col("node_type") == node_type)).orderBy("name")
+
+
+def run_checks(store: DataFrame, g: G.Graph) -> DataFrame:
+    """Findings of all stored checks; the checks themselves, a short configuration, are read."""
+    checks = [{k: v for k, v in r.asDict().items() if v is not None} for r in store.toLocalIterator()]
+    return corpus_scan(g, checks)
+
+
 def findings(scores: DataFrame, algorithm: str, score: str = "score", top: int = TOP) -> DataFrame:
     """The uniform output of an analyzer: ``(algorithm, rank, id, severity, title, metrics)`` of the best ``top`` by score."""
     d = G.percent_rank_below(scores.select("id", F.col(score).cast("double").alias("score")), "score", "percentile")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -135,5 +135,39 @@ def tombstone_union(retained: DataFrame, scanned: DataFrame, emitted_buckets: Da
 
 def reconcile(cache: DataFrame, live: int, horizon: int, max_cursor: int) -> bool:
     """A cache holds if it has as many rows up to the horizon as the probe says and its greatest cursor is the probe's."""
-    r = cache.where(F.col("updated_at") <= horizon).agg(F.count(F.lit(1)).alias("n"), F.max("updated_at").alias("m")).first()
-    return r.n == live and (r.m or 0) == max_cursor
+    return cache_state(cache, live, horizon, max_cursor).first().holds
+
+
+def cache_state(cache: DataFrame, live: int, horizon: int, max_cursor: int) -> DataFrame:
+    """``(rows, cursor, holds)``, one row: what a cache holds up to a safe horizon and whether that is what the probe says."""
+    r = cache.where(F.col("updated_at") <= horizon).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("updated_at"), F.lit(0)).alias("cursor"))
+    return r.withColumn("holds", (F.col("rows") == live) & (F.col("cursor") == max_cursor))
+
+
+def progress_mark(rows: DataFrame, mark: int, at: str = "updated_at", grace: int = 0) -> DataFrame:
+    """``(mark, pending, next_mark)``, one row: rows past a watermark and the mark after them; rows younger than ``grace`` before the newest stay pending for the next round."""
+    top = rows.agg(F.coalesce(F.max(at), F.lit(mark)).alias("top"))
+    safe = F.greatest(F.lit(mark), F.col("top") - grace)
+    d = rows.select(F.col(at).alias("_at")).where(F.col("_at") > mark).join(F.broadcast(top), F.col("_at") <= safe)  # one row
+    n = d.agg(F.count(F.lit(1)).alias("pending"), F.max("_at").alias("m"))
+    return n.select(F.lit(mark).alias("mark"), "pending", F.coalesce("m", F.lit(mark)).alias("next_mark"))
+
+
+# --- pacing -----------------------------------------------------------------------------------------
+def backoff_ms(attempt: Column, key: Column, *, base: int = 1000, most: int = 60_000) -> Column:
+    """Milliseconds to wait before an attempt (from 1): doubling from ``base`` up to ``most``, with a share of up to one half taken off by the key, the same on every run."""
+    full = F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(2.0), F.greatest(attempt, F.lit(1)) - 1))
+    jitter = (F.conv(F.substring(F.sha2(F.concat_ws(":", key, attempt.cast("string")), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)) / 2
+    return F.floor(full * (1 - jitter)).cast("long")
+
+
+def pace(calls: DataFrame, per_minute: int, *, axis: str = "axis", order: str = "id") -> DataFrame:
+    """Calls with ``send_ms``, when a gate of so many calls a minute and axis lets them pass, in their order.
+
+    Ranks come from counts of slices and ranks inside them, so an axis is many tasks.
+    """
+    d = calls.withColumn("_h", F.substring(F.sha2(F.col(order).cast("string"), 256), 1, 3))
+    n = d.groupBy(axis, "_h").agg(F.count(F.lit(1)).alias("_n"))
+    before = n.withColumn("_b", F.coalesce(F.sum("_n").over(W.partitionBy(axis).orderBy("_h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    r = d.withColumn("_r", F.row_number().over(W.partitionBy(axis, "_h").orderBy(order)) - 1).join(before, [axis, "_h"])
+    return r.withColumn("send_ms", F.floor((F.col("_b") + F.col("_r")) * 60_000 / per_minute).cast("long")).drop("_h", "_r", "_b")

@@ -50,21 +50,30 @@ c AS (SELECT s, t, d, sum(n) AS n FROM p GROUP BY 1, 2, 3)
 SELECT v.id, round(coalesce(sum(x.n * y.n / z.n), 0), 4) AS score FROM v LEFT JOIN (c x JOIN c y ON y.s = x.t AND y.d > 0 AND x.d > 0 JOIN c z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d) ON x.t = v.id GROUP BY 1""")
 add("articulation", lambda s, d: A.run("articulation", *thought(s, d)))
 add("community", lambda s, d: A.run("community", *code(s, d)))
-add("community_incremental", lambda s, d: A.touched_communities(A.run("community", *thought(s, d)), *thought(s, d), thought(s, d)[1].where("substr(src, 1, 1) = 'a'").select(F.col("src").alias("a"), F.col("dst").alias("b"))))
-_SEED = lambda s, d: code(s, d)[0].where("substr(id, 1, 2) = '0a' or substr(id, 1, 2) = 'b1'")
-add("blast_radius", lambda s, d: A.run("blast_radius", *code(s, d, ["CALLS"]), seeds=_SEED(s, d), depth=4).select("seed", "impacted", r("score", 6)),
-    f"{WR}, k AS (SELECT DISTINCT to_id AS a, from_id AS b FROM e WHERE type = 'CALLS' AND from_id <> to_id AND from_id IN (SELECT id FROM l) AND to_id IN (SELECT id FROM l)), r AS (SELECT id AS seed, id, 0 AS d FROM l WHERE type IN ('function', 'method', 'type') AND left(id, 2) IN ('0a', 'b1') UNION SELECT seed, k.b, d + 1 FROM r JOIN k ON k.a = r.id WHERE d < 4), m AS (SELECT seed, id, min(d) AS d FROM r GROUP BY 1, 2) SELECT seed, count(*) AS impacted, round(sum(1.0 / d), 6) AS score FROM m WHERE d > 0 GROUP BY 1")
+add("community_incremental", lambda s, d: A.touched_communities(A.run("community", *code(s, d)), *code(s, d), code(s, d)[1].where("substr(src, 1, 1) = 'a'").select(F.col("src").alias("a"), F.col("dst").alias("b"))))
+add("blast_radius", lambda s, d: A.run("blast_radius", *code(s, d, ["CALLS"]), seeds=code(s, d)[0].select("id"), depth=4).select("seed", "impacted", r("score", 6)),
+    f"{WR}, k AS (SELECT DISTINCT to_id AS a, from_id AS b FROM e WHERE type = 'CALLS' AND from_id <> to_id AND from_id IN (SELECT id FROM l) AND to_id IN (SELECT id FROM l)), r AS (SELECT id AS seed, id, 0 AS d FROM l WHERE type IN ('function', 'method', 'type') UNION SELECT seed, k.b, d + 1 FROM r JOIN k ON k.a = r.id WHERE d < 4), m AS (SELECT seed, id, min(d) AS d FROM r GROUP BY 1, 2) SELECT seed, count(*) AS impacted, round(sum(1.0 / d), 6) AS score FROM m WHERE d > 0 AND id IN (SELECT id FROM l WHERE type IN ('function', 'method', 'type')) GROUP BY 1")
 add("scc", lambda s, d: A.run("scc", *code(s, d)),
     f"{WR}, k AS (SELECT DISTINCT from_id AS a, to_id AS b FROM e WHERE type IN ('CALLS', 'USES_TYPE', 'REFERENCES') AND from_id <> to_id AND from_id IN (SELECT id FROM l) AND to_id IN (SELECT id FROM l)), r AS (SELECT a, b FROM k UNION SELECT r.a, k.b FROM r JOIN k ON k.a = r.b), s AS (SELECT r.a AS id, least(min(r.b), r.a) AS scc FROM r JOIN r q ON q.a = r.b AND q.b = r.a GROUP BY r.a HAVING count(DISTINCT CASE WHEN r.b <> r.a THEN r.b END) > 0) SELECT id, scc, count(*) OVER (PARTITION BY scc) AS size FROM s")
 add("cycles", lambda s, d: A.run("cycles", *code(s, d, ["CALLS"])))
-add("dsm_violations", lambda s, d: _dsm(s, d))
+# packages by the first digit of an id: links to higher digits, and one back from 3 to 1, which closes a cycle; two have names of known layers
+_PKG = lambda c: F.when(F.left(c, F.lit(1)) == "5", F.lit("lib/util")).when(F.left(c, F.lit(1)) == "6", F.lit("app/cmd")).otherwise(F.concat(F.lit("p/"), F.left(c, F.lit(1))))
+_PKG_SQL = "CASE left({0}, 1) WHEN '5' THEN 'lib/util' WHEN '6' THEN 'app/cmd' ELSE 'p/' || left({0}, 1) END".format
+_DSM = f"""{WR}, m AS (SELECT {_PKG_SQL('from_id')} AS src, {_PKG_SQL('to_id')} AS dst, count(*) AS n FROM e WHERE type IN ('CALLS', 'USES_TYPE', 'REFERENCES') AND (left(from_id, 1) < left(to_id, 1) OR (left(from_id, 1) = '3' AND left(to_id, 1) = '1')) GROUP BY 1, 2),
+rc AS (SELECT src AS a, dst AS b FROM m UNION SELECT rc.a, m.dst FROM rc JOIN m ON m.src = rc.b), p AS (SELECT src AS id FROM m UNION SELECT dst FROM m),
+gr AS (SELECT p.id, coalesce(min(q.b), p.id) AS g, count(q.b) > 0 AS cyc FROM p LEFT JOIN (SELECT x.a, x.b FROM rc x JOIN rc y ON y.a = x.b AND y.b = x.a) q ON q.a = p.id GROUP BY 1), ge AS (SELECT DISTINCT s.g AS gs, t.g AS gd FROM m JOIN gr s ON s.id = src JOIN gr t ON t.id = dst WHERE s.g <> t.g),
+ly AS (SELECT DISTINCT g, 0 AS k FROM gr UNION SELECT gs, k + 1 FROM ly JOIN ge ON gd = g), mx AS (SELECT g, max(k) AS k FROM ly GROUP BY 1), l2 AS (SELECT id, g, CASE WHEN id = 'lib/util' THEN 0 WHEN id = 'app/cmd' THEN (SELECT max(k) FROM mx) + 1 ELSE k END AS layer FROM gr JOIN mx USING (g))
+SELECT src AS from_pkg, dst AS to_pkg, n, a.layer AS from_layer, b.layer AS to_layer, a.g = b.g AS in_cycle FROM m JOIN l2 a ON a.id = src JOIN l2 b ON b.id = dst WHERE b.layer > a.layer OR a.g = b.g"""
 
 
 def _dsm(s, d):
-    m = G.package_matrix(graph(s, d), CODE).select(F.col("from_pkg").alias("src"), F.col("to_pkg").alias("dst"), "n")
+    e = graph(s, d).edges.where(F.col("type").isin(*CODE))
+    a, b = F.left("from_id", F.lit(1)), F.left("to_id", F.lit(1))
+    m = e.where((a < b) | ((a == "3") & (b == "1"))).groupBy(_PKG(F.col("from_id")).alias("src"), _PKG(F.col("to_id")).alias("dst")).agg(F.count(F.lit(1)).alias("n"))
     return A.run("dsm", m.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), m)
 
 
+add("dsm_violations", _dsm, _DSM)
 add("structural_motif", lambda s, d: A.motifs(graph(s, d), "contains", ["thought_session"], 1), f"""{WR}, c AS (SELECT DISTINCT from_id AS id, to_id AS child FROM e WHERE type = 'contains' AND from_id <> to_id), k AS (SELECT c.id, string_agg('(' || l.type || ':1)', '' ORDER BY l.type, child) AS below FROM c JOIN l ON l.id = child GROUP BY 1),
 x AS (SELECT l.id, left(sha256('(' || type || ':0)' || coalesce(below, '')), 16) AS motif FROM l LEFT JOIN k USING (id) WHERE type = 'thought_session') SELECT motif, count(*) AS members, min(id) AS sample FROM x GROUP BY 1 HAVING count(*) >= 3""")
 CHECKS = [{"name": "called", "node_type": "function", "edge_type": "CALLS", "direction": "in", "require": "present"}, {"name": "fan", "node_type": "type", "edge_type": "CALLS", "direction": "out", "max": 2}, {"name": "held", "node_type": "method", "edge_type": "CONTAINS", "direction": "in", "min": 1}]

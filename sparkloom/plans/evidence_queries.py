@@ -70,7 +70,7 @@ add("simulate_remove", lambda s, d: V.simulate(graph(s, d), NOW, "remove", _T(s,
 add("simulate_add", lambda s, d: V.simulate(graph(s, d), NOW, "add", _T(s, d)[0], polarity="negative", weight=2.0).select("state", "id", "charges", *r6(*P)), f"""{BASE}, x AS (SELECT min(thought) AS t FROM ch), a AS (SELECT 'before' AS state, id, charges, p, n FROM f, x WHERE id = t UNION ALL SELECT 'after', id, charges + 1, p, n + 2 FROM f, x WHERE id = t),
 y AS (SELECT *, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END AS valence, CASE WHEN p + n > 0 THEN ln(1 + p + n) ELSE 0 END AS magnitude, CASE WHEN p + n > 0 THEN 1 - least(p, n) / greatest(p, n) ELSE 0 END AS consistency FROM a), z AS (SELECT *, 0.1 + consistency * ln(1 + charges) AS self_trust FROM y) SELECT {SIM} FROM z""")
 add("simulate_invalidate", lambda s, d: V.simulate(graph(s, d), NOW, "invalidate", _T(s, d)[0]).select("state", "id", "charges", *r6(*P)))
-add("trace_thoughts", lambda s, d: V.trace(graph(s, d), V.thoughts(graph(s, d)).where("status = 'settled' and substr(id, 1, 1) = 'a'").select("id"), depth=2), f"{BASE}, st AS (SELECT id FROM th WHERE status = 'settled' AND left(id, 1) = 'a'), q AS (SELECT from_id AS a, to_id AS b FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by') UNION SELECT to_id, from_id FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by')), r AS (SELECT id, 0 AS distance FROM st UNION SELECT q.b, distance + 1 FROM r JOIN q ON q.a = r.id JOIN l ON l.id = q.b WHERE distance < 2) SELECT id, min(distance) AS distance FROM r GROUP BY 1")
+add("trace_thoughts", lambda s, d: V.trace(graph(s, d), V.thoughts(graph(s, d)).where("status = 'settled'").select("id"), depth=2), f"{BASE}, st AS (SELECT id FROM th WHERE status = 'settled'), q AS (SELECT from_id AS a, to_id AS b FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by') UNION SELECT to_id, from_id FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by')), r AS (SELECT id, 0 AS distance FROM st UNION SELECT q.b, distance + 1 FROM r JOIN q ON q.a = r.id JOIN l ON l.id = q.b WHERE distance < 2) SELECT id, min(distance) AS distance FROM r GROUP BY 1")
 _CV = lambda s, d: latest_docs(table(s, d, "search_docs")).select("id", "vector").join(graph(s, d).live.select("id", meta("cluster_id").alias("cluster")).where("cluster <> ''"), "id")
 _BIT = ", ".join(f"CASE WHEN 2 * sum(get_bit(x, {i})) > count(*) THEN '1' ELSE '0' END" for i in range(256))
 add("cluster_centroids", lambda s, d: V.centroids(_CV(s, d), "cluster").select("cluster", F.hex("centroid").alias("centroid")), f"WITH {GRAPH_SQL}, {DOCS}, v AS (SELECT {_M('cluster_id')} AS cluster, vector::BIT AS x FROM sd JOIN l USING (id) WHERE {_M('cluster_id')} <> '' AND octet_length(vector) = 32), c AS (SELECT cluster, concat({_BIT}) AS b FROM v GROUP BY 1) SELECT cluster, hex(b::BIT::BLOB) AS centroid FROM c")

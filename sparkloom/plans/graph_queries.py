@@ -117,7 +117,7 @@ add("module_listing", lambda s, d: G.module_listing(graph(s, d), "src"), f"{W} S
 add("adjacency_snapshot", lambda s, d: G.adjacency(graph(s, d), THOUGHT), f"{W}, s AS (SELECT from_id AS a, to_id AS b FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by') UNION SELECT to_id, from_id FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by')) SELECT a AS id, count(*) AS degree, string_agg(b, ',' ORDER BY b) AS neighbours FROM s WHERE a <> b AND a IN (SELECT id FROM l) AND b IN (SELECT id FROM l) GROUP BY 1")
 add("stable_ids", lambda s, d: graph(s, d).live.select("id", S.stable_id(F.lit("practice"), F.col("source"), F.col("type"), F.col("symbol_name")).alias("sid")), f"{W} SELECT id, left(sha256('practice' || chr(0) || source || chr(0) || type || chr(0) || symbol_name), 16) AS sid FROM l")
 add("ordered_compare", lambda s, d: graph(s, d).live.where((F.col("type") == "file") & (S.meta("size") != "") & S.compare("gte", S.meta("size"), 2000)).select("id"), f"{W} SELECT id FROM l WHERE type = 'file' AND {M(k='size')} <> '' AND {M(k='size')}::DOUBLE >= 2000")
-add("code_result_filters", lambda s, d: G.code_results(graph(s, d), "src/"), f"{W} SELECT id, file_path FROM l WHERE type IN ('function', 'method', 'type') AND lower(test_kind) = '' AND NOT is_test AND starts_with(file_path, 'src/')")
+add("code_result_filters", lambda s, d: G.code_results(graph(s, d), ""), f"{W} SELECT id, file_path FROM l WHERE type IN ('function', 'method', 'type') AND lower(test_kind) = '' AND NOT is_test")
 add("genre_exclusion", lambda s, d: V.human_thoughts(graph(s, d)), f"{W} SELECT id FROM l WHERE type = 'thought' AND NOT starts_with(source, 'machine') AND NOT regexp_matches(lower(symbol_name), '^(auto|exported)')")
 add("rule_query", lambda s, d: G.rule_scope(s.read.parquet(f"{d}/discovery_runs.parquet").select(F.col("discovery_path").alias("id"), "repo", F.coalesce("package_prefixes", F.array().cast("array<string>")).alias("prefixes")), "savrix-tools", "src/a.go").select("repo"), "SELECT DISTINCT repo FROM (SELECT repo, package_prefixes, unnest(CASE WHEN package_prefixes IS NULL OR len(package_prefixes) = 0 THEN [''] ELSE package_prefixes END) AS p FROM discovery_runs WHERE repo = 'savrix-tools') WHERE p = '' OR rtrim(p, '/') = 'src/a.go' OR starts_with('src/a.go', rtrim(p, '/') || '/')")
 add("discovery_census", lambda s, d: s.read.parquet(f"{d}/discovery_runs.parquet").select(F.explode("excluded_by_rule").alias("rule", "n")).groupBy("rule").agg(F.sum("n").alias("excluded"), F.count(F.lit(1)).alias("repos")), "SELECT rule, sum(n)::BIGINT AS excluded, count(*) AS repos FROM (SELECT unnest(map_keys(excluded_by_rule)) AS rule, unnest(map_values(excluded_by_rule)) AS n FROM discovery_runs) GROUP BY 1")

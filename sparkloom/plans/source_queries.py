@@ -21,8 +21,17 @@ NOW = 1_785_000_000_000_000_000
 
 
 def pages(s, d):
-    html = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><nav><ul><li><a href='/a'>a</a></li></ul></nav><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1><p>"),
-                    F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " "), r"\n\s*\n", "</p><p>"), F.lit("</p><script>x()</script><a href='https://other.example/x'>o</a></body></html>"))
+    """A page for every document, of a shape that varies with its id: kinds of lists, a table, links to its own and other hosts, nested sections."""
+    n = F.expr("doc_id div 6")
+    title = F.regexp_replace(F.coalesce("title", F.lit("")), "[<>&]", " ")
+    body = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " "), r"\n\s*\n", "</p><p>")
+    items = lambda k, link: F.concat_ws("", F.transform(F.sequence(F.lit(1), k), lambda i: F.concat(F.lit("<li>"), link(i), F.lit("</li>"))))
+    inner = lambda i: F.concat(F.lit("<a href='/p"), i.cast("string"), F.lit("'>page "), i.cast("string"), F.lit("</a>"))
+    nav = F.when(n % 2 == 0, F.concat(F.lit("<nav><ul>"), items((n % 4 + 1).cast("int"), inner), F.lit("</ul></nav>"))).otherwise(F.lit(""))
+    plain = F.when(n % 3 == 0, F.concat(F.lit("<ol>"), items((n % 5 + 2).cast("int"), lambda i: F.concat(F.lit("step "), i.cast("string"), F.lit(" of some length that no menu has"))), F.lit("</ol>"))).otherwise(F.lit(""))
+    cells = F.when(n % 5 == 0, F.lit("<table><tr><th>name</th><th>size</th></tr><tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr></table>")).otherwise(F.lit(""))
+    out = F.when(n % 7 < 3, F.concat(F.lit("<p>See <a href='https://other"), (n % 7).cast("string"), F.lit(".example/x'>there</a> and <a href='#top'>top</a>.</p>"))).otherwise(F.lit(""))
+    html = F.concat(F.lit("<html><head><title>"), title, F.lit("</title></head><body>"), nav, F.lit("<h1>"), title, F.lit("</h1><p>"), body, F.lit("</p>"), plain, cells, out, F.lit("<script>x()</script></body></html>"))
     return table(s, d, "documents").select(F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string")).alias("url"), html.alias("html"))
 
 
@@ -31,13 +40,23 @@ def files(s, d):
 
 
 add("session_scan", lambda s, d: sessions.scan(s, f"{d}/usage_rows.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("output_tokens").alias("output_tokens")), "SELECT source, count(*) AS n, sum(output_tokens)::BIGINT AS output_tokens FROM usage_rows GROUP BY 1")
-add("html_tree", lambda s, d: D.html_tree(pages(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n")))
-add("html_list_classes", lambda s, d: D.html_tree(pages(s, d)).where("type in ('list', 'table')").groupBy("type", F.col("metadata")["class"].alias("class")).agg(F.count(F.lit(1)).alias("n")), "SELECT 'list' AS type, 'nav' AS class, count(*) AS n FROM documents")
-add("html_edges", lambda s, d: D.tree_edges(D.html_tree(pages(s, d))).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("to_id").alias("ends")))
-add("link_classes", lambda s, d: D.classify_links(D.html_tree(pages(s, d))).groupBy("class").agg(F.count(F.lit(1)).alias("n")), "SELECT unnest(['internal', 'external']) AS class, count(*) AS n FROM documents")
-add("page_classes", lambda s, d: pages(s, d).select(D.classify_page(F.lit(None).cast("string"), F.col("html")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n")), "SELECT 'html' AS class, count(*) AS n FROM documents")
-add("crawl_bfs", lambda s, d: D.crawl(pages(s, d), table(s, d, "documents").select(F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string")).alias("from_url"), F.concat(F.lit("HTTPS://Docs.Example/"), (F.col("doc_id") * 2).cast("string"), F.lit("/#x")).alias("to_url")), table(s, d, "documents").where("doc_id < 60").select(F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string")).alias("url")), max_depth=5))
-add("url_canonical", lambda s, d: table(s, d, "documents").select("doc_id", S.canonical_url(F.concat(F.lit(" HTTP://Ex"), F.col("doc_id").cast("string"), F.lit(".COM/Path/?Q=1#f"))).alias("u")), "SELECT doc_id, 'http://ex' || doc_id || '.com/Path?Q=1' AS u FROM documents")
+# what the shapes of pages() hold, by the id of the document
+_SHAPES = """WITH p AS (SELECT doc_id // 6 AS n, len(list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '[<>&]', ' ', 'g'), '\\n\\s*\\n'), lambda x: regexp_matches(x, '\\S'))) AS parts FROM documents),
+x AS (SELECT 'page' AS type, count(*) AS n FROM p UNION ALL SELECT 'section', count(*) FROM p UNION ALL SELECT 'list', sum((n % 2 = 0)::INT + (n % 3 = 0)::INT) FROM p UNION ALL SELECT 'list_item', sum((n % 2 = 0)::INT * (n % 4 + 1) + (n % 3 = 0)::INT * (n % 5 + 2)) FROM p
+  UNION ALL SELECT 'table', sum((n % 5 = 0)::INT) FROM p UNION ALL SELECT 'link', sum((n % 2 = 0)::INT * (n % 4 + 1) + (n % 7 < 3)::INT) FROM p UNION ALL SELECT 'paragraph', sum(parts + (n % 7 < 3)::INT) FROM p)"""
+add("html_tree", lambda s, d: D.html_tree(pages(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n")), f"{_SHAPES} SELECT type, n::BIGINT AS n FROM x WHERE n > 0")
+add("html_list_classes", lambda s, d: D.html_tree(pages(s, d)).where("type in ('list', 'table')").groupBy("type", F.col("metadata")["class"].alias("class")).agg(F.count(F.lit(1)).alias("n")),
+    "SELECT * FROM (SELECT 'list' AS type, 'nav' AS class, count(*) AS n FROM documents WHERE doc_id // 6 % 2 = 0 UNION ALL SELECT 'list', 'content', count(*) FROM documents WHERE doc_id // 6 % 3 = 0 UNION ALL SELECT 'table', 'data', count(*) FROM documents WHERE doc_id // 6 % 5 = 0) WHERE n > 0")
+add("html_edges", lambda s, d: D.tree_edges(D.html_tree(pages(s, d))).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("to_id").alias("ends")), f"{_SHAPES} SELECT 'CONTAINS' AS type, sum(n)::BIGINT AS n, sum(n)::BIGINT AS ends FROM x WHERE type <> 'page'")
+add("link_classes", lambda s, d: D.classify_links(D.html_tree(pages(s, d))).groupBy("class").agg(F.count(F.lit(1)).alias("n")), "SELECT 'internal' AS class, sum(doc_id // 6 % 4 + 1)::BIGINT AS n FROM documents WHERE doc_id // 6 % 2 = 0 UNION ALL SELECT 'external', count(*) FROM documents WHERE doc_id // 6 % 7 < 3")
+_MEDIA = lambda: F.when(F.expr("doc_id div 6") % 4 == 0, "Text/HTML; charset=utf-8").when(F.expr("doc_id div 6") % 4 == 1, "application/pdf").when(F.expr("doc_id div 6") % 4 == 2, "image/png")
+_BODY = lambda: F.when(F.expr("doc_id div 6") % 3 == 0, F.concat(F.lit(" \n<HTML><p>"), F.col("title"))).when(F.expr("doc_id div 6") % 3 == 1, F.lit("%PDF-1.7 x")).otherwise(F.lit("plain words"))
+add("page_classes", lambda s, d: table(s, d, "documents").select(D.classify_page(_MEDIA(), _BODY()).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT CASE WHEN doc_id // 6 % 4 = 0 THEN 'html' WHEN doc_id // 6 % 4 = 1 THEN 'pdf' WHEN doc_id // 6 % 4 = 2 THEN 'other' WHEN doc_id // 6 % 3 = 0 AND title IS NOT NULL THEN 'html' WHEN doc_id // 6 % 3 = 1 THEN 'pdf' ELSE 'text' END AS class, count(*) AS n FROM documents GROUP BY 1")
+add("crawl_bfs", lambda s, d: D.crawl(pages(s, d), table(s, d, "documents").select(F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string")).alias("from_url"), F.concat(F.lit("HTTPS://Docs.Example/"), (F.col("doc_id") * 2).cast("string"), F.lit("/#x")).alias("to_url")), table(s, d, "documents").where("doc_id % 100 = 0").select(F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string")).alias("url")), max_depth=5))
+_URL = lambda: F.element_at(F.array(*[F.concat(F.lit(a), F.col("doc_id").cast("string"), F.lit(z)) for a, z in ((" HTTP://Ex", ".COM/Path/?Q=1#f"), ("https://A.example:8080/", "/b//"), ("HTTPS://B.example", ""), ("ftp://C.example/", "?x=/#y#z"), ("no scheme ", "/a"))]), (F.expr("doc_id div 6") % 5 + 1).cast("int"))
+add("url_canonical", lambda s, d: table(s, d, "documents").select("doc_id", S.canonical_url(_URL()).alias("u")),
+    "SELECT doc_id, CASE doc_id // 6 % 5 WHEN 0 THEN 'http://ex' || doc_id || '.com/Path?Q=1' WHEN 1 THEN 'https://a.example:8080/' || doc_id || '/b' WHEN 2 THEN 'https://b.example' || doc_id WHEN 3 THEN 'ftp://c.example/' || doc_id || '?x=/' ELSE '' END AS u FROM documents")
 add("layout_blocks", lambda s, d: D.chunk_sections(D.layout_blocks(_runs(s, d))).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -50,7 +69,7 @@ def _runs(s, d):
 
 
 add("code_chunks", lambda s, d: D.chunk_files(files(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
-add("code_chunk_calls", lambda s, d: D.chunk_files(files(s, d)).select("file_id", "name", F.explode("calls").alias("call")).groupBy("call").agg(F.count(F.lit(1)).alias("n")).where("n > 20"))
+add("code_chunk_calls", lambda s, d: D.chunk_files(files(s, d)).select("file_id", "name", F.explode("calls").alias("call")).groupBy("call").agg(F.count(F.lit(1)).alias("n")))
 add("ast_match", lambda s, d: D.ast_matches(files(s, d).where("lower(language) = 'python'"), "sum($X for $Y in $Z if $W)").groupBy("file_id").agg(F.count(F.lit(1)).alias("n")),
     f"{W} SELECT id AS file_id, (length(replace(content, chr(13), '')) - length(replace(replace(content, chr(13), ''), 'sum(x.', 'sum(.'))) AS n FROM l WHERE type = 'file' AND lower(language) = 'python' AND contains(content, 'sum(x.')")
 add("ast_count", lambda s, d: D.ast_matches(files(s, d).where("lower(language) = 'python'"), "raise $E($$$A)").groupBy(F.col("captures")["E"].alias("error")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_id").alias("files")))

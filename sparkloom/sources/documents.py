@@ -560,3 +560,13 @@ def flow_reaches(source: str, start: str, end: str, most: int = 32) -> bool:
         if end in seen:
             return True
     return False
+
+
+def flow_matches(files: DataFrame, start: str, end: str) -> DataFrame:
+    """Ids of the Python files ``(id, content)`` in some function of which the value of a name may reach another."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[flow_reaches(t or "", start, end) for t in b["content"]], ["id"]]
+
+    return files.select("id", "content").mapInPandas(run, "id string")
