@@ -15,6 +15,8 @@ from sparkloom.runtime import materialize
 # Fixed values of the model.
 BASE_TRUST = 0.1
 VALENCE_STEP, VALENCE_EPS, MAX_ITER = 0.5, 1e-4, 100
+#: Rounds of a propagation that are one plan; convergence is looked at after them.
+ROUNDS = 4
 DECAY = 0.7
 INFLUENCE_EPS = 1e-6
 TENSION_MAGNITUDE = TENSION_DELTA = 0.5
@@ -72,12 +74,17 @@ def trust_matrix(g: Graph, folded: DataFrame) -> DataFrame:
 
 
 def propagate_valence(matrix: DataFrame, start: DataFrame, *, max_iter: int = MAX_ITER, eps: float = VALENCE_EPS) -> tuple[DataFrame, int, bool]:
-    """Repeats v <- v/2 + Tv/2 until no value moves by eps: (values ``(id, v)``, rounds, converged). Every round is written once."""
+    """Repeats v <- v/2 + Tv/2 until no value moves by eps: (values ``(id, v)``, rounds, converged). ROUNDS rounds are one plan and are written once."""
     m = materialize(matrix, "trust").df
     v = materialize(start.select("id", "v"), "valence")
-    for k in range(1, max_iter + 1):
-        tv = m.join(v.df.withColumnRenamed("id", "j"), "j").groupBy(F.col("i").alias("id")).agg(F.sum(F.col("w") * F.col("v")).alias("t"))
-        n = materialize(v.df.join(tv, "id").select("id", (VALENCE_STEP * F.col("v") + (1 - VALENCE_STEP) * F.col("t")).alias("v"), F.abs((1 - VALENCE_STEP) * (F.col("t") - F.col("v"))).alias("d")), "valence")
+    k = 0
+    while k < max_iter:
+        cur = v.df.select("id", "v")
+        for _ in range(min(ROUNDS, max_iter - k)):
+            tv = m.join(cur.select(F.col("id").alias("j"), "v"), "j").groupBy(F.col("i").alias("id")).agg(F.sum(F.col("w") * F.col("v")).alias("t"))
+            cur = cur.select("id", "v").join(tv, "id").select("id", (VALENCE_STEP * F.col("v") + (1 - VALENCE_STEP) * F.col("t")).alias("v"), F.abs((1 - VALENCE_STEP) * (F.col("t") - F.col("v"))).alias("d"))
+            k += 1
+        n = materialize(cur, "valence")
         v.drop()
         v = n
         if (n.df.agg(F.max("d")).first()[0] or 0.0) < eps:
@@ -106,9 +113,14 @@ def influence(matrix: DataFrame, *, max_iter: int = MAX_ITER, eps: float = INFLU
     if not n:
         return m.select(F.col("i").alias("id"), F.lit(0.0).alias("influence"))
     x = materialize(m.select(F.col("i").alias("id")).distinct().withColumn("x", F.lit(1.0 / n)), "influence")
-    for _ in range(max_iter):
-        y = m.join(x.df.withColumnRenamed("id", "i"), "i").groupBy(F.col("j").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
-        nx = materialize(x.df.join(y, "id", "left").select("id", F.coalesce("y", F.lit(0.0)).alias("x"), F.abs(F.coalesce("y", F.lit(0.0)) - F.col("x")).alias("d")), "influence")
+    k = 0
+    while k < max_iter:
+        cur = x.df.select("id", "x")
+        for _ in range(min(ROUNDS, max_iter - k)):  # one plan; the length is set right after it
+            y = m.join(cur.select(F.col("id").alias("i"), "x"), "i").groupBy(F.col("j").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
+            cur = cur.select("id", "x").join(y, "id", "left").select("id", F.coalesce("y", F.lit(0.0)).alias("x"), F.abs(F.coalesce("y", F.lit(0.0)) - F.col("x")).alias("d"))
+            k += 1
+        nx = materialize(cur, "influence")
         x.drop()
         r = nx.df.agg(F.sum("x").alias("s"), F.max("d").alias("d")).first()
         x = nx if not r.s else type(nx)(nx.df.select("id", (F.col("x") / F.lit(r.s)).alias("x")), nx.path)

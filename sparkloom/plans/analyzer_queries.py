@@ -36,6 +36,10 @@ _HITS = f"""{WR}, v AS (SELECT id FROM l WHERE type IN ('function', 'method', 't
     f"x{i} AS (SELECT dst AS id, sum(h) AS a FROM k JOIN h{i - 1} ON id = src GROUP BY 1), a{i} AS (SELECT id, a / (SELECT sqrt(sum(a * a)) FROM x{i}) AS a FROM x{i}), y{i} AS (SELECT src AS id, sum(a) AS h FROM k JOIN a{i} ON id = dst GROUP BY 1), h{i} AS (SELECT v.id, coalesce(h, 0) / (SELECT sqrt(sum(h * h)) FROM y{i}) AS h FROM v LEFT JOIN y{i} USING (id))" for i in range(1, 5))
 add("hits_four_rounds", lambda s, d: A.run("hits", *code(s, d), rounds=4).select("id", r("hub", 7), r("authority", 7)), f"{_HITS} SELECT v.id, round(h, 7) AS hub, round(coalesce(a, 0), 7) AS authority FROM v JOIN h4 USING (id) LEFT JOIN a4 USING (id)")
 add("pagerank_weighted", lambda s, d: A.run("pagerank_weighted", *thought(s, d)).select("id", r("score", 6)))
+_PW = f"""{WR}, v AS (SELECT id FROM l WHERE type = 'thought'), k0 AS (SELECT from_id AS src, to_id AS dst, max(CASE WHEN weight = 0 THEN 1.0 ELSE weight END) AS w FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by') AND from_id <> to_id AND from_id IN (SELECT id FROM l) AND to_id IN (SELECT id FROM l) GROUP BY 1, 2), k AS (SELECT * FROM k0 WHERE w > 0),
+o AS (SELECT src, sum(w) AS t FROM k GROUP BY 1), c AS (SELECT count(*)::DOUBLE AS n FROM v), r0 AS (SELECT id, 1.0 / n AS r FROM v, c), """ + ", ".join(
+    f"r{i} AS (SELECT v.id, 0.15 / n + 0.85 * (coalesce((SELECT sum(x.r * k.w / o.t) FROM k JOIN r{i - 1} x ON x.id = k.src JOIN o ON o.src = k.src WHERE k.dst = v.id), 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM o)) / n) AS r FROM v, c)" for i in range(1, 5))
+add("pagerank_weighted_four_rounds", lambda s, d: A.run("pagerank_weighted", *thought(s, d), rounds=4).select("id", r("score", 9)), f"{_PW} SELECT id, round(r, 9) AS score FROM r4")
 add("pagerank_findings", lambda s, d: A.findings(A.run("pagerank", *code(s, d)), "pagerank").select("algorithm", "rank", "id", "severity"))
 add("hits", lambda s, d: A.run("hits", *code(s, d)).select("id", r("hub", 5), r("authority", 5)))
 add("connected_components", lambda s, d: A.components(*code(s, d)).select("id", "comp"),

@@ -47,12 +47,19 @@ add("magnitude_propagation", lambda s, d: V.propagate_magnitude(matrix(s, d), fo
 add("influence_vector", lambda s, d: V.influence(matrix(s, d)).select("id", F.round("influence", 5).alias("influence")))
 add("personality_scaling", lambda s, d: V.personality(matrix(s, d), V.thoughts(graph(s, d)).select("id", meta("cluster_id").alias("cluster")), s.createDataFrame([("c001", "c002", 2.0), ("c001", "c001", 0.5)], "cluster_a string, cluster_b string, factor double"), s.createDataFrame([("c001", 1.5)], "cluster_a string, factor double")).select("i", "j", *r6("w")),
     f"""{TR}, c AS (SELECT id, {_M('cluster_id')} AS c FROM th), y AS (SELECT i, j, w * CASE WHEN a.c = 'c001' AND b.c = 'c002' THEN 2.0 WHEN a.c = 'c001' AND b.c = 'c001' THEN 0.5 WHEN a.c = 'c001' THEN 1.5 ELSE 1 END AS w FROM t JOIN c a ON a.id = i JOIN c b ON b.id = j) SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS w FROM y""")
-add("tensions", lambda s, d: V.tensions(graph(s, d), NOW, None, 0), f"""{BASE}, pr AS (SELECT DISTINCT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by') AND from_id <> to_id),
+_TENSIONS = f"""{BASE}, pr AS (SELECT DISTINCT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by') AND from_id <> to_id),
 c AS (SELECT id, CASE WHEN {_M('cluster_id')} = '' THEN 'thought:' || id ELSE {_M('cluster_id')} END AS c FROM th),
 q AS (SELECT a, b, round(abs(x.valence - y.valence), 9) AS delta, least(cx.c, cy.c) AS ka, greatest(cx.c, cy.c) AS kb, (SELECT count(DISTINCT charge) FROM ch WHERE thought IN (a, b)) AS evidence FROM pr JOIN f x ON x.id = a JOIN f y ON y.id = b JOIN c cx ON cx.id = a JOIN c cy ON cy.id = b WHERE x.magnitude >= 0.5 AND y.magnitude >= 0.5 AND abs(x.valence - y.valence) >= 0.5),
-z AS (SELECT *, row_number() OVER (PARTITION BY ka, kb ORDER BY delta DESC, a, b) AS r, count(*) OVER (PARTITION BY ka, kb) AS pairs FROM q) SELECT ka, kb, pairs, a, b, round(delta, 6) AS delta, evidence, round(delta * (1 + evidence), 6) AS score FROM z WHERE r = 1""")
-add("tensions_top", lambda s, d: V.tensions(graph(s, d), NOW, "human"))
+z AS (SELECT *, row_number() OVER (PARTITION BY ka, kb ORDER BY delta DESC, a, b) AS r, count(*) OVER (PARTITION BY ka, kb) AS pairs FROM q) SELECT ka, kb, pairs, a, b, round(delta, 6) AS delta, evidence, round(delta * (1 + evidence), 6) AS score FROM z WHERE r = 1"""
+add("tensions", lambda s, d: V.tensions(graph(s, d), NOW, None, 0), _TENSIONS)
+add("tensions_top", lambda s, d: V.tensions(graph(s, d), NOW, "human"), _TENSIONS.replace("AND from_id <> to_id),", "AND from_id <> to_id AND method = 'human'),", 1) + f" ORDER BY score DESC, a, b LIMIT {V.TENSION_CAP}")
 add("influence_ranking", lambda s, d: V.influence_ranking(folded(s, d), V.influence(matrix(s, d))).select("section", "rank", "id"))
+# ten rounds of the same power iteration, normalised each round
+_IR = "x0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM f) AS x FROM f), " + ", ".join(f"y{k} AS (SELECT j AS id, sum(t.w * x.x) AS y FROM t JOIN x{k - 1} x ON x.id = t.i GROUP BY 1), x{k} AS (SELECT f.id, coalesce(y, 0) / (SELECT sum(y) FROM y{k}) AS x FROM f LEFT JOIN y{k} USING (id))" for k in range(1, 11))
+_TEN = lambda s, d: V.influence(matrix(s, d), max_iter=10, eps=0.0)
+add("influence_vector_ten_rounds", lambda s, d: _TEN(s, d).select("id", F.round("influence", 8).alias("influence")), f"{TR}, {_IR} SELECT id, round(x, 8) AS influence FROM x10")
+add("influence_ranking_ten_rounds", lambda s, d: V.influence_ranking(folded(s, d), _TEN(s, d).select("id", F.round("influence", 10).alias("influence"))).select("section", "rank", "id"),
+    f"""{TR}, {_IR}, r AS (SELECT id, CASE WHEN charges > 0 THEN 'evidenced' ELSE 'backfill' END AS section, round(CASE WHEN charges > 0 THEN round(x, 10) * (1 + p + n) ELSE round(x, 10) END, 12) AS score FROM f JOIN x10 USING (id)), k AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, id) AS rank FROM r) SELECT section, rank, id FROM k WHERE rank <= 10""")
 add("belief_reversal_clusters", lambda s, d: V.cluster_reversals(graph(s, d), NOW, 0), f"""{BASE}, c AS (SELECT id, {_M('cluster_id')} AS cluster FROM th WHERE {_M('cluster_id')} <> ''),
 v AS (SELECT cluster, coalesce(sum(CASE WHEN created_at < {NOW} - 30 * 86400000000000 THEN sg END), 0) AS old_net, coalesce(sum(CASE WHEN created_at >= {NOW} - 30 * 86400000000000 THEN sg END), 0) AS recent_net FROM (SELECT c.cluster, ch.created_at, CASE polarity WHEN 'negative' THEN -weight WHEN 'positive' THEN weight END AS sg FROM ch JOIN c ON c.id = thought WHERE created_at <> 0) GROUP BY 1)
 SELECT cluster, {R6('old_net', 'recent_net')} FROM v WHERE old_net <> 0 AND recent_net <> 0 AND (old_net < 0) <> (recent_net < 0) AND abs(old_net) >= 6""")
@@ -63,13 +70,17 @@ x AS (SELECT f.*, newest, code_at, (o <> 0 AND r <> 0 AND (o < 0) <> (r < 0)) AS
 SELECT 'confident_untested' AS facet, id FROM x WHERE magnitude >= 1.5 AND consistency >= 0.8 AND charges <= 1 UNION ALL SELECT 'foundational_unexamined', id FROM x WHERE charges = 0 UNION ALL SELECT 'fragile_single_point', id FROM x WHERE charges <= 1 OR id IN (SELECT id FROM fr)
 UNION ALL SELECT 'stale_confidence', id FROM x WHERE newest < {NOW} - 7 * 86400000000000 UNION ALL SELECT 'code_changed', id FROM x WHERE coalesce(code_at, 0) > newest UNION ALL SELECT 'belief_reversal', id FROM x WHERE rev"""
 add("blind_spots", lambda s, d: V.blind_spots(graph(s, d), NOW, None, None), BS)
-add("blind_spots_top", lambda s, d: V.blind_spots(graph(s, d), NOW))
+add("blind_spots_top", lambda s, d: V.blind_spots(graph(s, d), NOW), f"SELECT facet, id FROM (SELECT facet, b.id, row_number() OVER (PARTITION BY facet ORDER BY round(f.magnitude, 9) DESC, b.id) AS r FROM ({BS}) b JOIN ({BASE} SELECT id, magnitude FROM f) f ON f.id = b.id) WHERE r <= {V.FACET_CAP}")
 _T = lambda s, d: V.charges(graph(s, d)).agg(F.min(F.struct("thought", "charge")).alias("x")).first().x or ("", "")
 SIM = ", ".join(["state", "id", "charges"]) + ", " + R6(*P)
-add("simulate_remove", lambda s, d: V.simulate(graph(s, d), NOW, "remove", _T(s, d)[1]).select("state", "id", "charges", *r6(*P)))
+_AFTER = "y AS (SELECT *, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END AS valence, CASE WHEN p + n > 0 THEN ln(1 + p + n) ELSE 0 END AS magnitude, CASE WHEN p + n > 0 THEN 1 - least(p, n) / greatest(p, n) ELSE 0 END AS consistency FROM a), z AS (SELECT *, 0.1 + consistency * ln(1 + charges) AS self_trust FROM y)"
+add("simulate_remove", lambda s, d: V.simulate(graph(s, d), NOW, "remove", _T(s, d)[1]).select("state", "id", "charges", *r6(*P)),
+    f"""{BASE}, x AS (SELECT charge AS c FROM ch ORDER BY thought, charge LIMIT 1), h AS (SELECT DISTINCT thought AS id FROM ch, x WHERE charge = c), a AS (SELECT 'before' AS state, id, charges, p, n FROM f WHERE id IN (SELECT id FROM h)
+UNION ALL SELECT 'after', h.id, count(ch.charge), coalesce(sum(CASE WHEN polarity = 'positive' THEN w ELSE 0 END), 0), coalesce(sum(CASE WHEN polarity = 'negative' THEN w ELSE 0 END), 0) FROM h LEFT JOIN ch ON thought = h.id AND charge <> (SELECT c FROM x) GROUP BY h.id), {_AFTER} SELECT {SIM} FROM z""")
 add("simulate_add", lambda s, d: V.simulate(graph(s, d), NOW, "add", _T(s, d)[0], polarity="negative", weight=2.0).select("state", "id", "charges", *r6(*P)), f"""{BASE}, x AS (SELECT min(thought) AS t FROM ch), a AS (SELECT 'before' AS state, id, charges, p, n FROM f, x WHERE id = t UNION ALL SELECT 'after', id, charges + 1, p, n + 2 FROM f, x WHERE id = t),
 y AS (SELECT *, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END AS valence, CASE WHEN p + n > 0 THEN ln(1 + p + n) ELSE 0 END AS magnitude, CASE WHEN p + n > 0 THEN 1 - least(p, n) / greatest(p, n) ELSE 0 END AS consistency FROM a), z AS (SELECT *, 0.1 + consistency * ln(1 + charges) AS self_trust FROM y) SELECT {SIM} FROM z""")
-add("simulate_invalidate", lambda s, d: V.simulate(graph(s, d), NOW, "invalidate", _T(s, d)[0]).select("state", "id", "charges", *r6(*P)))
+add("simulate_invalidate", lambda s, d: V.simulate(graph(s, d), NOW, "invalidate", _T(s, d)[0]).select("state", "id", "charges", *r6(*P)),
+    f"{BASE}, x AS (SELECT min(thought) AS t FROM ch), z AS (SELECT 'before' AS state, id, charges, p, n, valence, magnitude, consistency, self_trust FROM f, x WHERE id = t UNION ALL SELECT 'after', t, 0, 0, 0, -1, 0, 0, 0.1 FROM x) SELECT {SIM} FROM z")
 add("trace_thoughts", lambda s, d: V.trace(graph(s, d), V.thoughts(graph(s, d)).where("status = 'settled'").select("id"), depth=2), f"{BASE}, st AS (SELECT id FROM th WHERE status = 'settled'), q AS (SELECT from_id AS a, to_id AS b FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by') UNION SELECT to_id, from_id FROM e WHERE type IN ('relates-to', 'supports', 'contradicts', 'informed-by')), r AS (SELECT id, 0 AS distance FROM st UNION SELECT q.b, distance + 1 FROM r JOIN q ON q.a = r.id JOIN l ON l.id = q.b WHERE distance < 2) SELECT id, min(distance) AS distance FROM r GROUP BY 1")
 _CV = lambda s, d: latest_docs(table(s, d, "search_docs")).select("id", "vector").join(graph(s, d).live.select("id", meta("cluster_id").alias("cluster")).where("cluster <> ''"), "id")
 _BIT = ", ".join(f"CASE WHEN 2 * sum(get_bit(x, {i})) > count(*) THEN '1' ELSE '0' END" for i in range(256))

@@ -40,7 +40,9 @@ emit note {
 add("recipe_emit", lambda s, d: Program(EMIT, graph(s, d)).run()["nodes"].select("id", "type", "name"),
     f"""{W}, r AS (SELECT s.id FROM l s JOIN e ON e.from_id = s.id AND e.type = 'contains' JOIN l t ON t.id = e.to_id WHERE s.type = 'thought_session' AND s.status = 'open' AND t.status IN ('active', 'settled') GROUP BY 1)
 SELECT left(sha256('practice' || chr(0) || 'source' || chr(0) || 'topic' || chr(0) || 'topic-' || lower(id)), 16) AS id, 'topic' AS type, 'topic-' || lower(id) AS name FROM r UNION ALL SELECT left(sha256('practice' || chr(0) || 'source' || chr(0) || 'use_case' || chr(0) || 'when-' || lower(id)), 16), 'use_case', 'when-' || lower(id) FROM r""")
-add("recipe_links", lambda s, d: Program(EMIT, graph(s, d)).run()["edges"])
+_SESSIONS = f"{W}, r AS (SELECT s.id FROM l s JOIN e ON e.from_id = s.id AND e.type = 'contains' JOIN l t ON t.id = e.to_id WHERE s.type = 'thought_session' AND s.status = 'open' AND t.status IN ('active', 'settled') GROUP BY 1)"
+_SID = "left(sha256('practice' || chr(0) || 'source' || chr(0) || '{0}' || chr(0) || '{1}-' || lower(id)), 16)".format
+add("recipe_links", lambda s, d: Program(EMIT, graph(s, d)).run()["edges"], f"{_SESSIONS} SELECT {_SID('topic', 'topic')} AS from_id, {_SID('use_case', 'when')} AS to_id, 'applies-when' AS type FROM r")
 add("recipe_group_keys", lambda s, d: Program('select thought_session\nbind $s := node.status\ngroup_by $s\nemit status {\n name := concat("s-", node.status)\n keys := group.keys\n}', graph(s, d)).run()["nodes"].select("name", F.col("fields")["keys"].alias("keys")),
     f"{W}, k AS (SELECT DISTINCT status FROM l WHERE type = 'thought_session') SELECT 's-' || status AS name, (SELECT string_agg(status, ',' ORDER BY status) FROM k) AS keys FROM k")
 add("recipe_where_and_functions", lambda s, d: Program(HEAD, graph(s, d)).run()["nodes"].select("name", F.coalesce(F.col("fields")["path"], F.lit("")).alias("path"), F.coalesce(F.col("fields")["kids"], F.lit("")).alias("kids"), F.coalesce(F.col("fields")["mark"], F.lit("")).alias("mark")),
@@ -52,4 +54,4 @@ add("recipe_walk", lambda s, d: Program('select thought_session where {"equals":
 SELECT a || ':' || b AS name, '1' AS depth, n::VARCHAR AS position FROM r WHERE b IN (SELECT id FROM l)""")
 add("recipe_lookup", lambda s, d: Program('select thought_session\nemit topic {\n name := node.status\n identity := node.id\n}\nselect thought_session\nlookup topic by node.id as $t\nbind $none := "x"\nlink $t --[of]--> node.id', graph(s, d)).run()["edges"],
     f"{W} SELECT left(sha256('practice' || chr(0) || 'source' || chr(0) || 'topic' || chr(0) || id), 16) AS from_id, id AS to_id, 'of' AS type FROM l WHERE type = 'thought_session'")
-add("recipe_landing", lambda s, d: land(Program(EMIT, graph(s, d)).run()["nodes"].select("id", "type", "name"), Program(EMIT, graph(s, d)).run()["nodes"].where("type = 'topic'").select("id"))[0].select("id", "type"))
+add("recipe_landing", lambda s, d: land(Program(EMIT, graph(s, d)).run()["nodes"].select("id", "type", "name"), Program(EMIT, graph(s, d)).run()["nodes"].where("type = 'topic'").select("id"))[0].select("id", "type"), f"{_SESSIONS} SELECT {_SID('topic', 'topic')} || '@v2' AS id, 'topic' AS type FROM r UNION ALL SELECT {_SID('use_case', 'when')}, 'use_case' FROM r")
