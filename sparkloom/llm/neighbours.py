@@ -18,6 +18,8 @@ from sparkloom.runtime import materialize
 SAMPLE_ROWS = 16_384
 #: Effort that searches all index tables; smaller ones of a record search as large a part of them.
 FULL_EFFORT = 64
+#: Index tables: TABLES * TABLES_GROWTH ** bits of a substring.
+TABLES, TABLES_GROWTH = 5.8, 1.12
 #: About how many rows a bucket of an index table holds; bits and tables grow with the rows.
 BUCKET_ROWS = 64
 #: Largest side of a block of vectors that one step compares; larger buckets are cut into pairs of blocks.
@@ -81,7 +83,8 @@ def nearest(units: DataFrame, *, dim: int, k: int, floor: float) -> DataFrame:
     """``(q, r, sim)`` for rows ``(nid long, unit binary, ef int)`` of distinct unit vectors: the k best others reaching ``floor``.
 
     Codes of several learned rotations are split into substrings of about log2(n / BUCKET_ROWS) bits; every
-    substring is an index table, and there are 8 tables more than bits. Two codes that differ in fewer bits than
+    substring is an index table. A longer substring is met less often, by about one tenth a bit, so the tables grow
+    by as much with each bit and the recall holds. Two codes that differ in fewer bits than
     there are tables agree in one substring (pigeonhole), so equal substrings retrieve the whole Hamming ball of
     that radius and most pairs beyond it. Retrieved rows meet as blocks and are reranked by their float cosine. A
     record with an effort ``ef`` below FULL_EFFORT searches that share of the tables, at least four, while every
@@ -90,8 +93,8 @@ def nearest(units: DataFrame, *, dim: int, k: int, floor: float) -> DataFrame:
     """
     spark = units.sparkSession
     n = units.count()
-    bits = max(4, round(math.log2(max(2, n) / BUCKET_ROWS)))
-    tables = bits + 8
+    bits = max(4, int(math.log2(max(2, n) / BUCKET_ROWS)))
+    tables = math.ceil(TABLES * TABLES_GROWTH ** bits)
     sample = bounded_sample(units, ["nid"], SAMPLE_ROWS).select("unit").toPandas()
     if len(sample) < 2:
         return spark.createDataFrame([], "q long, r long, sim double")
