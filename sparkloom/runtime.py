@@ -45,6 +45,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
         warnings.warn(f"{path} was not removed: {e.java_exception}", stacklevel=2)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs_path(spark, path)
+    return fs.exists(p)
+
+
 class Materialized:
     """A table written to the shared folder: lineage ends at its files, which outlive any executor."""
 

@@ -6,44 +6,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkloom.operators.mutations import upsert
-from sparkloom.runtime import remove_path
+from sparkloom.operators.mutations import bucket_of, upsert
+from sparkloom.runtime import path_exists, remove_path
 
 
-def change_feed(spark: SparkSession, delta_dir: str, schema, target: str, checkpoint: str, *, key: str = "id", at: str = "updated_at", files: int = 100) -> StreamingQuery:
+BUCKET_BITS = 6
+
+
+def change_feed(spark: SparkSession, delta_dir: str, schema, target: str, checkpoint: str, *, key: str = "id", at: str = "updated_at", files: int = 100, bits: int = BUCKET_BITS) -> StreamingQuery:
     """Applies delta files to a table of the latest row per key, version by version; run with what is there, then stop.
 
-    Rows ``deleted`` true take their key out. Every batch writes a new version beside the old one and points to
-    it last, so a lost executor or a repeated batch leaves the table as it was or as it should be.
+    The table is kept in 2**bits buckets of its keys. A batch reads and writes only the buckets its keys fall in,
+    beside the old ones, and names what it wrote in a log last, so a lost executor or a repeated batch leaves the
+    table as it was or as it should be. Rows without a key are dropped.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
-        old = current(spark, target)
-        d = batch if old is None else upsert(old, batch, [key], at)
-        if old is None:
-            d = upsert(batch.limit(0), batch, [key], at)
+        d = batch.where(F.col(key).isNotNull()).withColumn("bucket", bucket_of(F.col(key).cast("string"), bits).cast("int"))
+        touched = sorted(r.bucket for r in d.select("bucket").distinct().toLocalIterator())  # at most 2**bits
+        if not touched:
+            return
+        old = current(spark, target, touched)
+        base = d.limit(0) if old is None else old.withColumn("bucket", bucket_of(F.col(key).cast("string"), bits).cast("int"))
         path = f"{target}/v{n:08d}"
-        d.write.mode("overwrite").parquet(path)
-        spark.createDataFrame([(n,)], "version long").coalesce(1).write.mode("append").parquet(f"{target}/_log")
+        upsert(base, d, [key], at).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        spark.createDataFrame([(n, b) for b in touched], "version long, bucket int").coalesce(1).write.mode("append").parquet(f"{target}/_log")
 
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(delta_dir)
     return src.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str) -> DataFrame | None:
-    """The newest version of a fed table without deleted rows' columns dropped, or None before the first batch."""
-    try:
-        n = spark.read.parquet(f"{target}/_log").agg(F.max("version")).first()[0]
-    except Exception:  # noqa: BLE001
-        return None
-    return None if n is None else spark.read.parquet(f"{target}/v{n:08d}")
+def newest(spark: SparkSession, target: str) -> dict[int, int]:
+    """The newest version of every bucket of a fed table; empty before the first batch."""
+    if not path_exists(spark, f"{target}/_log"):
+        return {}
+    return {r.bucket: r.version for r in spark.read.parquet(f"{target}/_log").groupBy("bucket").agg(F.max("version").alias("version")).toLocalIterator()}
+
+
+def current(spark: SparkSession, target: str, buckets: list[int] | None = None) -> DataFrame | None:
+    """The newest rows of a fed table, of some buckets if told, or None where there are none."""
+    paths = [f"{target}/v{v:08d}/bucket={b}" for b, v in sorted(newest(spark, target).items()) if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else None
 
 
-def vacuum(spark: SparkSession, target: str, keep: int = 2) -> None:
-    """Drops all but the newest versions."""
-    v = [r.version for r in spark.read.parquet(f"{target}/_log").distinct().orderBy(F.desc("version")).collect()]
-    for n in v[keep:]:
-        remove_path(spark, f"{target}/v{n:08d}")
+def vacuum(spark: SparkSession, target: str) -> int:
+    """Drops the buckets that a newer version has replaced; how many."""
+    keep, gone = newest(spark, target), 0
+    for r in spark.read.parquet(f"{target}/_log").distinct().toLocalIterator():
+        if keep[r.bucket] != r.version and path_exists(spark, old := f"{target}/v{r.version:08d}/bucket={r.bucket}"):
+            remove_path(spark, old)
+            gone += 1
+    return gone
 
 
 def windowed_counts(events: DataFrame, *, seconds: int, late: str = "10 minutes") -> DataFrame:

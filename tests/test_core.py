@@ -495,3 +495,86 @@ def test_against_sql(spark, data, name):
     from tests.compare import compare, duck
 
     assert compare(spark, duck(data), data, name, e.queries()[name], e.oracle_sql()[name])[0] == "ok"
+
+
+def test_change_feed_rewrites_touched_buckets_only(spark, tmp_path):
+    from sparkloom.streaming import jobs
+
+    schema = "id string, updated_at long, v int"
+    base = f"file://{tmp_path}"
+
+    def send(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/delta")
+        jobs.change_feed(spark, f"{base}/delta", spark.createDataFrame([], schema).schema, f"{base}/t", f"{base}/c", bits=3).awaitTermination()
+
+    assert jobs.current(spark, f"{base}/t") is None
+    send([(f"k{i}", 1, i) for i in range(60)] + [(None, 1, 0)])
+    send([("k3", 5, 33), ("k4", 0, 44), ("new", 2, 7)])
+    got = {r.id: (r.updated_at, r.v) for r in jobs.current(spark, f"{base}/t").collect()}
+    assert got == {f"k{i}": (1, i) for i in range(60)} | {"k3": (5, 33), "new": (2, 7)}
+    versions = jobs.newest(spark, f"{base}/t")
+    assert len(versions) == 8 and 1 <= sum(v == 1 for v in versions.values()) <= 3
+    assert jobs.vacuum(spark, f"{base}/t") == sum(v == 1 for v in versions.values())
+    assert jobs.current(spark, f"{base}/t").count() == 61
+
+
+def test_binary_index(spark):
+    from sparkloom.operators import binary_index as B
+
+    rng = np.random.default_rng(8)
+    centre = rng.integers(0, 2, 256, dtype=np.uint8)
+    x = [centre ^ (rng.random(256) < 0.03) for _ in range(12)] + [rng.integers(0, 2, 256, dtype=np.uint8) for _ in range(80)]
+    rows = [(f"v{i:03d}", bytearray(np.packbits(v).tobytes())) for i, v in enumerate(x)]
+    d = spark.createDataFrame([*rows, ("bad", bytearray(b"x")), ("none", None)], "id string, vector binary")
+    q = spark.createDataFrame([(i, v) for i, v in (rows[0], rows[50])], "qid string, vector binary")
+    ix = B.build(d, 16)
+    assert ix.count() == 16 * len(rows)
+    exact = sorted((r.qid, r.id, r.score) for r in X.hamming_neighbours(d, q, 5).collect())
+    assert sorted((r.qid, r.id, r.score) for r in B.nearest(d, ix, q, 5).collect()) == exact
+    settled = {r.qid for r in B.probe(ix, q, 5).where("settled").collect()}
+    assert settled == {"v000"}
+    some = spark.createDataFrame([(f"v{i:03d}",) for i in range(4, 92)], "id string")
+    want = sorted((r.qid, r.id) for r in X.hamming_neighbours(d.join(some, "id"), q, 5).collect())
+    assert sorted((r.qid, r.id) for r in B.nearest(d, ix, q, 5, accept=some).collect()) == want
+    assert B.nearest(d.limit(0), B.build(d.limit(0)), q, 5).count() == 0
+    with pytest.raises(ValueError):
+        B.register_format("flat", B.FORMATS["flat"])
+
+
+def test_vector_scan_keeps_ties_by_id(spark):
+    v = bytearray(32)
+    d = spark.createDataFrame([(f"t{i:02d}", v) for i in range(30)] + [("z", bytearray(b"\xff" * 32))], "id string, vector binary").repartition(6)
+    q = spark.createDataFrame([("q", v)], "qid string, vector binary")
+    assert sorted(r.id for r in X.hamming_neighbours(d, q, 4).collect()) == ["t00", "t01", "t02", "t03"]
+    assert X.hamming_neighbours(d, q, 40).count() == 31
+    assert sorted(r.id for r in X.hamming_neighbours(d, q, 2, accept=F.col("id") > "t10").collect()) == ["t11", "t12"]
+
+
+def test_exact_betweenness_on_request(spark, monkeypatch):
+    monkeypatch.setattr(A, "EXACT_BETWEENNESS", 5)
+    e = pairs(spark, [(f"n{i}", f"n{i + 1}") for i in range(150)])
+    n = ids(spark, [f"n{i}" for i in range(151)])
+    got = {r.id: r.score for r in A.betweenness(n, e, exact=True).collect()}
+    assert all(got[f"n{i}"] == i * (150 - i) for i in range(151))
+
+
+def test_pacing(spark):
+    d = spark.createDataFrame([("a", f"c{i:03d}") for i in range(100)] + [("b", "x")], "axis string, id string")
+    got = sorted(r.send_ms for r in M.pace(d, 60).where("axis = 'a'").collect())
+    assert got == [i * 1000 for i in range(100)]
+    w = [r.ms for r in spark.range(1, 12).select(M.backoff_ms(F.col("id").cast("int"), F.lit("k")).alias("ms")).collect()]
+    assert all(0.5 * min(60_000, 1000 * 2**k) - 1 <= x <= min(60_000, 1000 * 2**k) for k, x in enumerate(w))
+    assert [r.s for r in spark.createDataFrame([("1h30m",), ("7d",), ("x",), (None,), (" 1.5s ",)], "t string").select(S.duration_seconds(F.col("t")).alias("s")).collect()] == [5400.0, 604800.0, None, None, 1.5]
+
+
+def test_stored_checks(spark):
+    g = graph_of(spark, [node("a", "function"), node("b", "function")], [("a", "b", "CALLS")])
+    empty = G.Graph(g.nodes.limit(0), g.edges.limit(0))
+    check = {"name": "called", "node_type": "function", "edge_type": "CALLS", "direction": "in", "require": "present"}
+    store = A.create_check(None, check, g, empty)
+    assert [(r.check, r.id) for r in A.run_checks(store, g).collect()] == [("called", "a")]
+    assert A.list_checks(store, "type").count() == 0
+    with pytest.raises(ValueError):
+        A.create_check(store, check, g, empty)
+    with pytest.raises(ValueError):
+        A.create_check(store, check | {"name": "other"}, g, g)
