@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -87,91 +88,116 @@ def _hits(dots: np.ndarray, least: float, keep: int | None) -> tuple[np.ndarray,
 
 
 def side_by_side(points: DataFrame, radius: int, *, window: int, share: float, keep: int | None) -> DataFrame:
-    """``(q, d, r)``: rows ``(nid, vector)`` within ``radius`` that stand side by side in some order, in both directions.
+    """``(q, near array<long>)``: rows ``(nid, vector)`` within ``radius`` that stand side by side in some order, as distance << SHIFT | record.
 
     Every record is laid into several sorted orders, each by another random permutation of its bits, and compared
     with at least ``window`` rows on either side: similar records share long prefixes in some order. The number of
     orders grows with that of the records (:func:`orders_for`). A block has the same size however many records
     share a prefix, so neither a hot prefix nor a huge topic makes a large task. Distances are exact. With a column
-    ``c`` only records of different c count; ``keep`` bounds the partners of a record in one block to the nearest.
+    ``c`` only records of different c count. A record gives one list an order, of the ``keep`` nearest if told.
     """
     spark, apart = points.sparkSession, "c" in points.columns
     n = points.count()
     orders = orders_for(n, radius, window, share)
     perms = np.stack([np.random.default_rng(100 + t).permutation(BITS)[:63] for t in range(orders)])
     least = BITS - 2 * radius - 0.5
+    columns = ["nid", "vector", *(["c"] if apart else [])]
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.empty:
-                continue
-            bits = np.unpackbits(_packed(list(b["vector"])), axis=1)
-            k = np.empty((len(b), orders), dtype=np.int64)
+            bits = np.unpackbits(_codes(b["vector"]), axis=1)
+            k = np.empty((b.num_rows, orders), dtype=np.int64)
             for t, p in enumerate(perms):
                 k[:, t] = np.ascontiguousarray(np.packbits(np.pad(bits[:, p], ((0, 0), (1, 0))), axis=1)).view(">i8")[:, 0]
-            yield b.assign(k=list(k))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * orders), pa.array(k.ravel()))
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in columns], lists], names=[*columns, "k"])
 
-    kind = "nid long, vector binary" + (", c long" if apart else "")
-    rows = points.mapInPandas(keys, kind + ", k array<long>").select(*[x.split()[0] for x in kind.split(", ")], F.posexplode("k").alias("t", "key"))
+    rows = points.select(*columns).mapInArrow(keys, "nid long, vector binary, " + ("c long, " if apart else "") + "k array<long>").select(*columns, F.posexplode("k").alias("t", "key"))
     # rows of two tasks do not meet, so a task holds many blocks; a single order of at most one block is one task
     parts = min(parts_for(spark, n * orders, 100_000), n * orders // (16 * window) + 1)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        q, d, r = [], [], []
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, open_hits = None, []
         for t, nid, c, packed in _cut(batches, window, apart):
             x = _signs(packed)
-            pairs = [(x @ x.T, nid, c, nid, c)]
-            np.fill_diagonal(pairs[0][0], -BITS)
+            dots = x @ x.T
+            np.fill_diagonal(dots, -BITS)
+            mine = [_within(dots, nid, c, c, least, keep, apart)]
             if last is not None and last[0] == t:
-                pairs.append((last[3] @ x.T, last[1], last[2], nid, c))
-            for k, (dots, na, ca, nb, cb) in enumerate(pairs):
-                if apart:
-                    dots[ca[:, None] == cb[None, :]] = -BITS
-                if dots.max() < least:
-                    continue
-                for m, nu, nv in ((dots, na, nb), (dots.T, nb, na))[: k + 1]:
-                    i, j = _hits(m, least, keep)
-                    q.append(nu[i])
-                    r.append(nv[j])
-                    d.append(((BITS - m[i, j]) / 2).astype(np.int32))
-            last = (t, nid, c, x)
-            if sum(map(len, q)) > 100_000:
-                yield pd.DataFrame({"q": np.concatenate(q), "d": np.concatenate(d), "r": np.concatenate(r)})
-                q, d, r = [], [], []
-        if q:
-            yield pd.DataFrame({"q": np.concatenate(q), "d": np.concatenate(d), "r": np.concatenate(r)})
-
-    return rows.repartitionByRange(parts, "t", "key").sortWithinPartitions("t", "key", "nid").drop("key").mapInPandas(compare, "q long, d int, r long")
-
-
-def _cut(batches: Iterator[pd.DataFrame], window: int, apart: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+                dots = last[3] @ x.T
+                open_hits.append(_within(dots, nid, last[2], c, least, keep, apart))
+                mine.append(_within(dots.T, last[1], c, last[2], least, keep, apart))
+            if last is not None:
+                yield from _emit(last[1], open_hits, keep)
+            last, open_hits = (t, nid, c, x), mine
+        if last is not None:
+            yield from _emit(last[1], open_hits, keep)
+
+    return rows.repartitionByRange(parts, "t", "key").sortWithinPartitions("t", "key", "nid").drop("key").mapInArrow(compare, "q long, near array<long>")
+
+
+def _codes(a: pa.Array) -> np.ndarray:
+    """The packed rows of a binary column of BITS // 8 bytes each, without a copy."""
+    _, offsets, data = a.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[a.offset : a.offset + len(a) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].reshape(-1, BITS // 8) if len(a) else np.empty((0, BITS // 8), dtype=np.uint8)
+
+
+def _within(dots: np.ndarray, other: np.ndarray, cq: np.ndarray, cr: np.ndarray, least: float, keep: int | None, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows and packed hits: the columns whose products reach ``least``, of a different c if asked."""
+    if apart:
+        dots = np.where(cq[:, None] == cr[None, :], np.float32(-BITS), dots)
+    if dots.max() < least:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    i, j = _hits(dots, least, keep)
+    return i, ((BITS - dots[i, j]) / 2).astype(np.int64) << SHIFT | other[j]
+
+
+def _emit(nid: np.ndarray, hits: list[tuple[np.ndarray, np.ndarray]], keep: int | None) -> Iterator[pa.RecordBatch]:
+    """One list for every row of a block that has hits, nearest first."""
+    i, x = (np.concatenate(h) for h in zip(*hits))
+    if not len(i):
+        return
+    order = np.lexsort((x, i))
+    i, x = i[order], x[order]
+    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    sizes = np.diff(np.r_[starts, len(i)])
+    if keep is not None and sizes.max() > keep:
+        x = x[np.arange(len(i)) - np.repeat(starts, sizes) < keep]
+        sizes = np.minimum(sizes, keep)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(x))
+    yield pa.RecordBatch.from_arrays([pa.array(nid[i[starts]]), lists], names=["q", "near"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], window: int, apart: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of at most ``window`` rows in a row inside one order: order, numbers, components, packed vectors."""
-    held: list[pd.DataFrame] = []
-
-    def block(d: pd.DataFrame):
-        nid = d["nid"].to_numpy()
-        return int(d["t"].iloc[0]), nid, d["c"].to_numpy() if apart else nid, _packed(list(d["vector"]))
-
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size, now = 0, -1
     for b in batches:
-        for _, part in b.groupby("t", sort=True):
-            if held and held[0]["t"].iloc[0] != part["t"].iloc[0]:
-                yield block(pd.concat(held))
-                held = []
-            while len(part):
-                room = window - sum(map(len, held))
-                held.append(part.iloc[:room])
-                part = part.iloc[room:]
-                if sum(map(len, held)) == window:
-                    yield block(pd.concat(held))
-                    held = []
+        if not b.num_rows:
+            continue
+        t, nid = b["t"].to_numpy(), b["nid"].to_numpy()
+        c, x = b["c"].to_numpy() if apart else nid, _codes(b["vector"])
+        borders = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1), len(t)]
+        for s, e in zip(borders, borders[1:]):
+            if held and now != t[s]:
+                yield now, *(np.concatenate(h) for h in zip(*held))
+                held, size = [], 0
+            now = int(t[s])
+            while s < e:
+                k = min(e - s, window - size)
+                held.append((nid[s : s + k], c[s : s + k], x[s : s + k]))
+                s, size = s + k, size + k
+                if size == window:
+                    yield now, *(np.concatenate(h) for h in zip(*held))
+                    held, size = [], 0
     if held:
-        yield block(pd.concat(held))
+        yield now, *(np.concatenate(h) for h in zip(*held))
 
 
 def _lists(found: DataFrame) -> DataFrame:
-    """``(q, near array<long>)`` of rows ``(q, x)``: the KEEP least x, a distance in the bits from SHIFT on and a record below them."""
-    return found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set("x")), 1, KEEP).alias("near"))
+    """``(q, near)`` of lists ``(q, near)``: the KEEP nearest of all of a record's."""
+    return found.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, KEEP).alias("near"))
 
 
 def neighbour_lists(points: DataFrame, radius: int) -> DataFrame:
@@ -181,8 +207,8 @@ def neighbour_lists(points: DataFrame, radius: int) -> DataFrame:
     not full are held against the neighbours of their neighbours. Distances are exact; a pair that neither step
     brings together is missed.
     """
-    packed = (F.shiftleft(F.col("d").cast("long"), SHIFT)).bitwiseOR(F.col("r")).alias("x")
-    lists = materialize(_lists(side_by_side(points, radius, window=WINDOW, share=SHARE, keep=KEEP).select("q", packed)), "p3-lists")
+    packed = lambda r: F.array(F.shiftleft(F.col("d").cast("long"), SHIFT).bitwiseOR(F.col(r))).alias("near")
+    lists = materialize(_lists(side_by_side(points, radius, window=WINDOW, share=SHARE, keep=KEEP)), "p3-lists")
     vectors = points.select("nid", "vector")
     while True:
         l = lists.df
@@ -202,8 +228,8 @@ def neighbour_lists(points: DataFrame, radius: int) -> DataFrame:
         if new.df.isEmpty():
             new.drop()
             return l
-        grown = new.df.select("q", packed).unionByName(new.df.select(F.col("r").alias("q"), F.shiftleft(F.col("d").cast("long"), SHIFT).bitwiseOR(F.col("q")).alias("x")))
-        nxt = materialize(_lists(l.select("q", F.explode("near").alias("x")).unionByName(grown)), "p3-lists")
+        grown = new.df.select("q", packed("r")).unionByName(new.df.select(F.col("r").alias("q"), packed("q")))
+        nxt = materialize(_lists(l.unionByName(grown)), "p3-lists")
         lists.drop()
         new.drop()
         lists = nxt
@@ -562,6 +588,7 @@ def across_components(points: DataFrame, lists: DataFrame, cut: DataFrame, solve
     m = materialize(p.where("topic < 0").unionByName(p.join(whole, "topic", "left_semi")).withColumn("item", F.when(F.col("topic") < 0, F.col("nid")).otherwise(F.col("topic"))), "p3-border").df
     result = solved.where("topic >= 0").select("nid", "topic", "persistence")
     near = side_by_side(m.where("nid = item").select("nid", "vector", "c"), radius, window=ACROSS_WINDOW, share=ACROSS_SHARE, keep=None)
+    near = near.select("q", F.explode("near").alias("x")).select("q", F.col("x").bitwiseAND(F.lit((1 << SHIFT) - 1)).alias("r"))
     pairs = materialize(near.select(F.least("q", "r").alias("a"), F.greatest("q", "r").alias("b")).distinct(), "p3-pairs").df
     if pairs.isEmpty():
         return result
