@@ -15,7 +15,8 @@ def connected_groups(links: DataFrame, a: str = "a", b: str = "b", *, jumps: int
     (1) points every node of the current graph at its smallest neighbour or itself, which is a forest,
     (2) jumps those pointers ``jumps`` times, (3) replaces the ends of all links by their labels and
     drops what has become a loop or a repeat, and (4) carries the labels over to the original nodes.
-    A round at least halves the nodes that still have links, so the number of rounds is logarithmic.
+    A node without a smaller neighbour stays in a round, yet a neighbour either joins it or leaves it with a smaller
+    one for the next: two rounds at least halve the nodes that still have links, so their number is logarithmic.
     Rounds are written to the shared folder; nothing is collected. Labels are unique per key, so a hub
     with a third of all links only meets one label row: its minimum is combined before the shuffle and
     the relabelling join is left to the skew handling of adaptive execution.
