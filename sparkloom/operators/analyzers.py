@@ -23,8 +23,8 @@ MAX_ADJACENCY = 20_000_000
 #: Sequential analyzers take one connected component per task, of up to this many edges; beyond it they are refused.
 MAX_COMPONENT = 5_000_000
 CYCLE_SCC = 40
-#: Steps of a traversal that one plan takes before its table is written.
-HOPS = 3
+#: Links that one task finishes by itself.
+SMALL_GRAPH = 200_000
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -395,38 +395,78 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, *, seeds: DataFrame, depth:
     return r.groupBy("seed").agg(F.count(F.lit(1)).alias("impacted"), F.sum(F.col("f") / F.col("distance")).alias("score"))
 
 
+def _strong_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(id, c)``: strong components of the links of one task, by Tarjan's algorithm without recursion; c is any member."""
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    ids, adj = _adjacency(pd.concat(held), False)
+    n = len(ids)
+    number, low, on, comp, stack, count = [-1] * n, [0] * n, [False] * n, [-1] * n, [], 0
+    for root in range(n):
+        if number[root] >= 0:
+            continue
+        todo = [(root, 0)]
+        while todo:
+            v, k = todo.pop()
+            if k == 0:
+                number[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                on[v] = True
+            down = False
+            for j in range(k, len(adj[v])):
+                w = adj[v][j]
+                if number[w] < 0:
+                    todo += [(v, j + 1), (w, 0)]
+                    down = True
+                    break
+                if on[w]:
+                    low[v] = min(low[v], number[w])
+            if down:
+                continue
+            if low[v] == number[v]:
+                while True:
+                    w = stack.pop()
+                    on[w] = False
+                    comp[w] = v
+                    if w == v:
+                        break
+            if todo:
+                up = todo[-1][0]
+                low[up] = min(low[up], low[v])
+    yield pd.DataFrame({"id": ids, "c": ids[comp]})
+
+
 @analyzer("scc")
 def scc(nodes: DataFrame, edges: DataFrame, *, least: int = 2) -> DataFrame:
     """``(id, scc, size)`` of strongly connected components of ``least`` nodes or more, named by their smallest member.
 
     Forward-backward colouring: nodes without a way in or out are trimmed; every node takes the greatest id
-    that reaches it; what a colour's own node is reached back from within the colour is a component. HOPS steps
-    are taken in one plan before a table is written, and a node takes its colour's colour once a round (a pointer jump),
-    so colours cross long chains in few rounds.
+    that reaches it; what a colour's own node is reached back from within the colour is a component. A node takes
+    its colour's colour once a round (a pointer jump), so colours cross long chains in few rounds. Once at most SMALL_GRAPH links are left, one task finishes them.
     """
     e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc-e")
     left = e.df.count()
     found: list[DataFrame] = []
     while left:
+        if left <= SMALL_GRAPH:
+            found.append(materialize(e.df.coalesce(1).mapInPandas(_strong_parts, "id string, c string"), "scc-small").df)
+            break
         while True:  # trim
-            ne = e.df
-            for _ in range(HOPS):
-                core = ne.select(F.col("src").alias("id")).intersect(ne.select(F.col("dst").alias("id")))
-                ne = ne.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
-            ne = materialize(ne, "scc-e")
+            core = e.df.select(F.col("src").alias("id")).intersect(e.df.select(F.col("dst").alias("id")))
+            ne = materialize(e.df.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi"), "scc-e")
             was, left = left, ne.df.count()
             e.drop()
             e = ne
-            if left == was or not left:
+            if left == was or left <= SMALL_GRAPH:
                 break
-        if not left:
-            break
+        if left <= SMALL_GRAPH:
+            continue
         col = materialize(e.df.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")), "scc-c")
         while True:
-            cur = col.df
-            for _ in range(HOPS):
-                up = e.df.join(cur.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("m"))
-                cur = cur.join(up, "id").select("id", F.greatest("c", "m").alias("c"))
+            up = e.df.join(col.df.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("m"))
+            cur = col.df.join(up, "id").select("id", F.greatest("c", "m").alias("c"))
             # what reaches a node's colour reaches the node
             far = cur.select(F.col("id").alias("c"), F.col("c").alias("m"))
             cur = cur.join(far, "c", "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"))
@@ -441,11 +481,8 @@ def scc(nodes: DataFrame, edges: DataFrame, *, least: int = 2) -> DataFrame:
         # backwards from the colours' own nodes
         hit = materialize(col.df.withColumn("in", F.col("id") == F.col("c")), "scc-h")
         while True:
-            cur = hit.df
-            for _ in range(HOPS):
-                back = inside.df.join(cur.where("in").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().withColumn("b", F.lit(True))
-                cur = cur.join(back, "id", "left").select("id", "c", (F.col("in") | F.coalesce("b", F.lit(False))).alias("in"))
-            n = materialize(cur.join(hit.df.select("id", F.col("in").alias("old")), "id"), "scc-h")
+            back = inside.df.join(hit.df.where("in").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().withColumn("b", F.lit(True))
+            n = materialize(hit.df.join(back, "id", "left").select("id", "c", (F.col("in") | F.coalesce("b", F.lit(False))).alias("in"), F.col("in").alias("old")), "scc-h")
             stop = n.df.where("in and not old").isEmpty()
             hit.drop()
             hit = type(n)(n.df.select("id", "c", "in"), n.path)

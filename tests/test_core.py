@@ -578,3 +578,24 @@ def test_stored_checks(spark):
         A.create_check(store, check, g, empty)
     with pytest.raises(ValueError):
         A.create_check(store, check | {"name": "other"}, g, g)
+
+
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_strong_components_either_way(spark, monkeypatch, small):
+    monkeypatch.setattr(A, "SMALL_GRAPH", small)
+    rng = random.Random(11)
+    es = {(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(95)} | {(f"r{i:02d}", f"r{(i + 1) % 40:02d}") for i in range(40)}
+    reach = defaultdict(set)
+    for a, b in es:
+        reach[a].add(b)
+    for _ in range(7):
+        for a in list(reach):
+            reach[a] |= set().union(*(reach.get(b, set()) for b in reach[a]))
+    names = {x for e in es for x in e}
+    want = {}
+    for a in names:
+        mine = {b for b in reach.get(a, ()) if a in reach.get(b, ())} | {a}
+        if len(mine) > 1:
+            want[a] = (min(mine), len(mine))
+    got = {r.id: (r.scc, r["size"]) for r in A.scc(ids(spark, sorted(names)), pairs(spark, sorted(es))).collect()}
+    assert got == want and got["r00"] == ("r00", 40)
