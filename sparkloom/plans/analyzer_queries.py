@@ -59,7 +59,13 @@ add("blast_radius", lambda s, d: A.run("blast_radius", *code(s, d, ["CALLS"]), s
     f"{WR}, k AS (SELECT DISTINCT to_id AS a, from_id AS b FROM e WHERE type = 'CALLS' AND from_id <> to_id AND from_id IN (SELECT id FROM l) AND to_id IN (SELECT id FROM l)), r AS (SELECT id AS seed, id, 0 AS d FROM l WHERE type IN ('function', 'method', 'type') UNION SELECT seed, k.b, d + 1 FROM r JOIN k ON k.a = r.id WHERE d < 4), m AS (SELECT seed, id, min(d) AS d FROM r GROUP BY 1, 2) SELECT seed, count(*) AS impacted, round(sum(1.0 / d), 6) AS score FROM m WHERE d > 0 AND id IN (SELECT id FROM l WHERE type IN ('function', 'method', 'type')) GROUP BY 1")
 add("scc", lambda s, d: A.run("scc", *code(s, d)),
     f"{WR}, k AS (SELECT DISTINCT from_id AS a, to_id AS b FROM e WHERE type IN ('CALLS', 'USES_TYPE', 'REFERENCES') AND from_id <> to_id AND from_id IN (SELECT id FROM l) AND to_id IN (SELECT id FROM l)), r AS (SELECT a, b FROM k UNION SELECT r.a, k.b FROM r JOIN k ON k.a = r.b), s AS (SELECT r.a AS id, least(min(r.b), r.a) AS scc FROM r JOIN r q ON q.a = r.b AND q.b = r.a GROUP BY r.a HAVING count(DISTINCT CASE WHEN r.b <> r.a THEN r.b END) > 0) SELECT id, scc, count(*) OVER (PARTITION BY scc) AS size FROM s")
-add("cycles", lambda s, d: A.run("cycles", *code(s, d, ["CALLS"])))
+add("cycles", lambda s, d: A.run("cycles", *code(s, d, ["CALLS"])),
+    f"""{WR}, k AS (SELECT DISTINCT from_id AS a, to_id AS b FROM e WHERE type = 'CALLS' AND from_id <> to_id AND from_id IN (SELECT id FROM l) AND to_id IN (SELECT id FROM l)), r AS (SELECT a, b FROM k UNION SELECT r.a, k.b FROM r JOIN k ON k.a = r.b),
+sc AS (SELECT r.a AS id, least(min(r.b), r.a) AS scc FROM r JOIN r q ON q.a = r.b AND q.b = r.a GROUP BY r.a HAVING count(DISTINCT CASE WHEN r.b <> r.a THEN r.b END) > 0), sz AS (SELECT scc, count(*) AS size FROM sc GROUP BY 1),
+ks AS (SELECT a, b, s.scc FROM k JOIN sc s ON s.id = a JOIN sc t ON t.id = b AND t.scc = s.scc JOIN sz ON sz.scc = s.scc WHERE size <= 40),
+p AS (SELECT scc, a AS s, b AS t, [a] AS path FROM ks WHERE b > a UNION ALL SELECT p.scc, s, ks.b, list_append(path, t) FROM p JOIN ks ON ks.a = p.t WHERE t <> s AND ks.b >= s AND NOT list_contains(path, t)),
+c AS (SELECT scc, array_to_string(path, '->') AS cycle, len(path) AS length FROM p WHERE t = s UNION ALL SELECT scc, '', 0 FROM sz WHERE size > 40)
+SELECT scc, cycle, length, CASE WHEN length = 0 THEN 'critical' WHEN length = 2 THEN 'warning' WHEN length <= 5 THEN 'notice' ELSE 'info' END AS severity FROM c""")
 # packages by the first digit of an id: links to higher digits, and one back from 3 to 1, which closes a cycle; two have names of known layers
 _PKG = lambda c: F.when(F.left(c, F.lit(1)) == "5", F.lit("lib/util")).when(F.left(c, F.lit(1)) == "6", F.lit("app/cmd")).otherwise(F.concat(F.lit("p/"), F.left(c, F.lit(1))))
 _PKG_SQL = "CASE left({0}, 1) WHEN '5' THEN 'lib/util' WHEN '6' THEN 'app/cmd' ELSE 'p/' || left({0}, 1) END".format
