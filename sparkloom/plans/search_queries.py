@@ -76,7 +76,8 @@ def tq(s, d):
     return docs(s, d).select(F.col("id").alias("qid"), F.col("fields")["summary"].alias("text")).join(v.where(F.octet_length("vector") == 32).select("qid"), "qid", "left_semi")
 
 
-add("overlay_search", lambda s, d: X.overlay_search(docs(s, d), docs(s, d).where(F.conv(F.right("id", F.lit(1)), 16, 10).cast("int") < 4), queries(s, d), 10).select("qid", "id", "rank"))
+_POOL = lambda cond: "WITH " + BM.replace("FROM search_docs WHERE id IS NOT NULL) WHERE rn = 1)", f"FROM search_docs WHERE id IS NOT NULL) WHERE rn = 1 AND {cond})")
+add("overlay_search", lambda s, d: X.overlay_search(docs(s, d), docs(s, d).where(F.conv(F.right("id", F.lit(1)), 16, 10).cast("int") < 4), queries(s, d), 10).select("qid", "id", "rank"), f"""WITH a AS (SELECT * FROM ({_POOL("right(id, 1) < '4'")} SELECT qid, id, score FROM bm)), b AS (SELECT * FROM ({W} SELECT qid, id, score FROM bm WHERE NOT right(id, 1) < '4')), u AS (SELECT * FROM a UNION ALL SELECT * FROM b), r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM u) SELECT * FROM r WHERE rank <= 10""")
 add("score_ops_rerank", lambda s, d: X.score_ops(X.bm25(docs(s, d), queries(s, d)), queries(s, d), graph(s, d)).select("qid", "id", F.round("score", 6).alias("score")), f"""{W}, it AS ({INTENT}), fk AS (SELECT id, CASE WHEN p = '' THEN '' WHEN regexp_matches(p, '(^|/)(testdata|fixtures?)/') THEN 'fixture' WHEN regexp_matches(p, '(_test\\.|\\.test\\.|\\.spec\\.|(^|/)tests?/)') THEN 'test' WHEN regexp_matches(p, '\\.(md|rst|txt|adoc)$') THEN 'doc' ELSE 'impl' END AS kind FROM (SELECT id, lower(coalesce(file_path, '')) AS p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, tombstoned_at DESC) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1 AND coalesce(tombstoned_at, 0) = 0)),
 op AS (SELECT * FROM (VALUES {", ".join(f"('{i}', '{k}', {w}::DOUBLE)" for i, ks in X.SCORE_OPS.items() for k, w in ks.items())}) t(intent, kind, w))
 SELECT qid, id, round(score + coalesce(w, 0), 6) AS score FROM bm JOIN it USING (qid) LEFT JOIN fk USING (id) LEFT JOIN op USING (intent, kind)""")
