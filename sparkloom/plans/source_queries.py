@@ -11,7 +11,7 @@ from sparkloom.functions import scalars as S
 from sparkloom.operators import graph as G
 from sparkloom.operators import mutations as M
 from sparkloom.plans.registry import GRAPH_SQL, add, graph
-from sparkloom.runtime import shared_dir, table
+from sparkloom.runtime import delete_on_exit, shared_dir, table
 from sparkloom.sources import documents as D
 from sparkloom.sources import external, sessions
 from sparkloom.streaming import jobs
@@ -146,6 +146,13 @@ def _run(s, df, mode="append"):
     return s.table(name)
 
 
+def _sessions(s, d):
+    base = _stream_dir(s, "sessions")
+    jobs.activity_sessions(_events(s, d), f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    delete_on_exit(s, base)
+    return jobs.sessions_of(s, f"{base}/table")
+
+
 def _feed(s, d):
     """Two deliveries of search records applied version by version; the result is the latest row per id."""
     base = _stream_dir(s, "feed")
@@ -158,4 +165,4 @@ def _feed(s, d):
 
 add("stream_change_feed", _feed, "SELECT id, max(updated_at) AS updated_at FROM search_docs WHERE id IS NOT NULL GROUP BY 1")
 add("stream_tumbling_windows", lambda s, d: _run(s, jobs.windowed_counts(_events(s, d), seconds=3600), "complete"), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
-add("stream_activity_sessions", lambda s, d: _run(s, jobs.activity_sessions(_events(s, d)), "complete"), "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 15 MINUTE AS \"end\", count(*) AS n FROM h GROUP BY user_id, k")
+add("stream_activity_sessions", _sessions, "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 15 MINUTE AS \"end\", count(*) AS n FROM h GROUP BY user_id, k")

@@ -50,6 +50,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Lets a folder go with the driver; it must be there by now."""
+    fs, p = _fs_path(spark, path)
+    fs.deleteOnExit(p)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it is missing."""
+    fs, p = _fs_path(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
 class Materialized:
     """A table written to the shared folder: lineage ends at its files, which outlive any executor."""
 
@@ -69,8 +81,7 @@ def materialize(df: DataFrame, name: str = "round") -> Materialized:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    fs, p = _fs_path(spark, path)
-    fs.deleteOnExit(p)  # what no caller drops goes with the driver, on any file system
+    delete_on_exit(spark, path)  # what no caller drops goes with the driver, on any file system
     return Materialized(spark.read.schema(df.schema).parquet(path), path)
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkloom.operators.mutations import bucket_of, upsert
-from sparkloom.runtime import path_exists, remove_path
+from sparkloom.runtime import list_names, path_exists, remove_path
 
 
 BUCKET_BITS = 6
@@ -65,10 +65,44 @@ def windowed_counts(events: DataFrame, *, seconds: int, late: str = "10 minutes"
     return e.groupBy(F.window("ts", f"{seconds} seconds"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
-def activity_sessions(events: DataFrame, *, gap: str = "15 minutes", late: str = "10 minutes", user: str = "user_id") -> DataFrame:
-    """Sessions of a user's events that are less than a gap apart."""
-    e = events.withWatermark("ts", late)
-    return e.groupBy(F.session_window("ts", gap), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+def join_sessions(sessions: DataFrame, gap: str, user: str) -> DataFrame:
+    """Sessions ``(user, start, last, n)`` with those of a user joined that are less than a gap apart; one without a time stays by itself."""
+    w = Window.partitionBy(user).orderBy(F.asc_nulls_last("start")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = F.col("start") - F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)) < F.expr(f"interval {gap}")
+    k = F.sum(F.when(F.col("near"), 0).otherwise(1)).over(w)
+    return sessions.withColumn("near", near).withColumn("k", k).groupBy(user, "k").agg(F.min("start").alias("start"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("k")
+
+
+def activity_sessions(events: DataFrame, target: str, checkpoint: str, *, gap: str = "15 minutes", user: str = "user_id") -> StreamingQuery:
+    """Feeds a table of sessions, a user's events ``(user, ts)`` that are less than a gap apart, with what is there, then stops.
+
+    The table is the state: a batch joins its events to the sessions so far and writes the next version, so no session is
+    held in memory or passes the driver, and late events count. The version before stays for a batch that is repeated.
+    """
+    spark = events.sparkSession
+
+    def apply(batch: DataFrame, n: int) -> None:
+        new = batch.select(user, F.col("ts").alias("start"), F.col("ts").alias("last"), F.lit(1).cast("long").alias("n"))
+        old = [v for v in _versions(spark, target) if v < n]
+        if old:
+            new = new.unionByName(spark.read.schema(new.schema).parquet(f"{target}/v{old[-1]:08d}"))
+        join_sessions(new, gap, user).write.mode("overwrite").parquet(f"{target}/v{n:08d}")
+        for v in old[:-1]:
+            remove_path(spark, f"{target}/v{v:08d}")
+
+    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    return sorted(int(x[1:]) for x in list_names(spark, target) if x[0] == "v")
+
+
+def sessions_of(spark: SparkSession, target: str, *, gap: str = "15 minutes") -> DataFrame | None:
+    """The sessions ``(user, start, end, n)`` of a fed table, the end a gap after the last event; None before the first batch."""
+    if not (v := _versions(spark, target)):
+        return None
+    d = spark.read.parquet(f"{target}/v{v[-1]:08d}")
+    return d.select(d.columns[0], "start", (F.col("last") + F.expr(f"interval {gap}")).alias("end"), "n")
 
 
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

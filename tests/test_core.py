@@ -518,6 +518,27 @@ def test_change_feed_rewrites_touched_buckets_only(spark, tmp_path):
     assert jobs.current(spark, f"{base}/t").count() == 61
 
 
+def test_activity_sessions_stay_off_the_driver(spark, data, tmp_path):
+    import __spark_entry__ as e
+    from sparkloom.streaming import jobs
+
+    got = e.queries()["stream_activity_sessions"](spark, data)
+    assert got.inputFiles() and got.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{data}/events.parquet").count()
+    base = f"file://{tmp_path}"
+    events = lambda rows: spark.createDataFrame(rows, "user_id long, at string").select("user_id", F.col("at").cast("timestamp").alias("ts"))
+
+    def send(rows):
+        events([(u, t and f"2024-01-01 {t}:00") for u, t in rows]).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        jobs.activity_sessions(spark.readStream.schema("user_id long, ts timestamp").parquet(f"{base}/in"), f"{base}/t", f"{base}/c").awaitTermination()
+        return sorted((r.user_id or 0, str(r.start)[11:16], str(r.end)[11:16], r.n) for r in jobs.sessions_of(spark, f"{base}/t").collect())
+
+    assert jobs.sessions_of(spark, f"{base}/t") is None
+    assert send([]) == []
+    assert send([(1, "00:00"), (1, "00:14"), (1, "05:00"), (2, "00:00"), (None, "00:00")]) == [(0, "00:00", "00:15", 1), (1, "00:00", "00:29", 2), (1, "05:00", "05:15", 1), (2, "00:00", "00:15", 1)]
+    assert send([(1, "00:28"), (2, "00:15")])[1:] == [(1, "00:00", "00:43", 3), (1, "05:00", "05:15", 1), (2, "00:00", "00:15", 1), (2, "00:15", "00:30", 1)]  # late, and just a gap apart
+    assert send([(2, "00:05")])[-1] == (2, "00:00", "00:30", 3) and len(list(tmp_path.glob("t/v*"))) == 2
+
+
 def test_binary_index(spark):
     from sparkloom.operators import binary_index as B
 
