@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,10 @@ from sparkloom.runtime import Materialized, materialize
 
 DAMPING, PR_TOL, PR_ITER = 0.85, 1e-6, 200
 HITS_TOL, HITS_ITER = 1e-8, 200
+#: After so many rounds of HITS, more than so many left by their rate mean that leading vectors are sought in at most so many steps.
+HITS_PLAIN, HITS_LEFT, HITS_STEPS = 8, 60, 1000
+#: Tables of up to this many parts of a graph are broadcast.
+MAX_PARTS = 100_000
 TOP = 20
 MIN_COMMUNITY, GAMMA, LEIDEN_ITER = 5, 0.5, 100
 EXACT_BETWEENNESS, SAMPLES, MAX_SAMPLES = 5000, 100, 200
@@ -97,13 +102,19 @@ def pagerank_weighted(nodes: DataFrame, edges: DataFrame, **knobs) -> DataFrame:
 
 @analyzer("hits")
 def hits(nodes: DataFrame, edges: DataFrame, *, tol: float = HITS_TOL, max_iter: int = HITS_ITER, rounds: int | None = None) -> DataFrame:
-    """``(id, hub, authority)``: authorities from hubs, then hubs from the new authorities, each of length 1; no edges give zeros. Raises if it does not settle; ``rounds`` asks for so many instead."""
+    """``(id, hub, authority)``: authorities from hubs, then hubs from the new authorities, each of length 1; no edges give zeros.
+
+    Where the rounds so far tell that parts of the graph with nearly equal weight would keep it from settling, the hubs
+    that the rounds tend to come from :func:`_leading_hubs`, and rounds go on from there until they settle. Raises if
+    they do not; ``rounds`` asks for so many plain ones instead.
+    """
     ids = nodes.select("id").distinct()
     e = materialize(edges.select("src", "dst").distinct(), "hits").df
     if e.isEmpty():
         return ids.select("id", F.lit(0.0).alias("hub"), F.lit(0.0).alias("authority"))
     n = ids.count()
     st = _State(ids.select("id", F.lit(n**-0.5).alias("h"), F.lit(n**-0.5).alias("a")))
+    before, led = 0.0, bool(rounds)
     for k in range(1, (rounds or max_iter) + 1):
         am = materialize(e.join(st.df.select(F.col("id").alias("src"), "h"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("h").alias("na")), "hits-a")
         a = am.df
@@ -119,9 +130,82 @@ def hits(nodes: DataFrame, edges: DataFrame, *, tol: float = HITS_TOL, max_iter:
         d = st.df.agg(F.sqrt(F.sum(F.col("dh") * F.col("dh"))).alias("h"), F.sqrt(F.sum(F.col("da") * F.col("da"))).alias("a")).first()
         if (d.h < tol and d.a < tol and not rounds) or k == rounds:
             return st.df.select("id", F.col("h").alias("hub"), F.col("a").alias("authority"))
+        now = max(d.h, d.a)
+        if not led and k >= HITS_PLAIN and (now >= before or math.log(tol / now) / math.log(now / before) > HITS_LEFT):
+            led = True
+            x = _leading_hubs(ids, e, st.df.select("id", "h"), tol)
+            st.next(ids.join(x, "id", "left").select("id", F.coalesce("h", z).alias("h"), z.alias("a")))
+        before = now
     raise RuntimeError(f"hits did not settle in {max_iter} rounds")
 
 
+def _leading_hubs(ids: DataFrame, edges: DataFrame, start: DataFrame, tol: float) -> DataFrame:
+    """``(id, h)``: the hubs that rounds from equal ones tend to, for a start ``(id, h)`` out of these rounds.
+
+    Hubs that share authorities, directly or by others, make a part; the rounds keep parts apart and weigh each by its
+    leading eigenvalue, so only parts of the greatest one remain. In every part at once the leading vector is sought by
+    locally optimal conjugate gradients: the best of the span of the vector, its residual and the step before. A part
+    is left out where it has too few edges, or its greatest ratio of a positive vector's image to it is too small, for
+    the greatest eigenvalue. Equal within ``tol`` counts as equal.
+    """
+    e = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi")
+    m = materialize(components(e.select(F.concat(F.lit(">"), "src").alias("id")).distinct(), e.select(F.concat(F.lit(">"), "src").alias("src"), F.concat(F.lit("<"), "dst").alias("dst"))).select(F.substr("id", F.lit(2)).alias("id"), "comp"), "hits-parts")
+    hubs = m.df.join(start, "id").select("id", "comp", "h")
+    old = materialize(e.join(hubs.select(F.col("id").alias("src"), "comp", "h"), "src").select("src", "dst", "comp", "h"), "hits-e")
+    x = old.df.groupBy("dst").agg(F.sum("h").alias("a")).agg(F.sum(F.col("a") * F.col("a"))).first()[0] / hubs.agg(F.sum(F.col("h") * F.col("h"))).first()[0]  # no more than the greatest eigenvalue
+    parts = materialize(old.df.groupBy("comp").agg(F.count(F.lit(1)).cast("double").alias("ub")).where(F.col("ub") >= x * (1 - tol)), "hits-c")
+    few = parts.df.count() <= MAX_PARTS
+    with_parts = lambda t, c: t.join(F.broadcast(c) if few else c, "comp")
+    em = materialize(with_parts(old.df, parts.df).select("src", "dst"), "hits-e")
+    old.drop()
+
+    def image(t: DataFrame, c: str) -> DataFrame:
+        a = em.df.join(t.select(F.col("id").alias("src"), F.col(c).alias("v")), "src").groupBy("dst").agg(F.sum("v").alias("a"))
+        return em.df.join(a, "dst").groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("m" + c))
+
+    dot = lambda a, b: F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}")
+    gram = [dot(a, b) for k, a in enumerate("xrp") for b in "xrp"[k:]] + [dot(a, "m" + b) for k, a in enumerate("xrp") for b in "xrp"[k:]]
+    o = F.lit(0.0)
+    s = with_parts(hubs, parts.df).select("id", "comp", "ub", F.col("h").alias("x"))
+    t = materialize(s.join(image(s, "x"), "id").select("id", "comp", "ub", "x", "mx", *(o.alias(c) for c in ("r", "mr", "p", "mp"))), "hits-t")
+    m.drop()
+    for k in range(HITS_STEPS):
+        bound = F.least(F.min("ub"), F.when(F.min("x") > 0, F.max(F.col("mx") / F.col("x"))))  # Collatz and Wielandt
+        c = materialize(t.df.groupBy("comp").agg(bound.alias("ub"), *gram).mapInPandas(_best_of_span, "comp string, ub double, cx double, cr double, cp double, theta double, off double"), "hits-c")
+        step = lambda v: F.col("cr") * F.col(v + "r") + F.col("cp") * F.col(v + "p")
+        s = with_parts(t.df.drop("ub"), c.df).select("id", "comp", "ub", "theta", (F.col("cx") * F.col("x") + step("")).alias("x"), (F.col("cx") * F.col("mx") + step("m")).alias("mx"), step("").alias("p"), step("m").alias("mp"))
+        g = c.df.agg(F.max("theta").alias("top"), F.max(F.when(F.col("off") > tol / 100, F.col("ub"))).alias("open")).first()
+        if k and (g.open is None or g.open < g.top * (1 - tol)):
+            s = s.where(F.col("theta") >= g.top * (1 - tol))
+            w = s.groupBy("comp").agg(F.sum("x").alias("w"))
+            return materialize(with_parts(s, w).select("id", (F.col("x") * F.col("w")).alias("h")), "hits-x").df
+        s = s.withColumn("r", F.col("mx") - F.col("theta") * F.col("x"))
+        nt = materialize(s.join(image(s, "r"), "id").select("id", "comp", "ub", "x", "mx", "r", "mr", "p", "mp"), "hits-t")
+        for y in (t, parts):
+            y.drop()
+        t, parts = nt, c
+    raise RuntimeError(f"the leading hubs did not settle in {HITS_STEPS} steps")
+
+
+def _best_of_span(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The combination of x, r and p with the greatest Rayleigh quotient, for rows of their inner products; off is the length of r against x's eigenvalue."""
+    for b in batches:
+        g, h = np.empty((len(b), 3, 3)), np.empty((len(b), 3, 3))
+        for k, a in enumerate("xrp"):
+            for n, c in enumerate("xrp"[k:], k):
+                g[:, k, n] = g[:, n, k] = b[f"{a}_{c}"]
+                h[:, k, n] = h[:, n, k] = b[f"{a}_m{c}"]
+        size = np.sqrt(np.einsum("ikk->ik", g))
+        inv = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
+        both = inv[:, :, None] * inv[:, None, :]
+        s, u = np.linalg.eigh(g * both)
+        w = u * np.where(s > 1e-10, 1 / np.sqrt(np.maximum(s, 1e-10)), 0.0)[:, None, :]
+        theta, y = np.linalg.eigh(w.transpose(0, 2, 1) @ (h * both) @ w)
+        coef = np.einsum("ikn,in->ik", w, y[:, :, -1]) * inv
+        off = size[:, 1] * size[:, 0] / np.maximum(h[:, 0, 0], 1e-300)
+        yield pd.DataFrame({"comp": b["comp"], "ub": b["ub"], "cx": coef[:, 0], "cr": coef[:, 1], "cp": coef[:, 2], "theta": theta[:, -1], "off": off})
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, comp)`` of the undirected view by least labels and pointer jumping, rounds written to the shared folder; single nodes are their own."""
     e = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).where("u <> v").distinct()

@@ -180,6 +180,23 @@ def test_pagerank_and_hits(spark):
     assert A.hits(ids(spark, n), pairs(spark, [])).agg(F.sum("hub")).first()[0] == 0
 
 
+def test_hits_settles_beside_nearly_equal_parts(spark):
+    star = lambda n, c: [(f"{c}{i}", c) for i in range(n)]
+    # parts by themselves: two equal ones lead, one is a little less; and two nearly equal ones that hang together
+    for es in (star(30, "p") + star(30, "q") + star(29, "w") + [("w0", "y")], star(30, "p") + star(29, "q") + [("p1", "q"), ("q2", "k")]):
+        n = sorted({x for e in es for x in e} | {"lone"})
+        m = np.zeros((len(n), len(n)))
+        for a, b in es:
+            m[n.index(a), n.index(b)] = 1
+        v, x = np.linalg.eigh(m @ m.T)
+        top = x[:, v > v[-1] * (1 - 1e-8)]
+        hub = top @ top.sum(axis=0)
+        auth = m.T @ hub
+        got = {r.id: (r.hub, r.authority) for r in A.hits(ids(spark, n), pairs(spark, es)).collect()}
+        for i, h, a in zip(n, hub / np.linalg.norm(hub), auth / np.linalg.norm(auth), strict=True):
+            assert abs(got[i][0] - h) < 1e-7 and abs(got[i][1] - a) < 1e-7, i
+
+
 def test_sequential_analyzers(spark):
     star = [("c", x) for x in "defg"]
     two = [(a, b) for k in ("abc", "xyz") for a, b in itertools.combinations(k, 2)] + [("c", "x")]
